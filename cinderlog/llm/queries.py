@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cinderlog.llm import quality_classifier, sharding
+from cinderlog.llm import quality_classifier, quality_rules, sharding
 
-MODULES = (sharding, quality_classifier)
+MODULES = (sharding, quality_classifier, quality_rules)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
