@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cinderlog.llm import bpe, decontamination, quality_classifier, quality_rules, sharding, toxicity
+from cinderlog.llm import bpe, decontamination, quality_classifier, quality_rules, secrets, sharding, toxicity
 
-MODULES = (sharding, quality_classifier, bpe, quality_rules, toxicity, decontamination)
+MODULES = (sharding, quality_classifier, bpe, secrets, quality_rules, toxicity, decontamination)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
