@@ -64,7 +64,7 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     """Places (doc_id, th, win, start, pos) of all words of all exact occurrences, and the windows."""
     windows = windows_of(benchmark, size)
     places = windows.select("win", "len", F.posexplode("ws").alias("off", "word"))
-    terms = stash(places.select("word").distinct().select("word", F.monotonically_increasing_id().cast("int").alias("term")), "terms")
+    terms = stash(places.select("word").distinct().select("word", F.monotonically_increasing_id().alias("term")), "terms")
     n_terms, n_windows = terms.count(), windows.count()
     index = index_of(docs, terms, n_terms)
     often = index.groupBy("term").agg(F.count("*").alias("n"))
@@ -99,7 +99,7 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slack: int, size: i
     """
     windows = windows_of(benchmark, size)
     places = windows.select("win", "len", F.explode(F.array_distinct("ws")).alias("word"))
-    terms = stash(places.select("word").distinct().select("word", F.monotonically_increasing_id().cast("int").alias("term")), "terms")
+    terms = stash(places.select("word").distinct().select("word", F.monotonically_increasing_id().alias("term")), "terms")
     index = index_of(docs, terms, terms.count())
     often = index.groupBy("term").agg(F.count("*").alias("n"))
     order = Window.partitionBy("win").orderBy(F.coalesce("n", F.lit(0)), "term")
