@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cinderlog.llm import bpe, decontamination, jaccard, quality_classifier, quality_rules, secrets, sharding, suffix_dedup, toxicity
+from cinderlog.llm import bpe, decontamination, jaccard, pitman_yor, quality_classifier, quality_rules, secrets, sharding, suffix_dedup, toxicity
 
-MODULES = (sharding, quality_classifier, bpe, secrets, suffix_dedup, quality_rules, toxicity, jaccard, decontamination)
+MODULES = (sharding, quality_classifier, bpe, secrets, suffix_dedup, pitman_yor, quality_rules, toxicity, jaccard, decontamination)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
