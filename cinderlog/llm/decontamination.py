@@ -118,19 +118,37 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slack: int, size: i
     return full.select("doc_id", "win").distinct().join(windows, "win").select("doc_id", F.explode("items").alias("item")).distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """A row for each row of docs (doc_id, text): words, hit words, items and the verdict."""
+def _marks(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """Stored: hit words and items of the documents that have any."""
     places, windows = phrase_matches(docs.select("doc_id", "text"), benchmark, size)
     places = stash(places, "matches")
     hit = places.select(*KEY, "pos").distinct().groupBy(*KEY).agg(F.count("*").alias("n_hit"))
     items = places.select(*KEY, "win").distinct().join(windows.select("win", "items"), "win").select(*KEY, F.explode("items").alias("item"))
     items = items.groupBy(*KEY).agg(F.sort_array(F.collect_set("item")).alias("items"))
     both = hit.alias("h").join(items.alias("i"), F.col("h.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("h.th") == F.col("i.th")), "left")
-    marks = stash(both.select("h.doc_id", "h.th", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items")), "contamination")
-    size_ = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("m")).first()
+    return stash(both.select("h.doc_id", "h.th", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items")), "contamination")
+
+
+def _verdict(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def contaminated_keys(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """Stored: (doc_id, th) of the contaminated documents."""
+    marks = _marks(docs, benchmark, size).select("doc_id", "th", "n_hit")
+    marks = small(marks, marks.count(), 40)
+    base = docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text")
+    hit = base.join(marks, _same_document(base, marks)).select(base["doc_id"], base["th"], "n_hit", F.size(word_list(F.col("text"))).alias("n_words"))
+    return stash(hit.where(_verdict(F.col("n_hit"), F.col("n_words"))).select("doc_id", "th").distinct(), "contaminated")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """A row for each row of docs (doc_id, text): words, hit words, items and the verdict."""
+    marks = _marks(docs, benchmark, size)
+    volume = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("m")).first()
     words = F.size(word_list(F.col("text"))).cast("long")
     base = docs.select("doc_id", text_hash(F.col("text")).alias("th"), words.alias("n_words"))
-    marks = small(marks, size_["n"] * 40 + size_["m"] * 16, 1)
+    marks = small(marks, volume["n"] * 40 + volume["m"] * 16, 1)
     out = base.join(marks, _same_document(base, marks), "left").select(base["doc_id"], "n_words", "n_hit", "items")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
@@ -139,7 +157,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
         n_hit.alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")).cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        _verdict(n_hit, F.col("n_words")).alias("contaminated"),
     )
 
 
