@@ -66,6 +66,8 @@ def snippets(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int
     lead = (best & low).astype(np.int64)
     sizes = np.maximum(np.diff(off) - length + 1, 0)
     starts = K.ranges(off[:-1], sizes)
+    if not len(starts):
+        return empty, empty, empty.astype(np.uint64), np.zeros(len(off), np.int64)
     lead = lead[starts]
     new = np.ones(len(starts), bool)
     new[1:] = lead[1:] != lead[:-1]
@@ -165,6 +167,8 @@ def window_groups(text: np.ndarray, start: np.ndarray, end: np.ndarray, length:
 
 def _runs(rid: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans of the windows (rid, start), neighbours merged."""
+    if not len(rid):
+        return rid, start, start
     order = np.lexsort((start, rid))
     rid, start = rid[order], start[order]
     new = np.ones(len(rid), bool)
