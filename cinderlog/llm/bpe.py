@@ -97,8 +97,8 @@ def replay(ranks: Ranks, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     symbol = ranks.single[np.frombuffer(b"".join(words), np.uint8)]
     if n and symbol.min() < 0:
         raise ValueError("a byte has no rank of its own")
-    after = np.arange(1, n + 1)
-    before = np.arange(-1, n - 1)
+    after = np.arange(1, n + 1, dtype=np.int32)
+    before = np.arange(-1, n - 1, dtype=np.int32)
     after[border[1:][size > 0] - 1] = -1
     before[border[:-1][size > 0]] = -1
     # the index: rank -> places; first the pairs of bytes, sorted once
@@ -106,7 +106,7 @@ def replay(ranks: Ranks, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inner = np.flatnonzero(after >= 0)
     rank[inner] = ranks.rank(symbol[inner], symbol[inner + 1])
     inner = inner[rank[inner] != NONE]
-    inner = inner[np.argsort(rank[inner], kind="stable")]
+    inner = inner[np.argsort(rank[inner], kind="stable")].astype(np.int32)
     values, at = np.unique(rank[inner], return_index=True)
     ends = np.append(at[1:], len(inner))
     index: defaultdict[int, list[np.ndarray]] = defaultdict(list)
@@ -188,12 +188,15 @@ def encode_block(ranks: Ranks, pattern: regex.Pattern, texts: list[str | None])
             cut.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
         else:
             cut.append(np.fromiter((number[m.group()] for m in pattern.finditer(text)), np.int32))
-    ids, border = replay(ranks, [w.encode() for w in number])
-    which = np.concatenate(cut) if cut else np.zeros(0, np.int32)
-    size = np.diff(border)[which]
-    ends = np.concatenate([[0], np.cumsum(size)])
-    text_border = np.concatenate([[0], np.cumsum([len(c) for c in cut])])
-    return ids[K.ranges(border[:-1][which], size)], ends[text_border]
+    words = [w.encode() for w in number]
+    number.clear()
+    ids, border = replay(ranks, words)
+    size = np.diff(border)
+    out, ends = [], [0]
+    for which in cut:
+        out.append(ids[K.ranges(border[which], size[which])])
+        ends.append(ends[-1] + len(out[-1]))
+    return np.concatenate(out) if out else ids[:0], np.array(ends)
 
 
 def decode(ranks: Ranks, ids: np.ndarray) -> bytes:
@@ -213,9 +216,11 @@ def _spread(docs: DataFrame, ranks: Ranks, pattern: str, keep: list[str], schema
                 ids, border = encode_block(shared.value, compiled, batch.column("text")[a:b].to_pylist())
                 columns, names = made(shared.value, ids, border)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b] for c in keep), *columns], names=[*keep, *names])
+                del ids, border, columns
+                K.release()
 
     kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return docs.select(*keep, docs["text"]).mapInArrow(encoded, ", ".join([*kept, schema]))
+    return docs.select(*keep, docs["text"]).mapInArrow(K.task(encoded), ", ".join([*kept, schema]))
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -235,7 +240,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.binary())], names=[*keep, "decoded"])
 
     kept = [f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep]
-    return encoded.select(*keep, "ids").mapInArrow(decoded, ", ".join([*kept, "decoded binary"]))
+    return encoded.select(*keep, "ids").mapInArrow(K.task(decoded), ", ".join([*kept, "decoded binary"]))
 
 
 def _digests(ranks: Ranks, ids: np.ndarray, border: np.ndarray) -> tuple[list[pa.Array], list[str]]:

@@ -138,7 +138,7 @@ def _sets(docs: DataFrame, num: int, den: int, size: int) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stash(docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text").mapInArrow(made, f"doc_id {kind}, th long, n long, sig long, keys array<long>, point binary"), "sets")
+    return stash(docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text").mapInArrow(K.task(made), f"doc_id {kind}, th long, n long, sig long, keys array<long>, point binary"), "sets")
 
 
 class RTree:
@@ -203,7 +203,7 @@ def _tree_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
-    return groups.mapInArrow(joined, "u long, v long").distinct()
+    return groups.mapInArrow(K.task(joined), "u long, v long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, size: int) -> DataFrame:
@@ -221,7 +221,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, size: int)
 
     first = texts.select(F.col("sig").alias("u"), F.col("text").alias("a"))
     second = texts.select(F.col("sig").alias("v"), F.col("text").alias("b"))
-    return pairs.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(linked, "u long, v long")
+    return pairs.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(K.task(linked), "u long, v long")
 
 
 def link(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = WORDS) -> tuple[DataFrame, DataFrame]:

@@ -162,7 +162,7 @@ def count_dishes(docs: DataFrame) -> DataFrame:
             key, n = np.unique(np.concatenate(parts or [np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array((key & ~LOW).view(np.int64)), pa.array((key & LOW).astype(np.int16)), pa.array(n.astype(np.int64))], names=["word", "context", "n"])
 
-    pairs = docs.select("text").mapInArrow(counted, "word long, context short, n long").groupBy("word", "context").agg(F.sum("n").alias("n"))
+    pairs = docs.select("text").mapInArrow(K.task(counted), "word long, context short, n long").groupBy("word", "context").agg(F.sum("n").alias("n"))
     dishes = pairs.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("context", "n"))).alias("d"), F.sum("n").alias("total"))
     return stash(dishes.select("word", F.col("d.context").alias("contexts"), F.col("d.n").alias("customers"), "total"), "dishes")
 
@@ -196,7 +196,7 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict]:
                     block.sweep(first_model.value, rng, False)
                 yield pa.RecordBatch.from_arrays([*batch.columns, K.lists(block.t, border, pa.int64()), pa.array(block.own)], names=[*batch.schema.names, "tables", "own"])
 
-    seated = stash(dishes.mapInArrow(seat, "word long, contexts array<short>, customers array<long>, total long, tables array<long>, own long"), "seated")
+    seated = stash(dishes.mapInArrow(K.task(seat), "word long, contexts array<short>, customers array<long>, total long, tables array<long>, own long"), "seated")
     t_c = np.zeros(CONTEXTS + 1)
     for r in seated.select(F.explode(F.arrays_zip("contexts", "tables")).alias("p")).groupBy("p.contexts").agg(F.sum("p.tables").alias("t")).collect():
         t_c[r["contexts"]] = r["t"]
@@ -218,7 +218,7 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict]:
                         p += b / SAMPLES
                 yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("total"), pa.array(p0), batch.column("contexts"), K.lists(p, border, pa.float64())], names=["word", "total", "p0", "contexts", "ps"])
 
-    return stash(seated.mapInArrow(average, "word long, total long, p0 double, contexts array<short>, ps array<double>"), "predictive"), model
+    return stash(seated.mapInArrow(K.task(average), "word long, total long, p0 double, contexts array<short>, ps array<double>"), "predictive"), model
 
 
 def _back_off(model: dict) -> np.ndarray:
@@ -282,7 +282,7 @@ def score(docs: DataFrame, words: DataFrame, model: dict) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     plain = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), "text")
-    known = stash(plain.mapInArrow(by_head, f"doc_id {kind}, rid long, n_tokens long, n_known long, base_score double, score double, tail array<long>"), "head-scores")
+    known = stash(plain.mapInArrow(K.task(by_head), f"doc_id {kind}, rid long, n_tokens long, n_known long, base_score double, score double, tail array<long>"), "head-scores")
     low = int(LOW)
     tail = known.select("rid", F.explode("tail").alias("token")).select("rid", F.col("token").bitwiseAND(~low).alias("word"), F.col("token").bitwiseAND(low).cast("short").alias("context"))
     lam = F.element_at(F.array(*(F.lit(float(x)) for x in back)), F.col("context").cast("int") + 1)

@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE, b
                 )
 
     sample = labelled_sample(docs, labels, "quality", learn, rows)
-    rows_ = sample.mapInArrow(hashed, "doc_id long, label int, f array<int>, v array<float>").toArrow().combine_chunks()
+    rows_ = sample.mapInArrow(K.task(hashed), "doc_id long, label int, f array<int>, v array<float>").toArrow().combine_chunks()
     rows_ = rows_.sort_by([("doc_id", "ascending"), ("label", "ascending")])
     if not rows_.num_rows:
         return np.zeros(1 << bits, np.float32), 0.0
@@ -124,25 +124,23 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE, b
     return train(border, np.asarray(f.flatten()).astype(np.int64), np.asarray(v.flatten()).astype(float), np.asarray(rows_["label"]).astype(float), bits)
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float, bits: int = BITS) -> DataFrame:
-    """All columns of docs but the text, with the score; needs a column text."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((weights, bias))
-    keep = [c for c in docs.columns if c != "text"]
+def score(docs: DataFrame, weights: np.ndarray, bias: float, bits: int = BITS, keep_text: bool = False) -> DataFrame:
+    """All columns of docs, without the text unless it's kept, with the score; needs a column text."""
+    shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
+    keep = [c for c in docs.columns if c != "text" or keep_text]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b0 = shared.value
         for batch in batches:
             data, off = K.buffers(batch.column("text"))
-            out = np.zeros(len(off) - 1)
             for a, b in K.slices(off):
                 at, f, v = features(*K.cut(data, off, a, b), bits)
-                out[a:b] = np.add.reduceat(w[f] * v, at[:-1]) + b0
-            out = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out)], names=[*keep, "score"])
+                out = np.add.reduceat(w[f] * v, at[:-1]) + b0
+                out = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b] for c in keep), pa.array(out)], names=[*keep, "score"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])
-    return docs.select(*keep, "text").mapInArrow(scored, schema)
+    return docs.select(*(c for c in docs.columns if c != "text"), "text").mapInArrow(K.task(scored), schema)
 
 
 def remainder(modulus: int) -> Column:

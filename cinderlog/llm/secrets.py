@@ -234,7 +234,7 @@ def _scanned(docs: DataFrame, forest: Forest, keep: list[str], schema: str, made
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b] for c in keep), *columns.values()], names=[*keep, *columns])
 
     kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return docs.select(*keep, docs["text"]).mapInArrow(run, ", ".join([*kept, schema]))
+    return docs.select(*keep, docs["text"]).mapInArrow(K.task(run), ", ".join([*kept, schema]))
 
 
 def _mask(blob: bytes, found: list[tuple[int, int, float]], threshold: float) -> bytes:

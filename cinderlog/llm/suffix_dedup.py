@@ -383,7 +383,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     known = docs.select("doc_id", text_hash(text).alias("th"), F.monotonically_increasing_id().alias("rid"), utf8_bytes(text).alias("n"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("digest"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    grams = stash(known.mapInArrow(_lead_grams, f"doc_id {kind}, th long, rid long, n long, digest string, grams array<long>"), "lead-grams")
+    grams = stash(known.mapInArrow(K.task(_lead_grams), f"doc_id {kind}, th long, rid long, n long, digest string, grams array<long>"), "lead-grams")
     ids = grams.where(F.col("n") >= LENGTH).select("rid", "doc_id", "th", "n", "digest", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"))
     # whole texts: only the first copy goes on, and only one of a document's repeated rows
     first = ids.groupBy("digest").agg(F.min(F.struct("doc", "rid")).alias("one"), F.count("*").alias("c")).where("c > 1").select("digest", "one")
@@ -398,19 +398,19 @@ def repeats(docs: DataFrame) -> DataFrame:
     wanted = small(wanted, volume["n"] * 64 + volume["k"] * 8, 1)
     plain = docs.select("doc_id", text_hash(text).alias("th"), "text")
     met = plain.join(wanted, plain["doc_id"].eqNullSafe(wanted["doc_id"]) & (plain["th"] == wanted["th"])).select("rid", "doc", "ks", "salts", "text")
-    cut = stash(met.mapInArrow(_snippet_rows, "gram long, rid long, doc long, start long, size long, salts long, snippet binary"), "snippets")
+    cut = stash(met.mapInArrow(K.task(_snippet_rows), "gram long, rid long, doc long, start long, size long, salts long, snippet binary"), "snippets")
 
     salted = cut.where("snippet is not null").withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("salts")))
     dealt = salted.repartition("gram", "salt").sortWithinPartitions("gram", "salt")
-    settled = stash(dealt.mapInArrow(_shard_rows, "rid long, start long, end long, doc long, salt long, window binary"), "settled")
+    settled = stash(dealt.mapInArrow(K.task(_shard_rows), "rid long, start long, end long, doc long, salt long, window binary"), "settled")
     open_ = settled.where("window is not null")
-    merged = open_.repartitionByRange("window").mapInArrow(_merge_rows, "rid long, start long, end long")
+    merged = open_.repartitionByRange("window").mapInArrow(K.task(_merge_rows), "rid long, start long, end long")
     spans = (
         cut.where("snippet is null").select("rid", "start", (F.col("start") + F.col("size")).alias("end"))
         .unionByName(settled.where("window is null").select("rid", "start", "end"))
         .unionByName(merged)
     )
-    apart = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans")).mapInArrow(_merged, "rid long, spans array<struct<start: long, end: long>>")
+    apart = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans")).mapInArrow(K.task(_merged), "rid long, spans array<struct<start: long, end: long>>")
     apart = apart.join(ids.select("rid", "doc_id", "th"), "rid").select("doc_id", "th", "spans")
     whole = copies.where("later").select("doc_id", "th", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))).alias("spans")).dropDuplicates(["doc_id", "th"])
     return stash(apart.unionByName(whole), "spans")
@@ -423,7 +423,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     spans = small(spans, volume["n"] * 48 + volume["k"] * 24, 1)
     plain = docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text")
     both = plain.join(spans, plain["doc_id"].eqNullSafe(spans["doc_id"]) & (plain["th"] == spans["th"]), "left").select(plain["doc_id"], "text", "spans")
-    return both.mapInArrow(_cut_out, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return both.mapInArrow(K.task(_cut_out), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

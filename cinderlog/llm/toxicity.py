@@ -181,7 +181,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0)
     odds = F.log(((F.col("toxic") + 0.5) / (sizes[1] + 1.0)) / ((F.col("other") + 0.5) / (sizes[0] + 1.0)))
     table_ = (
-        sample.mapInArrow(counted, "key long, toxic long, other long")
+        sample.mapInArrow(K.task(counted), "key long, toxic long, other long")
         .groupBy("key")
         .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
         .where(F.col("toxic") >= SUPPORT)
@@ -277,7 +277,7 @@ def _features_frame(docs: DataFrame, lexicon: tuple[np.ndarray, np.ndarray], kee
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b] for c in keep), *map(pa.array, x.T)], names=[*keep, *FEATURES])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{f} double" for f in FEATURES)])
-    return docs.select(*keep, "text").mapInArrow(measured, schema)
+    return docs.select(*keep, "text").mapInArrow(K.task(measured), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, rows: int = SAMPLE) -> Model:
@@ -308,7 +308,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 out[a:b] = np.interp(margin(dense(*K.cut(data, off, a, b), lexicon), base, trees), xs, ps)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.select("doc_id", "text").mapInArrow(K.task(scored), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
