@@ -394,8 +394,6 @@ def repeats(docs: DataFrame) -> DataFrame:
     wanted = rows.join(often, "gram").select("rid", F.struct("k", F.ceil(F.col("c") / CAP).cast("int").alias("salts")).alias("s"))
     wanted = wanted.groupBy("rid").agg(F.collect_list("s").alias("s")).join(ids.select("rid", "doc_id", "th", "doc"), "rid")
     wanted = stash(wanted.select("rid", "doc_id", "th", "doc", F.col("s.k").alias("ks"), F.col("s.salts").alias("salts")), "wanted")
-    volume = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("ks")), F.lit(0)).alias("k")).first()
-    wanted = small(wanted, volume["n"] * 64 + volume["k"] * 8, 1)
     plain = docs.select("doc_id", text_hash(text).alias("th"), "text")
     met = plain.join(wanted, plain["doc_id"].eqNullSafe(wanted["doc_id"]) & (plain["th"] == wanted["th"])).select("rid", "doc", "ks", "salts", "text")
     cut = stash(met.mapInArrow(K.task(_snippet_rows), "gram long, rid long, doc long, start long, size long, salts long, snippet binary"), "snippets")
