@@ -106,15 +106,16 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slack: int, size: i
     ranked = places.join(terms, "word").join(often, "term", "left").withColumn("rank", F.row_number().over(order))
     ranked = ranked.withColumn("need", F.count("*").over(Window.partitionBy("win"))).select("win", "len", "term", "rank", "need")
     anchor = index.join(ranked.where("rank = 1"), "term").select("doc_id", "th", "win", F.col("pos").alias("at"), "len", "need").distinct()
-    wide = anchor.join(ranked.select("win", "term"), "win")
-    reach = F.abs(index["pos"] - wide["at"]) < F.col("len") + slack
-    near = wide.join(index, _same_document(wide, index) & (wide["term"] == index["term"]) & reach)
-    near = near.select(wide["doc_id"], wide["th"], "win", "at", "len", "need", wide["term"].alias("term"), index["pos"].alias("pos"))
+    wide = anchor.join(ranked.select("win", "term"), "win").alias("w")
+    same = F.col("w.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("w.th") == F.col("x.th")) & (F.col("w.term") == F.col("x.term"))
+    near = wide.join(index.alias("x"), same & (F.abs(F.col("x.pos") - F.col("w.at")) < F.col("w.len") + slack))
+    near = near.select("w.doc_id", "w.th", "w.win", "w.at", "w.len", "w.need", "w.term", "x.pos")
     # a window of places fits if, started at one of the gathered places, it holds every term
-    begin = near.select("doc_id", "th", "win", "at", F.col("pos").alias("begin")).distinct()
-    fits = near.join(begin, near["doc_id"].eqNullSafe(begin["doc_id"]) & (near["th"] == begin["th"]) & (near["win"] == begin["win"]) & (near["at"] == begin["at"]))
-    fits = fits.where((F.col("pos") >= F.col("begin")) & (F.col("pos") < F.col("begin") + F.col("len") + slack))
-    full = fits.groupBy(near["doc_id"], near["th"], near["win"], near["at"], "begin", "need").agg(F.count_distinct("term").alias("n")).where("n = need")
+    begin = near.select("doc_id", "th", "win", "at", F.col("pos").alias("begin")).distinct().alias("b")
+    near = near.alias("n")
+    one = F.col("n.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("n.th") == F.col("b.th")) & (F.col("n.win") == F.col("b.win")) & (F.col("n.at") == F.col("b.at"))
+    fits = near.join(begin, one).where("n.pos >= b.begin").where(F.col("n.pos") < F.col("b.begin") + F.col("n.len") + slack)
+    full = fits.groupBy("n.doc_id", "n.th", "n.win", "n.at", "b.begin", "n.need").agg(F.count_distinct("n.term").alias("found")).where("found = need")
     return full.select("doc_id", "win").distinct().join(windows, "win").select("doc_id", F.explode("items").alias("item")).distinct()
 
 
