@@ -228,8 +228,7 @@ def _back_off(model: dict) -> np.ndarray:
 
 def _head_rows(words: DataFrame) -> tuple[np.ndarray, ...]:
     """The HEAD most frequent words: hashes, counts and p0, and the keys and probabilities of their contexts, sorted."""
-    rows = words.orderBy(F.desc("total"), "word").limit(HEAD).toArrow().combine_chunks()
-    rows = pa.Table.from_batches(rows.to_batches())
+    rows = words.orderBy(F.desc("total"), "word").limit(HEAD).toArrow()
     if not rows.num_rows:
         return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0)
     word = np.asarray(rows["word"].combine_chunks()).view(np.uint64)
