@@ -50,7 +50,7 @@ def shingles(data: np.ndarray, off: np.ndarray, size: int = WORDS) -> list[np.nd
     h = K.span_hash(low, starts, ends)
     rolled = h.copy()
     n = len(h)
-    for k in range(1, size):
+    for k in range(1, min(size, n)):
         rolled[: n - k] = K.mix(rolled[: n - k] * np.uint64(0x9E3779B97F4A7C15) + h[k:])
     out = []
     for a, b in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
