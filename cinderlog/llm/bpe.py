@@ -108,7 +108,7 @@ def replay(ranks: Ranks, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inner = inner[rank[inner] != NONE]
     inner = inner[np.argsort(rank[inner], kind="stable")].astype(np.int32)
     values, at = np.unique(rank[inner], return_index=True)
-    ends = np.append(at[1:], len(inner))
+    ends = np.append(at[1:], len(inner))[: len(at)]
     index: defaultdict[int, list[np.ndarray]] = defaultdict(list)
     for v, a, b in zip(values.tolist(), at.tolist(), ends.tolist(), strict=True):
         index[v].append(inner[a:b])
