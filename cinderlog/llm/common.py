@@ -66,3 +66,21 @@ def text_hash(text: Column) -> Column:
 
 def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def remainder(modulus: int) -> Column:
+    """crc32 of doc_id as text, by which rows are held out; null for a null doc_id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int) -> DataFrame:
+    """At most rows labelled texts (doc_id, text, label): those of least hash of doc_id; a bounded table, so it's broadcast.
+
+    The labels are counted first, and a hash threshold leaves about as many as are wanted before they are sorted.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn).select("doc_id", F.col(label).cast("int").alias("label"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    share = (rows + 8 * rows**0.5) / max(1, known.count())
+    if share < 1:
+        known = known.where(place < int(share * (1 << 40)))
+    return docs.select("doc_id", "text").join(F.broadcast(known.orderBy(place, "doc_id", "label").limit(rows)), "doc_id")

@@ -30,12 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlog.llm import kernels as K
-from cinderlog.llm.common import stash, table
-from cinderlog.llm.quality_classifier import remainder
+from cinderlog.llm.common import remainder, stash, table
 
 #: Classes of the word before; 0 is the start of a text.
 CONTEXTS = 64
-#: Words whose probabilities are broadcast.
+#: Most words whose probabilities are broadcast.
 HEAD = 1 << 17
 #: Customers of a dish up to which its tables are drawn exactly.
 EXACT = 48
@@ -227,8 +226,18 @@ def _back_off(model: dict) -> np.ndarray:
 
 
 def _head_rows(words: DataFrame) -> tuple[np.ndarray, ...]:
-    """The HEAD most frequent words: hashes, counts and p0, and the keys and probabilities of their contexts, sorted."""
-    rows = words.orderBy(F.desc("total"), "word").limit(HEAD).toArrow()
+    """The most frequent words: hashes, counts and p0, and the keys and probabilities of their contexts, sorted.
+
+    A histogram of counts (eight steps for each doubling) tells the least count with which at most HEAD words remain.
+    """
+    step = F.floor(F.log2("total") * 8)
+    least, left = 2**62, HEAD
+    for r in words.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("total").alias("least")).orderBy(F.desc("step")).collect():
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["least"]
+    rows = words.where(F.col("total") >= least).toArrow()
     if not rows.num_rows:
         return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0)
     word = np.asarray(rows["word"].combine_chunks()).view(np.uint64)

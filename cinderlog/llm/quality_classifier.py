@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlog.llm import kernels as K
-from cinderlog.llm.common import table
+from cinderlog.llm.common import labelled_sample, remainder, table
 
 BITS = 18
 SAMPLE = 6_000
@@ -89,17 +89,6 @@ def train(border: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.
     return w.astype(np.float32), float(bias)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int) -> DataFrame:
-    """At most rows labelled texts (doc_id, text, label): those of least hash of doc_id; a bounded table, so it's broadcast."""
-    picked = (
-        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn)
-        .select("doc_id", F.col(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
-        .limit(rows)
-    )
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-
-
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE, bits: int = BITS) -> tuple[np.ndarray, float]:
     """Learns quality from a bounded sample; executors hash the texts, the driver gets feature numbers and values."""
 
@@ -143,10 +132,6 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, bits: int = BITS, k
     return docs.select(*(c for c in docs.columns if c != "text"), "text").mapInArrow(K.task(scored), schema)
 
 
-def remainder(modulus: int) -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
-
-
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     weights, bias = fit(docs, labels, remainder(5) != 0)
     return score(docs.select("doc_id", "text"), weights, bias).select(

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderlog.llm.common import SPACE, UPPER, stash, table
+from cinderlog.llm.common import SPACE, UPPER, labelled_sample, stash, table
 
 SAMPLE = 8_000
 #: Cut points of a statistic for each label.
@@ -208,13 +208,7 @@ def _bin(value: Column, cuts: list[float]) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> list[Rule]:
     """The decision list of a bounded sample of labelled rows."""
-    picked = (
-        labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-        .select("doc_id", F.col("quality").cast("int").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
-        .limit(rows)
-    )
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    sample = labelled_sample(docs, labels, "quality", F.lit(True), rows).withColumnRenamed("label", "quality")
     known = measure(sample.select(F.struct("doc_id", "quality").alias("doc_id"), "text"))
     known = stash(known.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.quality").alias("quality"), *STATISTICS), "rule-statistics")
     at = [k / CUTS for k in range(1, CUTS)]

@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlog.llm import kernels as K
-from cinderlog.llm.common import table
-from cinderlog.llm.quality_classifier import labelled_sample, remainder
+from cinderlog.llm.common import labelled_sample, remainder, table
 
 SAMPLE = 16_000
 THRESHOLD = 0.3

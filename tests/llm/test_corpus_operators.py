@@ -12,6 +12,7 @@ from cinderlog.llm import decontamination as D
 from cinderlog.llm import jaccard as J
 from cinderlog.llm import pitman_yor as P
 from cinderlog.llm import suffix_dedup as S
+from cinderlog.llm.common import remainder
 from tests.llm.helpers import ODD_TEXTS, SPACE_WORD, clashing, crc, docs_frame, lower_ascii, sentence, sha, vocabulary
 
 # n-gram Jaccard join
@@ -285,7 +286,7 @@ def test_base_score_and_counts(spark, monkeypatch):
     count = Counter(w for i, t in enumerate(texts) if crc(i) % 10 for w in cut(t))
     n, v = sum(count.values()), len(count)
     docs = clashing(docs_frame(spark, texts)).select("doc_id", "text")
-    learn = docs.where(P.remainder(10) != 0)
+    learn = docs.where(remainder(10) != 0)
     results = []
     for head in (P.HEAD, 7):
         monkeypatch.setattr(P, "HEAD", head)  # few: most words are met by shuffle
@@ -319,8 +320,8 @@ def test_context_helps(spark):
     a, b = ["qa", "wa", "ea", "ra"] * 3, ["to", "yo", "uo", "po"] * 3
     texts = [" ".join(r.choice(s) for _ in range(40)) for s in [a, b] * 150]
     docs = docs_frame(spark, texts).select("doc_id", "text")
-    model_words, model = P.train(docs.where(P.remainder(10) != 0))
-    held = P.score(docs.where(P.remainder(10) == 0), model_words, model)
+    model_words, model = P.train(docs.where(remainder(10) != 0))
+    held = P.score(docs.where(remainder(10) == 0), model_words, model)
     p = P.perplexity(held).first()
     assert p["perplexity"] < 0.7 * p["base_perplexity"]
 
