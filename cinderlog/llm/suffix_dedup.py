@@ -244,7 +244,7 @@ def _snippet_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         data, off = K.buffers(batch.column("text"))
         rid, doc = batch.column("rid").to_pylist(), batch.column("doc").to_pylist()
-        ks, salts = batch.column("ks").to_pylist(), batch.column("salts").to_pylist()
+        grams, salts = batch.column("grams").to_pylist(), batch.column("salts").to_pylist()
         for a, b in K.slices(off):
             part, border = K.cut(data, off, a, b)
             first, last, gram, docs = snippets(part, border)
@@ -253,10 +253,12 @@ def _snippet_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             out: list[list] = [[], [], [], [], [], [], []]
             for d in range(a, b):
                 seen: set[bytes] = set()
-                for k, parts in sorted(zip(ks[d], salts[d], strict=True)):
-                    i = int(docs[d - a]) + k
+                wanted = dict(zip(grams[d], salts[d], strict=True))
+                for i in range(int(docs[d - a]), int(docs[d - a + 1])):
+                    if gram[i] not in wanted:
+                        continue
                     cut = blob[first[i] : last[i] + LENGTH]
-                    row = (gram[i], rid[d], doc[d], first[i] - int(border[d - a]), len(cut), parts, None if cut in seen else cut)
+                    row = (gram[i], rid[d], doc[d], first[i] - int(border[d - a]), len(cut), wanted[gram[i]], None if cut in seen else cut)
                     seen.add(cut)
                     for column, x in zip(out, row, strict=True):
                         column.append(x)
@@ -338,11 +340,16 @@ def _merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lead_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different lead grams of each document, with how often they lead a snippet."""
     for batch in batches:
         data, off = K.buffers(batch.column("text"))
         for a, b in K.slices(off):
             _, _, gram, docs = snippets(*K.cut(data, off, a, b))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b] for c in ("doc_id", "th", "rid", "n", "digest")), K.lists(gram.view(np.int64), docs, pa.int64())], names=["doc_id", "th", "rid", "n", "digest", "grams"])
+            found = [np.unique(gram[x:y], return_counts=True) for x, y in zip(docs[:-1].tolist(), docs[1:].tolist(), strict=True)]
+            border = np.concatenate([[0], np.cumsum([len(g) for g, _ in found])])
+            grams = K.lists(np.concatenate([g for g, _ in found]).view(np.int64), border, pa.int64())
+            counts = K.lists(np.concatenate([c for _, c in found]), border, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b] for c in ("doc_id", "th", "rid", "n", "digest")), grams, counts], names=["doc_id", "th", "rid", "n", "digest", "grams", "counts"])
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,19 +390,21 @@ def repeats(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     known = docs.select("doc_id", text_hash(text).alias("th"), F.monotonically_increasing_id().alias("rid"), utf8_bytes(text).alias("n"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("digest"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    grams = stash(known.mapInArrow(K.task(_lead_grams), f"doc_id {kind}, th long, rid long, n long, digest string, grams array<long>"), "lead-grams")
+    grams = stash(known.mapInArrow(K.task(_lead_grams), f"doc_id {kind}, th long, rid long, n long, digest string, grams array<long>, counts array<long>"), "lead-grams")
     ids = grams.where(F.col("n") >= LENGTH).select("rid", "doc_id", "th", "n", "digest", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"))
     # whole texts: only the first copy goes on, and only one of a document's repeated rows
     first = ids.groupBy("digest").agg(F.min(F.struct("doc", "rid")).alias("one"), F.count("*").alias("c")).where("c > 1").select("digest", "one")
     copies = stash(ids.join(first, "digest").where("rid <> one.rid").select("rid", "doc_id", "th", "n", (F.col("doc") > F.col("one.doc")).alias("later")), "copies")
     skipped = copies.select("rid")
-    rows = grams.select("rid", "grams").join(small(skipped, copies.count(), 16), "rid", "left_anti").select("rid", F.posexplode("grams").alias("k", "gram")).repartition("gram")
-    often = rows.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
-    wanted = rows.join(often, "gram").select("rid", F.struct("k", F.ceil(F.col("c") / CAP).cast("int").alias("salts")).alias("s"))
+    rows = grams.select("rid", F.arrays_zip("grams", "counts").alias("g")).join(small(skipped, copies.count(), 16), "rid", "left_anti")
+    rows = rows.select("rid", F.explode("g").alias("g")).select("rid", F.col("g.grams").alias("gram"), F.col("g.counts").alias("c"))
+    # counts are summed before they are shuffled, and a gram of very many rows meets its count in several tasks
+    often = rows.groupBy("gram").agg(F.sum("c").alias("total")).where("total > 1")
+    wanted = rows.join(often, "gram").select("rid", F.struct("gram", F.ceil(F.col("total") / CAP).cast("int").alias("salts")).alias("s"))
     wanted = wanted.groupBy("rid").agg(F.collect_list("s").alias("s")).join(ids.select("rid", "doc_id", "th", "doc"), "rid")
-    wanted = stash(wanted.select("rid", "doc_id", "th", "doc", F.col("s.k").alias("ks"), F.col("s.salts").alias("salts")), "wanted")
+    wanted = stash(wanted.select("rid", "doc_id", "th", "doc", F.col("s.gram").alias("grams"), F.col("s.salts").alias("salts")), "wanted")
     plain = docs.select("doc_id", text_hash(text).alias("th"), "text")
-    met = plain.join(wanted, plain["doc_id"].eqNullSafe(wanted["doc_id"]) & (plain["th"] == wanted["th"])).select("rid", "doc", "ks", "salts", "text")
+    met = plain.join(wanted, plain["doc_id"].eqNullSafe(wanted["doc_id"]) & (plain["th"] == wanted["th"])).select("rid", "doc", "grams", "salts", "text")
     cut = stash(met.mapInArrow(K.task(_snippet_rows), "gram long, rid long, doc long, start long, size long, salts long, snippet binary"), "snippets")
 
     salted = cut.where("snippet is not null").withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("salts")))
