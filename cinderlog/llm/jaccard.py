@@ -184,22 +184,45 @@ class RTree:
                 yield a[i], b[j]
 
 
+def _leaf_pairs(points: np.ndarray, sizes: np.ndarray, border: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs within each small group (rows border[k] to border[k + 1]) that reach the bound, for all groups abreast."""
+    count = np.diff(border)
+    # row i of a group is paired with all rows after it
+    own = K.owner(border)
+    after = border[own + 1] - np.arange(border[0], border[-1]) - 1
+    i = np.repeat(np.arange(len(own)), after)
+    j = K.ranges(np.arange(len(own)) + 1, after)
+    assert len(i) == int((count * (count - 1) // 2).sum())
+    for k in range(0, len(i), 4096):
+        a, b = i[k : k + 4096], j[k : k + 4096]
+        ok = np.minimum(points[a], points[b]).sum(1, dtype=np.int64) >= needed(sizes[a], sizes[b], num, den)
+        yield a[ok], b[ok]
+
+
 def _tree_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
     """Candidate pairs (u, v) of rows that each hold a cell's classes: sig, n, point, label, and chunk numbers."""
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.column("members").to_pylist():
-                sig = np.array([m["sig"] for m in row], np.int64)
-                label = np.array([m["label"] for m in row], np.int64)
-                side = np.array([m["side"] for m in row])
-                tree = RTree(np.stack([np.frombuffer(m["point"], np.uint16) for m in row]), np.array([m["n"] for m in row], np.int64))
-                us, vs = [], []
-                for i, j in tree.pairs(num, den):
-                    other = (label[i] != label[j]) & ((side[i] != side[j]) | (side[i] < 0))
-                    us.append(sig[i[other]])
-                    vs.append(sig[j[other]])
-                u, v = np.concatenate(us or [sig[:0]]), np.concatenate(vs or [sig[:0]])
+            column = batch.column("members")
+            for k in range(0, batch.num_rows, 256):
+                part = column[k : k + 256]
+                size = np.asarray(part.value_lengths()).astype(np.int64)
+                flat = part.flatten()
+                sig, n, label, side = (np.asarray(flat.field(c)).astype(np.int64) for c in ("sig", "n", "label", "side"))
+                data, _ = K.buffers(flat.field("point"))
+                offset = K.buffers(flat.field("point"))[1][0]
+                points = data[offset : offset + 2 * GROUPS * len(sig)].view(np.uint16).reshape(-1, GROUPS)
+                border = np.concatenate([[0], np.cumsum(size)])
+                few = np.flatnonzero(size <= LEAF)
+                rows = K.ranges(border[few], size[few])
+                found = [(rows[i], rows[j]) for i, j in _leaf_pairs(points[rows], n[rows], np.concatenate([[0], np.cumsum(size[few])]), num, den)]
+                for g in np.flatnonzero(size > LEAF).tolist():
+                    a, b = int(border[g]), int(border[g + 1])
+                    found += [(a + i, a + j) for i, j in RTree(points[a:b], n[a:b]).pairs(num, den)]
+                i, j = (np.concatenate([x[c] for x in found] or [rows[:0]]) for c in (0, 1))
+                other = (label[i] != label[j]) & ((side[i] != side[j]) | (side[i] < 0))
+                u, v = sig[i[other]], sig[j[other]]
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
