@@ -19,18 +19,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinderlog.llm.common import lower_ascii, small, stash, table, text_hash
+from cinderlog.llm.common import let, lower_ascii, small, stash, table, text_hash
 
 WINDOW = 13
 #: How many of a window's rarest terms are intersected before all of its words are.
 RARE = 2
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words while A-Z are still there.
+NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 KEY = ["doc_id", "th"]
 
 
+def _pieces(text: Column) -> Column:
+    """Words in their own case, with an empty string at either end where the text doesn't begin or end with a word."""
+    return F.split(F.coalesce(text, F.lit("")), NOT_WORD, -1)
+
+
+def _lower(word: Column) -> Column:
+    """lower() is quick and does A-Z alone where there is nothing but ASCII."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(lower_ascii(word))
+
+
 def word_list(text: Column) -> Column:
-    """Words of a text; empty strings at the ends stay out."""
-    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD, -1), lambda w: w != "")
+    """Lower-case words of a text."""
+    return F.transform(F.filter(_pieces(text), lambda w: w != ""), _lower)
+
+
+def word_count(text: Column) -> Column:
+    """How many words a text has."""
+    return let(_pieces(text), lambda w: (F.size(w) - (F.get(w, 0) == "").cast("int") - ((F.size(w) > 1) & (F.get(w, F.size(w) - 1) == "")).cast("int")).cast("long"))
 
 
 def windows_of(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -44,8 +60,9 @@ def windows_of(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def index_of(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """Postings (doc_id, th, pos, term) of the terms, stored; one pass over the texts."""
-    spread = docs.select("doc_id", text_hash(F.col("text")).alias("th"), F.posexplode(word_list(F.col("text"))).alias("pos", "word"))
+    """Postings (doc_id, th, pos, term) of the terms, stored; one pass over the texts. Places count from 0 or from 1."""
+    spread = docs.select("doc_id", text_hash(F.col("text")).alias("th"), F.posexplode(_pieces(F.col("text"))).alias("pos", "piece"))
+    spread = spread.select("doc_id", "th", "pos", _lower(F.col("piece")).alias("word"))
     return stash(spread.join(small(terms, n_terms, 64), "word").select("doc_id", "th", "pos", "term"), "postings")
 
 
@@ -139,7 +156,7 @@ def contaminated_keys(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW)
     marks = _marks(docs, benchmark, size).select("doc_id", "th", "n_hit")
     marks = small(marks, marks.count(), 40)
     base = docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text")
-    hit = base.join(marks, _same_document(base, marks)).select(base["doc_id"], base["th"], "n_hit", F.size(word_list(F.col("text"))).alias("n_words"))
+    hit = base.join(marks, _same_document(base, marks)).select(base["doc_id"], base["th"], "n_hit", word_count(F.col("text")).alias("n_words"))
     return stash(hit.where(_verdict(F.col("n_hit"), F.col("n_words"))).select("doc_id", "th").distinct(), "contaminated")
 
 
@@ -147,8 +164,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     """A row for each row of docs (doc_id, text): words, hit words, items and the verdict."""
     marks = _marks(docs, benchmark, size)
     volume = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("m")).first()
-    words = F.size(word_list(F.col("text"))).cast("long")
-    base = docs.select("doc_id", text_hash(F.col("text")).alias("th"), words.alias("n_words"))
+    base = docs.select("doc_id", text_hash(F.col("text")).alias("th"), word_count(F.col("text")).alias("n_words"))
     marks = small(marks, volume["n"] * 40 + volume["m"] * 16, 1)
     out = base.join(marks, _same_document(base, marks), "left").select(base["doc_id"], "n_words", "n_hit", "items")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")

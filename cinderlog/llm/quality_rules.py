@@ -17,13 +17,12 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderlog.llm.common import SPACE, UPPER, labelled_sample, stash, table
+from cinderlog.llm.common import SPACE, UPPER, labelled_sample, let, stash, table
 
 SAMPLE = 8_000
 #: Cut points of a statistic for each label.
@@ -37,11 +36,6 @@ FEW = 48
 STATISTICS = ("words", "word_length", "symbols", "dup_lines", "repeats", "capitals", "shouts", "marks")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, evaluated once, however often body uses it and in however deep a function."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _covered(at: Column) -> Column:
     """How many words windows of three cover that start at these sorted places."""
     steps = F.transform(at, lambda p, i: F.when(i == 0, F.lit(3)).otherwise(F.least(F.lit(3), p - F.get(at, i - 1))))
