@@ -31,23 +31,36 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/cinderlog-{spark.sparkContext.applicationId}"
+
+
 def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut, and lost executors take nothing with them."""
+    """Writes df to the shared folder and reads it back: lineage is cut, and lost executors take nothing with them.
+
+    Results may still read these tables, so they stay until drop_stash() or clear_stashes().
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_stashes(spark: SparkSession) -> None:
+    """Deletes all tables that this application has stashed, once no result needs them."""
+    _delete(spark, _own_dir(spark))
+
+
 def drop_stash(df: DataFrame) -> None:
     """Deletes the files of a stash that no later plan reads."""
-    spark = df.sparkSession
     files = df.inputFiles()
-    if not files:
-        return
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if files:
+        _delete(df.sparkSession, files[0].rpartition("/")[0])
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

@@ -62,3 +62,16 @@ def test_odd_rows(spark):
 
 def test_plan_is_native(spark):
     assert "Python" not in S.assign(docs_frame(spark, ["a"]))._jdf.queryExecution().toString()
+
+
+def test_stashes_can_be_cleared(spark):
+    from cinderlog.llm import common
+
+    kept = common.stash(spark.range(3).toDF("x"), "three")
+    assert kept.count() == 3 and kept.inputFiles()[0].startswith("file:")
+    common.drop_stash(kept)
+    common.stash(spark.range(3).toDF("x"), "three")
+    common.clear_stashes(spark)
+    import os
+
+    assert not os.path.exists(common._own_dir(spark))
