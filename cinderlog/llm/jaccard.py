@@ -229,6 +229,23 @@ def _tree_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
     return groups.mapInArrow(K.task(joined), "u long, v long").distinct()
 
 
+def _bounded(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) of classes whose summed coordinate minima reach what a link needs."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.zeros(batch.num_rows, bool)
+            n, m = (np.asarray(batch.column(c)).astype(np.int64) for c in ("n", "m"))
+            for k in range(0, batch.num_rows, 2048):
+                a, b = (np.frombuffer(b"".join(batch.column(c)[k : k + 2048].to_pylist()), np.uint16).reshape(-1, GROUPS) for c in ("a", "b"))
+                ok[k : k + 2048] = np.minimum(a, b).sum(1, dtype=np.int64) >= needed(n[k : k + 2048], m[k : k + 2048], num, den)
+            yield batch.select(["u", "v"]).filter(pa.array(ok))
+
+    first = known.select(F.col("sig").alias("u"), "n", F.col("point").alias("a"))
+    second = known.select(F.col("sig").alias("v"), F.col("n").alias("m"), F.col("point").alias("b"))
+    return pairs.join(first, "u").join(second, "v").select("u", "v", "n", "m", "a", "b").mapInArrow(K.task(kept), "u long, v long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, size: int) -> DataFrame:
     """The pairs (u, v) whose exact sets link."""
 
@@ -271,7 +288,7 @@ def link(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = WORDS) ->
     hubs = members.groupBy("key").agg(F.max(F.struct("cells", "sig")).alias("hub"))
     stars = members.join(hubs, "key").where("sig <> hub.sig").groupBy("sig").agg(F.max("hub").alias("hub"))
     stars = stars.select(F.col("sig").alias("u"), F.col("hub.sig").alias("v"))
-    first = stash(_verified(stars, texts, num, den, size), "links")
+    first = stash(_verified(_bounded(stars, known, num, den), texts, num, den, size), "links")
     label = stash(components(first), "labels")
 
     labelled = members.join(label, F.col("sig") == F.col("node"), "left").select("key", "sig", "size", F.coalesce("label", "sig").alias("label"))
