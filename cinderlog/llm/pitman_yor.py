@@ -35,7 +35,7 @@ from cinderlog.llm.common import remainder, stash, table
 #: Classes of the word before; 0 is the start of a text.
 CONTEXTS = 64
 #: Most words whose probabilities are broadcast.
-HEAD = 1 << 17
+HEAD = 1 << 16
 #: Customers of a dish up to which its tables are drawn exactly.
 EXACT = 48
 #: Sweeps of the first round, and of the second: not averaged, averaged.
