@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinderlog.functions.buckets import floor_to
+from cinderlog.functions.buckets import day_of, floor_to
 from cinderlog.functions.percentiles import nearest_rank
 from cinderlog.operators import aggregate, metrics, predicates, rollup, search, validate
 from cinderlog.operators.cursor import decode, encode
 from cinderlog.operators.params import micros_of, parse_aggregate, parse_filters
 from cinderlog.model import Filters, Position
-from cinderlog.sources import events, generator
+from cinderlog.sources import events, generator, requests
 from cinderlog.sources.scratch import scratch
 from cinderlog.sources.store import Store
 from cinderlog.streaming.ingest import ingest
@@ -383,6 +383,44 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.snapshot(done.select("accepted", F.size("rejected").cast("long").alias("rejected"), (F.col("status") >= 500).alias("failed")), F.lit(3600))
 
 
+@query(
+    "metrics_json",
+    f"""SELECT '{{"accepted":' || count(*) FILTER (event_id % 10 >= 8) || ',"rejected":' || count(*) FILTER (event_id % 10 < 8) || ',"failures":0,"rate":'
+|| CAST(round(count(*) FILTER (event_id % 10 >= 8) / 3600) AS BIGINT) || '}}' AS value FROM events""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = validate.answers(_checked(spark, sf_dir), ["request_id"])
+    counted = done.select("accepted", F.size("rejected").cast("long").alias("rejected"), (F.col("status") >= 500).alias("failed"))
+    return requests.as_json(metrics.snapshot(counted, F.lit(3600)))
+
+
+@query(
+    "buckets_json",
+    LOGS
+    + """SELECT '{"start":"' || strftime(time_bucket(INTERVAL '1 day', timestamp), '%Y-%m-%dT%H:%M:%S.%fZ') || '","group":"' || level || '","count":' || count(*) || '}' AS value
+FROM logs GROUP BY time_bucket(INTERVAL '1 day', timestamp), level""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = parse_aggregate({"since": MONTH[0], "until": MONTH[1], "bucket": "1d", "group_by": "level"})
+    counts = aggregate.raw_counts(events.logs(spark, sf_dir), params)
+    return requests.as_json(counts.select(F.col("bucket_start").alias("start"), F.col("grp").alias("group"), F.col("cnt").alias("count")))
+
+
+@query(
+    "page_json",
+    LOGS
+    + """SELECT '{"id":"' || id || '","timestamp":"' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%fZ') || '","level":"' || level || '","service":"' || service || '","message":"' || message
+|| '","attributes":{"k":"' || k || '","user_id":"' || user_id || '","event_type":"' || event_type || '"}}' AS value FROM logs ORDER BY timestamp DESC, id DESC LIMIT 100""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.as_json(search.top(events.logs(spark, sf_dir), Filters(), 100))
+
+
+@query("bucket_day", LOGS + "SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS day, count(*) AS rows FROM logs GROUP BY 1")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.logs(spark, sf_dir).groupBy(day_of(F.col("timestamp")).cast("string").alias("day")).agg(F.count("*").alias("rows"))
+
+
 # the store and the stream
 
 _TODAY = "2024-01-31T09:30:00Z"

@@ -52,8 +52,8 @@ def bucket_drift(counters: DataFrame, logs: DataFrame, grain: str = "minute") ->
 def net_drift(counters: DataFrame, logs: DataFrame) -> DataFrame:
     """One row: rows of the logs less the sum of counters."""
     total = logs.agg(F.count("*").alias("n"))
-    kept = counters.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("c"))
-    return total.crossJoin(kept).select((F.col("n") - F.col("c")).alias("drift"))
+    kept = counters.agg((-F.coalesce(F.sum("count"), F.lit(0))).cast("long").alias("n"))
+    return total.unionByName(kept).agg(F.sum("n").alias("drift"))
 
 
 def keep_days(table: DataFrame, column: str, today: int, days: int) -> DataFrame:

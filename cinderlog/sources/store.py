@@ -61,7 +61,10 @@ class Store:
         text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils
         stream = self._fs.open(self._path(f"{self.root}/manifests/v{versions[-1]:012d}.json"))
         try:
-            return Manifest(**json.loads(text.toString(stream, "UTF-8")))
+            found = Manifest(**json.loads(text.toString(stream, "UTF-8")))
+            if found.format != FORMAT:
+                raise ValueError(f"manifest format {found.format} is not {FORMAT}")
+            return found
         finally:
             stream.close()
 
