@@ -34,7 +34,7 @@ from cinderlog.llm.common import small, stash, table, text_hash, utf8_bytes
 
 LENGTH, GRAM = 100, 32
 #: Snippets of one lead gram in a shard, and bytes of snippets that are sorted at once.
-CAP, SHARD = 4096, 4 << 20
+CAP, SHARD = 4096, 2 << 20
 #: Bits of a byte's place beside a gram's hash: texts up to 256 MB.
 PLACE = 28
 LAST = 2**63 - 1
@@ -120,13 +120,13 @@ def common_prefixes(text: np.ndarray, start: np.ndarray, end: np.ndarray, order:
     are gone through abreast, so a step works on one suffix of each.
     """
     n = len(text)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    before = np.full(n, -1, np.int64)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    limit = np.repeat(end, end - start)
+    limit = np.repeat(end.astype(np.int32), end - start)
     at = K.eights(text)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     live = np.argsort(start - end, kind="stable")  # longest first
     size = (end - start)[live]
     have = np.zeros(len(live), np.int64)
@@ -153,8 +153,8 @@ def common_prefixes(text: np.ndarray, start: np.ndarray, end: np.ndarray, order:
 
 def window_groups(text: np.ndarray, start: np.ndarray, end: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of all snippets in suffix order: their places, their snippets and the numbers of their groups of equals."""
-    limit = np.repeat(end, end - start)
-    owner = np.repeat(np.arange(len(start)), end - start)
+    limit = np.repeat(end.astype(np.int32), end - start)
+    owner = np.repeat(np.arange(len(start), dtype=np.int32), end - start)
     order = suffix_array(text, limit, int((end - start).max()))
     shared = common_prefixes(text, start, end, order, length)
     whole = np.flatnonzero(limit[order] - order >= length)
