@@ -267,11 +267,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, size: int)
 def link(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """The stored sets of all rows, and (node, label) of every class that links with a different one."""
     sets = _sets(docs, num, den, size)
-    rows = sets.select(F.explode("keys").alias("key"), "sig").repartition("key")
-    shared = rows.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("key")
-    members = stash(rows.join(shared, "key").distinct(), "cells")
-    per_cell = members.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.col("sig").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("sig")).alias("x"))
-    popular = members.groupBy("sig").agg(F.count("*").alias("cells"))
+    rows = sets.select(F.explode("keys").alias("key"), "sig")
+    # counts are summed before they are shuffled, and a cell of very many rows meets its count in several tasks
+    shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    members = stash(rows.join(shared, "key"), "cells").distinct()
+    per_cell = members.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.col("sig").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("sig")).alias("x")).where("size > 1")
+    popular = members.join(per_cell.select("key"), "key").groupBy("sig").agg(F.count("*").alias("cells"))
     # cells of the same classes are one
     kept = per_cell.groupBy("size", "s", "x").agg(F.min("key").alias("key")).select("key", "size")
     members = stash(members.join(kept, "key").join(popular, "sig").select("key", "sig", "size", "cells"), "members")
