@@ -54,8 +54,9 @@ class Store:
             return []
         return sorted(int(s.getPath().getName()[1:-5]) for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
 
-    def manifest(self) -> Manifest:
-        versions = self._versions()
+    def manifest(self, version: int | None = None) -> Manifest:
+        """The current manifest, or that of a version."""
+        versions = [version] if version else self._versions()
         if not versions:
             return Manifest()
         text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils
@@ -190,6 +191,33 @@ class Store:
         manifest = self.manifest()
         return self._replace(manifest, rollup.merge(self.counters("rollup_1s", manifest)), rollup.merge(self.counters("rollup_1m", manifest)), "compact")
 
+    def compact_logs(self, folders: int = 64) -> Manifest:
+        """One part in place of the oldest small ones; batch ids stay known, and readers of older manifests keep theirs."""
+        manifest = self.manifest()
+        old, rest = manifest.folders["logs"][:folders], manifest.folders["logs"][folders:]
+        if len(old) < 2:
+            return manifest
+        rows = self.logs(replace(manifest, folders=manifest.folders | {"logs": old})).select(*LOGS.names)
+        folder = self._write("logs", rows, f"compact-{manifest.version + 1}")
+        return self.publish(replace(manifest, folders=manifest.folders | {"logs": [folder, *rest]}))
+
+    def vacuum(self, versions: int = 2) -> list[str]:
+        """Deletes the folders that none of the last so many manifests names, and older manifests; returns those folders."""
+        kept = self._versions()[-versions:]
+        live = {f"{t}/{f}" for v in kept for t, names in self.manifest(v).folders.items() for f in names}
+        gone = []
+        for table in TABLES:
+            folder = self._path(f"{self.root}/{table}")
+            for s in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
+                name = f"{table}/{s.getPath().getName()}"
+                if name not in live:
+                    self._fs.delete(s.getPath(), True)
+                    gone.append(name)
+        for v in self._versions():
+            if v not in kept:
+                self._fs.delete(self._path(f"{self.root}/manifests/v{v:012d}.json"), False)
+        return sorted(gone)
+
     def retain(self, today: int, days: int) -> tuple[Manifest, list[str]]:
         """Rows and counters older than so many days leave together; returns the days whose folders were deleted.
 
@@ -203,7 +231,8 @@ class Store:
         day = self.spark.range(1).select(day_of(at(manifest.rows_from)).cast("string")).first()[0]
         gone = set()
         for folder in manifest.folders["logs"]:
-            for s in self._fs.listStatus(self._path(f"{self.root}/logs/{folder}")):
+            at_folder = self._path(f"{self.root}/logs/{folder}")
+            for s in self._fs.listStatus(at_folder) if self._fs.exists(at_folder) else []:
                 name = s.getPath().getName()
                 if name.startswith("day=") and name[4:] < day:
                     self._fs.delete(s.getPath(), True)

@@ -82,6 +82,22 @@ def test_repair_reconcile_compact(spark, tmp_path):
     assert drift(store) == 0 and len(store.manifest().folders["rollup_1m"]) == 1
 
 
+def test_compaction_of_rows_and_vacuum(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    for k in range(4):
+        store.append(f"b{k}", entries(spark, 10, first=10 * k))
+    before, rows = store.manifest(), sorted(store.logs().drop("attributes").collect())
+    store.compact_logs(3)
+    assert len(store.manifest().folders["logs"]) == 2
+    assert sorted(store.logs().drop("attributes").collect()) == rows == sorted(store.logs(before).drop("attributes").collect())
+    store.append("b1", entries(spark, 10))  # still known
+    store.compact()
+    assert store.logs().count() == 40 and drift(store) == 0
+    gone = store.vacuum(1)
+    assert len(gone) == 3 + 8 and store.logs().count() == 40 and drift(store) == 0
+    assert store.vacuum(1) == []
+
+
 def test_retention_takes_rows_and_counters_together(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     store.append("a", entries(spark, 40, NOW - 20 * DAY, DAY // 2))
