@@ -167,21 +167,30 @@ class RTree:
         return me
 
     def pairs(self, num: int = NUM, den: int = DEN) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Row numbers of all pairs (each once) whose summed coordinate minima reach what a link needs."""
-        for leaf in self.leaves:
-            a = self.members[leaf]
-            stack = [self.root]
-            while stack:
-                node = stack.pop()
-                if int(np.minimum(self.high[leaf], self.high[node]).sum(dtype=np.int64)) < needed(self.least[leaf], self.least[node], num, den):
-                    continue
-                if self.children[node]:
-                    stack.extend(self.children[node])
-                    continue
-                b = self.members[node]
-                both = np.minimum(self.points[a][:, None, :], self.points[b][None, :, :]).sum(2, dtype=np.int64)
-                i, j = np.nonzero((both >= needed(self.sizes[a][:, None], self.sizes[b][None, :], num, den)) & (a[:, None] < b[None, :]))
-                yield a[i], b[j]
+        """Row numbers of all pairs (each once) whose summed coordinate minima reach what a link needs.
+
+        All leaves go down the tree abreast: a step takes each (leaf, node) that the bound leaves to the node's children.
+        """
+        high, least = np.stack(self.high), np.array(self.least, np.int64)
+        children = np.array([c or (-1, -1) for c in self.children])
+        place = np.full(len(high), -1)
+        place[self.leaves] = np.arange(len(self.leaves))
+        leaf = np.array(self.leaves)
+        node = np.full(len(leaf), self.root)
+        while len(leaf):
+            ok = np.zeros(len(leaf), bool)
+            for k in range(0, len(leaf), 4096):
+                a, b = leaf[k : k + 4096], node[k : k + 4096]
+                ok[k : k + 4096] = np.minimum(high[a], high[b]).sum(1, dtype=np.int64) >= needed(least[a], least[b], num, den)
+            leaf, node = leaf[ok], node[ok]
+            end = place[node] >= 0
+            for a, b in zip(leaf[end].tolist(), node[end].tolist(), strict=True):
+                if place[a] <= place[b]:
+                    i, j = self.members[a], self.members[b]
+                    both = np.minimum(self.points[i][:, None, :], self.points[j][None, :, :]).sum(2, dtype=np.int64)
+                    x, y = np.nonzero((both >= needed(self.sizes[i][:, None], self.sizes[j][None, :], num, den)) & ((a != b) | (np.arange(len(i))[:, None] < np.arange(len(j))[None, :])))
+                    yield i[x], j[y]
+            leaf, node = np.repeat(leaf[~end], 2), children[node[~end]].ravel()
 
 
 def _leaf_pairs(points: np.ndarray, sizes: np.ndarray, border: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
