@@ -114,8 +114,8 @@ class Store:
     def _write(self, name: str, table: DataFrame, folder: str) -> str:
         to = f"{self.root}/{name}/batch={folder}"
         if name == "logs":
-            # rows of a day together, sorted for file statistics
-            days = table.withColumn("day", day_of(F.col("timestamp"))).repartition("day", F.pmod(F.xxhash64("id"), F.lit(4)))
+            # rows of a day together, a large day in several files and small ones in a task, sorted for file statistics
+            days = table.withColumn("day", day_of(F.col("timestamp"))).hint("rebalance", F.col("day"))
             days.sortWithinPartitions("day", "service", "timestamp", "id").write.mode("overwrite").partitionBy("day").parquet(to)
         else:
             table.write.mode("overwrite").parquet(to)
