@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Bytes handled at once, so that temporaries stay within a few dozen MB.
-SLICE = 2 << 20
+#: Bytes handled at once, so that temporaries stay in the cache.
+SLICE = 1 << 19
 
 SPACE_BYTES = np.zeros(256, bool)
 SPACE_BYTES[[0x20, *range(0x09, 0x0E)]] = True

@@ -34,7 +34,7 @@ from cinderlog.llm.common import small, stash, table, text_hash, utf8_bytes
 
 LENGTH, GRAM = 100, 32
 #: Snippets of one lead gram in a shard, and bytes of snippets that are sorted at once.
-CAP, SHARD = 4096, 2 << 20
+CAP, SHARD = 4096, 1 << 20
 #: Bits of a byte's place beside a gram's hash: texts up to 256 MB.
 PLACE = 28
 LAST = 2**63 - 1
