@@ -10,11 +10,12 @@ rectangle in that block's coordinates); only points that share a cell are compar
 while at least one other must agree (the spare blocks of a scheme cover for them), so common lines make no large cells.
 Sizes fall in bands of powers of two; a pair across two bands meets in a scheme of its own.
 
-Equal sets are one class. In each cell the class that shares most cells is the hub; each class is first verified against
-its best hub, which joins large groups of near copies by a star. Cells that still hold several components are indexed by
-an R-tree of their points (in chunks beyond CHUNK points, by pairs of chunks), whose nodes are cut by the bound; pairs
-that survive between different components are verified. Components are then those of all verified links; no link between
-different components is lost, and a pair inside a component needs no check.
+Equal sets are one class. In each cell the class that shares most cells is the hub; each class is first compared with its
+best hub, by the bound and then by the exact sets, which joins large groups of near copies by a star. Cells that still
+hold several components are indexed by an R-tree of their points (in chunks beyond CHUNK points, by pairs of chunks; up
+to LEAF points are a leaf of their own), whose nodes are cut by the bound; pairs that survive between different
+components are verified. Components are then those of all verified links; no link between different components is lost,
+and a pair inside a component needs no check.
 
 Defined cases: a null or empty text, or one of white space, has no shingles and is alone (component_id is its doc_id);
 rows of equal doc_id are told apart by their texts; repeated rows are equal sets; a null doc_id takes part, and the
