@@ -278,7 +278,7 @@ def link(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = WORDS) ->
     """The stored sets of all rows, and (node, label) of every class that links with a different one."""
     sets = _sets(docs, num, den, size)
     rows = sets.select(F.explode("keys").alias("key"), "sig")
-    # counts are summed before they are shuffled, and a cell of very many rows meets its count in several tasks
+    # counts are summed before they are shuffled; a join streams the rows of a hot cell past one row, without holding them
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = stash(rows.join(shared, "key"), "cells").distinct()
     per_cell = members.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.col("sig").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("sig")).alias("x")).where("size > 1")

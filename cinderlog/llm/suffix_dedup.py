@@ -398,7 +398,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     skipped = copies.select("rid")
     rows = grams.select("rid", F.arrays_zip("grams", "counts").alias("g")).join(small(skipped, copies.count(), 16), "rid", "left_anti")
     rows = rows.select("rid", F.explode("g").alias("g")).select("rid", F.col("g.grams").alias("gram"), F.col("g.counts").alias("c"))
-    # counts are summed before they are shuffled, and a gram of very many rows meets its count in several tasks
+    # counts are summed before they are shuffled; a join streams the rows of a hot gram past one row, without holding them
     often = rows.groupBy("gram").agg(F.sum("c").alias("total")).where("total > 1")
     wanted = rows.join(often, "gram").select("rid", F.struct("gram", F.ceil(F.col("total") / CAP).cast("int").alias("salts")).alias("s"))
     wanted = wanted.groupBy("rid").agg(F.collect_list("s").alias("s")).join(ids.select("rid", "doc_id", "th", "doc"), "rid")
