@@ -8,8 +8,9 @@ customer of the parent.
 A dish's seating enters a predictive probability only by its number of tables, and given the totals of restaurants all
 dishes are independent: a dish (a word with its counts in all contexts) is a row, and Gibbs sweeps run over blocks of
 dishes. A dish's tables are drawn from their full conditional, which weighs t tables of n customers by the generalised
-Stirling number and the t-th power of the weight of a new table; beyond EXACT customers they are seated in turn, in
-blocks. Restaurants' totals are taken anew between the two rounds of sweeps. Predictive probabilities are averaged over
+Stirling number and the t-th power of the weight of a new table; beyond EXACT customers by the ratios of these numbers
+(rows to FAR customers, their limit law beyond). Restaurants' totals start as those of one table a dish
+and are taken anew between the two rounds of sweeps. Predictive probabilities are averaged over
 the samples of the second round. Discounts come from the numbers of counts of one and two.
 
 Counts, dishes and words outside the HEAD most frequent ones travel by shuffle, and grow with the corpus; only the HEAD
@@ -22,7 +23,9 @@ and has probability 1 of the base; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,11 @@ from cinderlog.llm.common import remainder, stash, table
 CONTEXTS = 64
 #: Most words whose probabilities are broadcast.
 HEAD = 1 << 16
-#: Customers of a dish up to which its tables are drawn exactly.
+#: Customers of a dish up to which its tables are drawn from rows of Stirling numbers; beyond, from their ratios.
 EXACT = 48
+#: Customers up to which all, and some rows of ratios of Stirling numbers are held; tables in them.
+WHOLE, FAR, WIDE = 512, 1 << 14, 2048
+NORMAL = NormalDist()
 #: Sweeps of the first round, and of the second: not averaged, averaged.
 FIRST, BURN, SAMPLES = 3, 1, 4
 CONCENTRATION = 1.0
@@ -94,16 +100,97 @@ def draw_tables(n: np.ndarray, weight: np.ndarray, d: float, stirling: np.ndarra
             t[part] = 1 + (rng.random(len(part))[:, None] * p[:, -1:] > p).sum(1)
     big = np.flatnonzero(n > EXACT)
     if len(big):
-        seated, tables, w = np.ones(len(big)), np.ones(len(big)), weight[big]
-        while (left := n[big] - seated).max() > 0:
-            block = np.minimum(left, np.maximum(1, np.floor(seated * 0.25)))
-            p = w / (w + np.maximum(seated + block / 2 - d * tables, 1 - d))
-            tables += rng.binomial(block.astype(np.int64), np.clip(p, 0, 1))
-            seated += block
-        t[big] = tables.astype(np.int64)
+        t[big] = _draw_big(n[big], np.maximum(weight[big], 1e-300), d, rng.random(len(big)))
     return t
 
 
+@functools.cache
+def _ratios(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Customers of the rows, and rows of (t - 1) d S(n, t) / S(n, t - 1) for t from 2 (0 beyond n).
+
+    All n to WHOLE are rows; beyond, rows are a fiftieth apart, to FAR, and t to WIDE.
+    """
+    steps = [WHOLE]
+    while steps[-1] < FAR:
+        steps.append(min(FAR, steps[-1] + max(1, steps[-1] // 50)))
+    known = np.array([*range(1, WHOLE), *steps])
+    rows = np.zeros((len(known), WIDE - 1))
+    t = np.arange(2, WIDE + 1)
+    r = np.zeros(WIDE - 1)  # S(n, t) / S(n, t - 1), from n = 1
+    at = 1
+    for n in range(1, FAR):
+        m = min(n, WIDE - 1)  # t = 2 .. m + 1 exist for n + 1
+        below = np.zeros(m)  # 1 / the ratio one t below; S(n, 0) = 0
+        below[1:] = 1 / r[: m - 1]
+        r[:m] = (1 + (n - d * t[:m]) * r[:m]) / (below + n - d * (t[:m] - 1))
+        if n + 1 == known[at]:
+            rows[at] = r * (t - 1) * d
+            at += 1
+    return known, rows
+
+
+def _draw_big(n: np.ndarray, w: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
+    """draw_tables beyond EXACT: from the ratios of neighbouring terms S(n, t) w^t, in a window around their saddle point.
+
+    The terms are those of a sum of Poisson(w / d) many Sibuya(d) sizes held at n: tilted by x^size so that its mean is n,
+    the number of sizes has the saddle point's mean and variance. Rows between those of _ratios are interpolated in log n;
+    beyond FAR, u(n, t) = log ratio n^d depends on t / n^d alone. Where t leaves the table (n > WHOLE, and t beyond WIDE or
+    a quarter of n), the saddle point's normal law is drawn from: hundreds of tables, and the mean is off by about one.
+    """
+    nf = n.astype(float)
+    # 1 - x, where w x (1 - x)^(d - 1) = n, by bisection of its logarithm
+    lo, hi = np.full(len(n), -700.0), np.full(len(n), -1e-12)
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        more = np.log(w) + np.log(-np.expm1(mid)) + (d - 1) * mid > np.log(nf)
+        lo, hi = np.where(more, mid, lo), np.where(more, hi, mid)
+    y = np.exp(lo)
+    mean = w / d * -np.expm1(d * lo)
+    var = np.maximum(mean - nf * y / (1 - d * (1 - y)), 0) + 0.25
+    reach = 10 + 8 * np.sqrt(var + 2)
+    first = np.clip(np.floor(mean - reach), 1, n).astype(np.int64)
+    last = np.clip(np.ceil(mean + reach), 1, n).astype(np.int64)
+    out = np.ones(len(n), np.int64)
+    smooth = (n > WHOLE) & ((last > WIDE) | (last > n // 4))
+    normal = np.flatnonzero(smooth)
+    if len(normal):
+        z = np.array([NORMAL.inv_cdf(min(max(x, 1e-12), 1 - 1e-12)) for x in u[normal].tolist()])
+        out[normal] = np.clip(np.rint(mean[normal] + z * np.sqrt(var[normal])), 1, n[normal]).astype(np.int64)
+    rest = np.flatnonzero(~smooth)
+    if not len(rest):
+        return out
+    known, rows = _ratios(d)
+    width = last - first
+    kind = np.ceil(np.log2(width[rest] + 1)).astype(np.int64)
+    for k in np.unique(kind).tolist():
+        chosen = rest[kind == k]
+        span = np.arange(1, (1 << k) + 1)
+        for part in np.array_split(chosen, max(1, (len(chosen) << k) // 1_000_000)):
+            t = first[part][:, None] + span  # the ratio leads to t from t - 1
+            live = t <= last[part][:, None]
+            m = np.minimum(nf[part], FAR)
+            i = np.minimum(np.searchsorted(known, m, "right") - 1, len(known) - 2)
+            f = (np.log(m / known[i]) / np.log(known[i + 1] / known[i]))[:, None]
+            shrink = (np.minimum(1.0, FAR / nf[part]) ** d)[:, None]
+            place = np.clip(t * shrink - 2, 0, WIDE - 2)
+            j = np.minimum(place.astype(np.int64), WIDE - 3)
+            g = place - j
+            with np.errstate(divide="ignore", invalid="ignore"):
+                below, above = np.log(rows[i[:, None], j]), np.log(rows[i[:, None] + 1, j])
+                value = np.where(f > 0, np.where(f < 1, (1 - f) * below + f * above, above), below)
+                between = np.flatnonzero(shrink[:, 0] < 1)
+                if len(between):
+                    above = np.log(rows[-1][j[between] + 1])
+                    value[between] = ((1 - g[between]) * value[between] + g[between] * above) * shrink[between]
+                step = value - np.log(d * (t - 1)) + np.log(w[part])[:, None]
+            logits = np.concatenate([np.zeros((len(part), 1)), np.cumsum(np.where(live, step, 0.0), 1)], 1)
+            p = np.exp(logits - logits.max(1, keepdims=True, where=np.concatenate([np.ones((len(part), 1), bool), live], 1), initial=-np.inf))
+            p[:, 1:] *= live
+            p = np.cumsum(p, 1)
+            out[part] = first[part] + (u[part][:, None] * p[:, -1:] > p).sum(1)
+    return out
+
+
 class Dishes:
     """A block of dishes: words, and their customers by context, in flat arrays."""
 
@@ -114,16 +201,10 @@ class Dishes:
         self.t = np.ones(len(n), np.int64) if tables is None else tables
         self.own = np.ones(self.size, np.int64) if own is None else own  # tables in the parent
 
-    def sweep(self, model: dict, rng: np.random.Generator, known: bool) -> None:
-        """One Gibbs pass over all tables; known: the restaurants' totals are given, else this block's are scaled up."""
+    def sweep(self, model: dict, rng: np.random.Generator) -> None:
+        """One Gibbs pass over all tables, by the restaurants' totals of the model."""
         d1, d0, theta, base = model["d1"], model["d0"], CONCENTRATION, model["base"]
-        if known:
-            t_c, t_0, own_0 = model["t_c"], model["t_0"], model["own_0"]
-        else:
-            here = np.bincount(self.context, self.n, CONTEXTS + 1)
-            scale = model["n_c"] / np.maximum(here, 1)
-            t_c = np.bincount(self.context, self.t, CONTEXTS + 1) * np.where(here > 0, scale, 0)
-            t_0, own_0 = t_c.sum(), self.own.sum() * model["words"] / max(1, self.size)
+        t_c, t_0, own_0 = model["t_c"], model["t_0"], model["own_0"]
         t_w = np.bincount(self.dish, self.t, self.size)
         p0 = (t_w - d0 * self.own + (theta + d0 * own_0) * base) / (theta + t_0)
         self.t = draw_tables(self.n, (theta + d1 * t_c[self.context]) * p0[self.dish], d1, model["s1"], rng)
@@ -176,14 +257,16 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict]:
     dishes = count_dishes(docs)
     totals = dishes.agg(F.count("*").alias("words"), F.coalesce(F.sum("total"), F.lit(0)).alias("tokens")).first()
     one = dishes.select(F.explode(F.arrays_zip("contexts", "customers")).alias("p"))
-    by_context = one.groupBy("p.contexts").agg(F.sum("p.customers").alias("n"), F.count_if(F.col("p.customers") == 1).alias("once"), F.count_if(F.col("p.customers") == 2).alias("twice")).collect()
-    n_c = np.zeros(CONTEXTS + 1)
+    by_context = one.groupBy("p.contexts").agg(F.sum("p.customers").alias("n"), F.count("*").alias("kinds"), F.count_if(F.col("p.customers") == 1).alias("once"), F.count_if(F.col("p.customers") == 2).alias("twice")).collect()
+    # the first totals are those of one table a dish, taken over all dishes
+    n_c, kinds_c = np.zeros(CONTEXTS + 1), np.zeros(CONTEXTS + 1)
     for r in by_context:
-        n_c[r["contexts"]] = r["n"]
+        n_c[r["contexts"]], kinds_c[r["contexts"]] = r["n"], r["kinds"]
     kinds = dishes.agg(F.count_if(F.size("contexts") == 1).alias("once"), F.count_if(F.size("contexts") == 2).alias("twice")).first()
     d1, d0 = _discount(sum(r["once"] for r in by_context), sum(r["twice"] for r in by_context)), _discount(kinds["once"], kinds["twice"])
     words = totals["words"]
     model = {"d1": d1, "d0": d0, "base": 1.0 / (words + 1), "n_c": n_c, "words": words, "tokens": totals["tokens"], "s1": _log_stirling(d1), "s0": _log_stirling(d0)}
+    model |= {"t_c": kinds_c, "t_0": kinds_c.sum(), "own_0": float(words)}
     first_model = spark.sparkContext.broadcast(model)
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +275,7 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict]:
                 border, (context, n) = _block(batch, "contexts", "customers")
                 block, rng = Dishes(border, context, n), _seed(batch, 1)
                 for _ in range(FIRST):
-                    block.sweep(first_model.value, rng, False)
+                    block.sweep(first_model.value, rng)
                 yield pa.RecordBatch.from_arrays([*batch.columns, K.lists(block.t, border, pa.int64()), pa.array(block.own)], names=[*batch.schema.names, "tables", "own"])
 
     seated = stash(dishes.mapInArrow(K.task(seat), "word long, contexts array<short>, customers array<long>, total long, tables array<long>, own long"), "seated")
@@ -210,7 +293,7 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict]:
                 block, rng = Dishes(border, context, n, t, np.asarray(batch.column("own"))), _seed(batch, 2)
                 p0, p = np.zeros(block.size), np.zeros(len(n))
                 for k in range(BURN + SAMPLES):
-                    block.sweep(second_model.value, rng, True)
+                    block.sweep(second_model.value, rng)
                     if k >= BURN:
                         a, b = block.predict(second_model.value)
                         p0 += a / SAMPLES

@@ -350,6 +350,17 @@ def test_tables_are_drawn_from_their_conditional():
     assert many[0] == 0 and many[1] == 1 and 1 <= many[2] <= 500
 
 
+@pytest.mark.parametrize(("d", "n", "w"), [(0.5, 500, 5.0), (0.8, 500, 5.0), (0.5, 3000, 5.0), (0.8, 3000, 50.0), (0.5, 2000, 1500.0)])
+def test_many_customers_are_seated_by_the_same_conditional(d, n, w):
+    s = P._log_stirling(d, n)
+    logits = s[n, 1 : n + 1] + np.arange(1, n + 1) * math.log(w)
+    want = np.exp(logits - logits.max())
+    want = np.cumsum(want / want.sum())
+    t = P.draw_tables(np.full(20000, n), np.full(20000, w), d, P._log_stirling(d), np.random.default_rng(2))
+    got = np.cumsum(np.bincount(t, minlength=n + 1)[1:]) / 20000
+    assert np.abs(got - want).max() < 0.03
+
+
 def test_model_of_odd_tables(spark):
     empty = docs_frame(spark, []).select("doc_id", "text")
     model_words, model = P.train(empty)
