@@ -1,20 +1,21 @@
 """Language-model scoring by a hierarchical Pitman-Yor model, seated by Gibbs sampling.
 
-Every token is a customer of the restaurant of its context, the class of the word before it (CONTEXTS classes, of the
-word's last two bytes, and one for a text's start). All context restaurants share one parent, the restaurant of words
-without context, whose base is uniform over the V known words and one unknown. A table of a context restaurant is a
-customer of the parent.
+Every token is a customer of the restaurant of its context, the word before it (or a text's start), by its full hash: there
+are as many restaurants as words. All context restaurants share one parent, the restaurant of words without context,
+whose base is uniform over the V known words and one unknown. A table of a context restaurant is a customer of the parent.
 
 A dish's seating enters a predictive probability only by its number of tables, and given the totals of restaurants all
-dishes are independent: a dish (a word with its counts in all contexts) is a row, and Gibbs sweeps run over blocks of
-dishes. A dish's tables are drawn from their full conditional, which weighs t tables of n customers by the generalised
-Stirling number and the t-th power of the weight of a new table; beyond EXACT customers by the ratios of these numbers
-(rows to FAR customers, their limit law beyond). Restaurants' totals start as those of one table a dish
-and are taken anew between the two rounds of sweeps. Predictive probabilities are averaged over
-the samples of the second round. Discounts come from the numbers of counts of one and two.
-
-Counts, dishes and words outside the HEAD most frequent ones travel by shuffle, and grow with the corpus; only the HEAD
-words' probabilities (at most HEAD times CONTEXTS + 1) are broadcast.
+dishes are independent: a dish (a word with its counts in all contexts, and the totals of those) is a row, and Gibbs
+sweeps run over blocks of dishes. A word of more than PART contexts is several rows, each of which takes the tables of the
+others as they were when the round began. A dish's tables are drawn from their full conditional, which weighs t tables of
+n customers by the generalised Stirling number and the t-th power of the weight of a new table; beyond EXACT customers by
+the ratios of these numbers (rows to FAR customers, their limit law beyond). Restaurants' totals start as those of one
+table a dish, follow the block's tables in the first round, and are taken anew before the second. Predictive probabilities are those of
+the mean tables over the samples of the second round, with totals of these means, so that they sum to one. Discounts come from the numbers of counts of one and two. Draws are hashes of word, context and sweep.
+
+Pairs, dishes, and restaurants' totals travel by shuffle and grow with the corpus. Broadcast are only the totals of the
+HEAD most frequent contexts (numbered from 0; the others are named by their hash), the HEAD most frequent words, about
+HEAD * PAIRS pairs of the largest counts, and the words of more than PART contexts.
 
 Defined cases: a null or empty text is its end token alone; a null doc_id isn't learned from and has held_out null; rows
 of equal doc_id each get their own score; an empty table gives no rows; without training tokens every word is unknown
@@ -33,12 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlog.llm import kernels as K
-from cinderlog.llm.common import remainder, stash, table
-
-#: Classes of the word before; 0 is the start of a text.
-CONTEXTS = 64
-#: Most words whose probabilities are broadcast.
-HEAD = 1 << 16
+from cinderlog.llm.common import drop_stash, remainder, stash, table
+
+#: Most words and contexts whose probabilities are broadcast, and pairs for each.
+HEAD, PAIRS = 1 << 16, 16
+#: Most contexts of a word in a row.
+PART = 1 << 14
+#: Customers by which a context's share of tables in a block is drawn to the block's.
+PRIOR = 20
 #: Customers of a dish up to which its tables are drawn from rows of Stirling numbers; beyond, from their ratios.
 EXACT = 48
 #: Customers up to which all, and some rows of ratios of Stirling numbers are held; tables in them.
@@ -47,31 +50,31 @@ NORMAL = NormalDist()
 #: Sweeps of the first round, and of the second: not averaged, averaged.
 FIRST, BURN, SAMPLES = 3, 1, 4
 CONCENTRATION = 1.0
-#: The low bits of a word's hash make way for its context.
-LOW = np.uint64(127)
-END = int(K.mix(np.array([0xE0D], np.uint64) & ~LOW)[0]) & ~127
+END, START = (int(K.mix(np.array([x], np.uint64)).view(np.int64)[0]) for x in (0xE0D, 0x57A27))
 
 
-def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes with contexts in their low bits, an end token after each text, and the texts' borders."""
+def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes with an end token after each text, the hashes of their contexts, and the texts' borders."""
     low = K.LOWER_BYTES[data]
     starts, ends, border = K.words(low, off)
-    at = K.eights(low)
-    n = len(off) - 1
-    word = K.span_hash(low, starts, ends, 0, at) & ~LOW
-    size = np.minimum(ends - starts, 2)
-    tail = at[ends - size] & K._MASK[size]
-    group = K.mix(tail * np.uint64(4) + size.astype(np.uint64)) % np.uint64(CONTEXTS) + np.uint64(1)
     # one place more for each text's end
     place = np.arange(len(starts)) + K.owner(border)
-    new_border = border + np.arange(n + 1)
-    out = np.full(int(new_border[-1]), END & (2**64 - 1), np.uint64)
-    out[place] = word
-    context = np.zeros(len(out) + 1, np.uint64)
-    context[place + 1] = group
-    context = context[:-1]
-    context[new_border[:-1]] = 0
-    return out | context, new_border
+    new_border = border + np.arange(len(off))
+    word = np.full(int(new_border[-1]), END, np.int64)
+    word[place] = K.span_hash(low, starts, ends).view(np.int64)
+    context = np.empty_like(word)
+    context[1:] = word[:-1]
+    context[new_border[:-1]] = START
+    return word, context, new_border
+
+
+def _pair(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """One hash of word and context."""
+    return K.mix(word.view(np.uint64) + K.mix(context.view(np.uint64)))
+
+
+def _uniform(key: np.ndarray, salt: int) -> np.ndarray:
+    return (K.mix(key + K.mix(np.array([salt], np.uint64))) >> np.uint64(11)).astype(float) * 2.0**-53
 
 
 def _log_stirling(d: float, n_max: int = EXACT) -> np.ndarray:
@@ -86,8 +89,12 @@ def _log_stirling(d: float, n_max: int = EXACT) -> np.ndarray:
     return s
 
 
-def draw_tables(n: np.ndarray, weight: np.ndarray, d: float, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes with n customers, where a new table weighs `weight` against n - t d of the old ones."""
+def draw_tables(n: np.ndarray, weight: np.ndarray, d: float, stirling: np.ndarray, rng: np.random.Generator | np.ndarray) -> np.ndarray:
+    """Tables of dishes with n customers, where a new table weighs `weight` against n - t d of the old ones.
+
+    rng can be a uniform number for each dish.
+    """
+    u = rng if isinstance(rng, np.ndarray) else rng.random(len(n))
     t = np.ones(len(n), np.int64)
     t[n == 0] = 0
     log_w = np.log(np.maximum(weight, 1e-300))
@@ -97,10 +104,10 @@ def draw_tables(n: np.ndarray, weight: np.ndarray, d: float, stirling: np.ndarra
             logits = stirling[k, 1 : k + 1] + np.arange(1, k + 1) * log_w[part][:, None]
             p = np.exp(logits - logits.max(1, keepdims=True))
             p = np.cumsum(p, 1)
-            t[part] = 1 + (rng.random(len(part))[:, None] * p[:, -1:] > p).sum(1)
+            t[part] = 1 + (u[part][:, None] * p[:, -1:] > p).sum(1)
     big = np.flatnonzero(n > EXACT)
     if len(big):
-        t[big] = _draw_big(n[big], np.maximum(weight[big], 1e-300), d, rng.random(len(big)))
+        t[big] = _draw_big(n[big], np.maximum(weight[big], 1e-300), d, u[big])
     return t
 
 
@@ -192,59 +199,100 @@ def _draw_big(n: np.ndarray, w: np.ndarray, d: float, u: np.ndarray) -> np.ndarr
 
 
 class Dishes:
-    """A block of dishes: words, and their customers by context, in flat arrays."""
-
-    def __init__(self, border: np.ndarray, context: np.ndarray, n: np.ndarray, tables: np.ndarray | None = None, own: np.ndarray | None = None) -> None:
-        self.border, self.context, self.n = border, context, n
-        self.dish = K.owner(border)
-        self.size = len(border) - 1
-        self.t = np.ones(len(n), np.int64) if tables is None else tables
-        self.own = np.ones(self.size, np.int64) if own is None else own  # tables in the parent
-
-    def sweep(self, model: dict, rng: np.random.Generator) -> None:
-        """One Gibbs pass over all tables, by the restaurants' totals of the model."""
-        d1, d0, theta, base = model["d1"], model["d0"], CONCENTRATION, model["base"]
-        t_c, t_0, own_0 = model["t_c"], model["t_0"], model["own_0"]
-        t_w = np.bincount(self.dish, self.t, self.size)
-        p0 = (t_w - d0 * self.own + (theta + d0 * own_0) * base) / (theta + t_0)
-        self.t = draw_tables(self.n, (theta + d1 * t_c[self.context]) * p0[self.dish], d1, model["s1"], rng)
-        t_w = np.bincount(self.dish, self.t, self.size).astype(np.int64)
-        self.own = draw_tables(t_w, np.full(self.size, (theta + d0 * own_0) * base), d0, model["s0"], rng)
-
-    def predict(self, model: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities of the words without context and in each of their contexts, by the current seating."""
+    """A block of dishes in flat arrays: words, their contexts, and by context customers, tables and the context's totals."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        flat = lambda x: np.asarray(batch.column(x).flatten()).astype(np.int64)
+        self.border = np.concatenate([[0], np.cumsum(np.asarray(batch.column("contexts").value_lengths()))]).astype(np.int64)
+        self.dish, self.size = K.owner(self.border), batch.num_rows
+        self.context, self.n, self.t, self.n_c, self.t_c = map(flat, ("contexts", "customers", "tables", "n_c", "t_c"))
+        self.word = np.asarray(batch.column("word"))
+        self.own = np.asarray(batch.column("own")).astype(np.int64)  # tables in the parent
+        self.elsewhere = np.asarray(batch.column("all_tables")).astype(np.int64) - np.bincount(self.dish, self.t, self.size).astype(np.int64)
+        self.many = np.flatnonzero(self.n > 1)
+        self.key = _pair(self.word[self.dish[self.many]], self.context[self.many])
+
+    def _tables(self) -> np.ndarray:
+        return np.bincount(self.dish, self.t, self.size).astype(np.int64) + self.elsewhere
+
+    def follow(self, model: dict) -> dict:
+        """Carries the totals along by this block's tables, while those of all dishes are not known.
+
+        Of the customers of a context that need no table of their own, the share that has one is that of the block's pairs
+        in the context, drawn to that of the whole block as if by PRIOR customers. The model with the parent's totals.
+        """
+        m = self.many
+        if not hasattr(self, "start"):
+            self.start, (_, self.of) = self.t_c[m], np.unique(self.context[m], return_inverse=True)
+        more, left = np.bincount(self.of, self.t[m] - 1), np.bincount(self.of, self.n[m] - 1)
+        share = (more + PRIOR * more.sum() / max(1, left.sum())) / (left + PRIOR)
+        self.t_c = self.t_c.astype(float)
+        self.t_c[m] = self.start + (self.n_c[m] - self.start) * share[self.of]
+        return model | {"t_0": model["t_0"] * (self.t.sum() / max(1, len(self.t))), "own_0": model["own_0"] * self.own.mean()}
+
+    def sweep(self, model: dict, salt: int) -> None:
+        """One Gibbs pass over all tables, by the given totals of the restaurants."""
         d1, d0, theta = model["d1"], model["d0"], CONCENTRATION
-        t_w = np.bincount(self.dish, self.t, self.size)
-        p0 = (t_w - d0 * self.own + (theta + d0 * model["own_0"]) * model["base"]) / (theta + model["t_0"])
-        c = self.context
-        p = (self.n - d1 * self.t + (theta + d1 * model["t_c"][c]) * p0[self.dish]) / (theta + model["n_c"][c])
-        return p0, p
+        new = (theta + d0 * model["own_0"]) * model["base"]
+        p0 = (self._tables() - d0 * self.own + new) / (theta + model["t_0"])
+        m = self.many
+        self.t[m] = draw_tables(self.n[m], (theta + d1 * self.t_c[m]) * p0[self.dish[m]], d1, model["s1"], _uniform(self.key, salt))
+        self.own = draw_tables(self._tables(), np.full(self.size, new), d0, model["s0"], _uniform(self.word.view(np.uint64), salt))
 
 
-def _block(batch: pa.RecordBatch, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
-    columns = [batch.column(x) for x in names]
-    border = np.concatenate([[0], np.cumsum(np.asarray(columns[0].value_lengths()))]).astype(np.int64)
-    return border, [np.asarray(c.flatten()).astype(np.int64) for c in columns]
+def count_pairs(docs: DataFrame) -> DataFrame:
+    """Stored: word, context and n of all pairs in the texts of docs."""
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = K.buffers(batch.column("text"))
+            parts = [tokens(*K.cut(data, off, a, b))[:2] for a, b in K.slices(off)]
+            word, context = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
+            _, at, n = np.unique(_pair(word, context), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word[at]), pa.array(context[at]), pa.array(n.astype(np.int64))], names=["word", "context", "n"])
 
-def _seed(batch: pa.RecordBatch, salt: int) -> np.random.Generator:
-    words = np.asarray(batch.column("word"))
-    return np.random.default_rng([salt, int(np.bitwise_xor.reduce(words)) & (2**63 - 1), len(words)])
+    pairs = docs.select("text").mapInArrow(K.task(counted), "word long, context long, n long")
+    return stash(pairs.groupBy("word", "context").agg(F.sum("n").alias("n")), "pairs")
 
 
-def count_dishes(docs: DataFrame) -> DataFrame:
-    """Stored: word, contexts and customers (arrays), total, of the texts of docs."""
+def _least(rows: DataFrame, count: str, most: int) -> int:
+    """The least count with which at most `most` rows remain, by a histogram of eight steps for each doubling."""
+    least, left = 2**62, most
+    step = F.floor(F.log2(count) * 8)
+    for r in rows.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min(count).alias("least")).orderBy(F.desc("step")).collect():
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["least"]
+    return least
+
+
+def _totals(pairs: DataFrame, contexts: DataFrame, head: DataFrame) -> DataFrame:
+    """pairs with the columns of contexts: those of head ones by broadcast, of others by shuffle."""
+    near = pairs.join(F.broadcast(contexts.join(F.broadcast(head.select("context")), "context", "left_semi")), "context")
+    far = pairs.join(F.broadcast(head.select("context")), "context", "left_anti").join(contexts, "context")
+    return near.unionByName(far)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = K.buffers(batch.column("text"))
-            parts = [tokens(*K.cut(data, off, a, b))[0] for a, b in K.slices(off)]
-            key, n = np.unique(np.concatenate(parts or [np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array((key & ~LOW).view(np.int64)), pa.array((key & LOW).astype(np.int16)), pa.array(n.astype(np.int64))], names=["word", "context", "n"])
 
-    pairs = docs.select("text").mapInArrow(K.task(counted), "word long, context short, n long").groupBy("word", "context").agg(F.sum("n").alias("n"))
-    dishes = pairs.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("context", "n"))).alias("d"), F.sum("n").alias("total"))
-    return stash(dishes.select("word", F.col("d.context").alias("contexts"), F.col("d.n").alias("customers"), "total"), "dishes")
+def _dishes(pairs: DataFrame, contexts: DataFrame, head: DataFrame, hot: DataFrame) -> DataFrame:
+    """A row for each (word, slot) of pairs (word, slot, total, own, context, n, t), with its contexts' totals.
+
+    hot: the words of several slots, and all
+    their tables.
+    """
+    rows = _totals(pairs, contexts, head).groupBy("word", "slot").agg(F.max("own").alias("own"), F.sum("n").alias("here"), F.sum("t").alias("t"), F.sort_array(F.collect_list(F.struct("context", "n", "t", "n_c", "t_c"))).alias("d"))
+    return rows.join(F.broadcast(hot), "word", "left").select(
+        "word",
+        "slot",
+        F.coalesce("total", "here").alias("total"),
+        "own",
+        F.coalesce("all", "t").alias("all_tables"),
+        F.col("d.context").alias("contexts"),
+        F.col("d.n").alias("customers"),
+        F.col("d.t").alias("tables"),
+        F.col("d.n_c").alias("n_c"),
+        F.col("d.t_c").alias("t_c"),
+    )
 
 
 def _discount(once: int, twice: int) -> float:
@@ -252,82 +300,106 @@ def _discount(once: int, twice: int) -> float:
 
 
 def train(docs: DataFrame) -> tuple[DataFrame, dict]:
-    """Stored dishes with their averaged probabilities (word, total, p0, contexts, ps), and the restaurants' totals."""
+    """Words with their probabilities (word, total, p0, contexts, ps), and the model.
+
+    In the model, n_c and t_c are those of the numbered contexts; stored tables have those of all `contexts`, the `names`
+    (word, total, p0) and the `pairs` (word, context, n, p), which score() reads.
+    """
     spark = docs.sparkSession
-    dishes = count_dishes(docs)
-    totals = dishes.agg(F.count("*").alias("words"), F.coalesce(F.sum("total"), F.lit(0)).alias("tokens")).first()
-    one = dishes.select(F.explode(F.arrays_zip("contexts", "customers")).alias("p"))
-    by_context = one.groupBy("p.contexts").agg(F.sum("p.customers").alias("n"), F.count("*").alias("kinds"), F.count_if(F.col("p.customers") == 1).alias("once"), F.count_if(F.col("p.customers") == 2).alias("twice")).collect()
-    # the first totals are those of one table a dish, taken over all dishes
-    n_c, kinds_c = np.zeros(CONTEXTS + 1), np.zeros(CONTEXTS + 1)
-    for r in by_context:
-        n_c[r["contexts"]], kinds_c[r["contexts"]] = r["n"], r["kinds"]
-    kinds = dishes.agg(F.count_if(F.size("contexts") == 1).alias("once"), F.count_if(F.size("contexts") == 2).alias("twice")).first()
-    d1, d0 = _discount(sum(r["once"] for r in by_context), sum(r["twice"] for r in by_context)), _discount(kinds["once"], kinds["twice"])
-    words = totals["words"]
-    model = {"d1": d1, "d0": d0, "base": 1.0 / (words + 1), "n_c": n_c, "words": words, "tokens": totals["tokens"], "s1": _log_stirling(d1), "s0": _log_stirling(d0)}
-    model |= {"t_c": kinds_c, "t_0": kinds_c.sum(), "own_0": float(words)}
-    first_model = spark.sparkContext.broadcast(model)
+    pairs = count_pairs(docs)
+    vocabulary = stash(pairs.groupBy("word").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")), "vocabulary")
+    first = stash(pairs.groupBy("context").agg(F.sum("n").alias("n_c"), F.count("*").alias("t_c")), "contexts")
+    n = pairs.agg(F.count("*").alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
+    kinds = vocabulary.agg(F.count("*").alias("words"), F.count_if(F.col("kinds") == 1).alias("once"), F.count_if(F.col("kinds") == 2).alias("twice")).first()
+    d1, d0 = _discount(n["once"], n["twice"]), _discount(kinds["once"], kinds["twice"])
+    words = kinds["words"]
+    model = {"d1": d1, "d0": d0, "base": 1.0 / (words + 1), "words": words, "tokens": n["tokens"], "s1": _log_stirling(d1), "s0": _log_stirling(d0)}
+    # the numbered contexts, the most frequent first
+    frequent = first.where(F.col("n_c") >= _least(first, "n_c", HEAD)).orderBy(F.desc("n_c"), "context").select("context").toArrow()["context"].combine_chunks()
+    head = spark.createDataFrame(pa.table({"context": frequent, "id": pa.array(np.arange(len(frequent)))})) if len(frequent) else spark.createDataFrame([], "context long, id long")
+    named = np.asarray(frequent).astype(np.int64)
+    # all tables of the words of several slots, at one a pair
+    hot = vocabulary.where(F.col("kinds") > PART).select("word", "total", F.col("kinds").alias("all"))
+    slot = F.pmod(F.xxhash64("context"), F.floor(F.col("all") / PART) + 1)
+    dealt = pairs.join(F.broadcast(hot.select("word", "all")), "word", "left").select("word", F.coalesce(slot, F.lit(0)).cast("int").alias("slot"), "context", "n", F.lit(1).cast("long").alias("t"), F.lit(1).cast("long").alias("own"))
+    shared = spark.sparkContext.broadcast(model | {"t_0": float(n["pairs"]), "own_0": float(words)})
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                border, (context, n) = _block(batch, "contexts", "customers")
-                block, rng = Dishes(border, context, n), _seed(batch, 1)
-                for _ in range(FIRST):
-                    block.sweep(first_model.value, rng)
-                yield pa.RecordBatch.from_arrays([*batch.columns, K.lists(block.t, border, pa.int64()), pa.array(block.own)], names=[*batch.schema.names, "tables", "own"])
-
-    seated = stash(dishes.mapInArrow(K.task(seat), "word long, contexts array<short>, customers array<long>, total long, tables array<long>, own long"), "seated")
-    t_c = np.zeros(CONTEXTS + 1)
-    for r in seated.select(F.explode(F.arrays_zip("contexts", "tables")).alias("p")).groupBy("p.contexts").agg(F.sum("p.tables").alias("t")).collect():
-        t_c[r["contexts"]] = r["t"]
-    own = seated.agg(F.coalesce(F.sum("own"), F.lit(0)).alias("o")).first()["o"]
-    model = model | {"t_c": t_c, "t_0": t_c.sum(), "own_0": float(own)}
-    second_model = spark.sparkContext.broadcast(model)
+                block = Dishes(batch)
+                for k in range(FIRST):
+                    block.sweep(block.follow(shared.value), k)
+                kept = [batch.column(x) for x in ("word", "slot", "contexts", "customers")]
+                yield pa.RecordBatch.from_arrays([*kept, K.lists(block.t, block.border, pa.int64()), pa.array(block.own)], names=["word", "slot", "contexts", "customers", "tables", "own"])
+
+    seated = stash(_dishes(dealt, first, head, hot).mapInArrow(K.task(seat), "word long, slot int, contexts array<long>, customers array<long>, tables array<long>, own long"), "seated")
+    drop_stash(pairs)
+    one = seated.select("word", "slot", "own", F.explode(F.arrays_zip("contexts", "customers", "tables")).alias("p")).select("word", "slot", "own", F.col("p.contexts").alias("context"), F.col("p.customers").alias("n"), F.col("p.tables").alias("t"))
+    second = stash(one.groupBy("context").agg(F.sum("n").alias("n_c"), F.sum("t").alias("t_c")), "contexts")
+    drop_stash(first)
+    t_0 = second.agg(F.coalesce(F.sum("t_c"), F.lit(0)).alias("t")).first()["t"]
+    own_0 = seated.where("slot = 0").agg(F.coalesce(F.sum("own"), F.lit(0)).alias("o")).first()["o"]
+    here = seated.join(F.broadcast(hot.select("word")), "word", "left_semi").select("word", F.aggregate("tables", F.lit(0).cast("long"), lambda a, x: a + x).alias("t"))
+    hot = stash(hot.select("word", "total").join(here.groupBy("word").agg(F.sum("t").alias("all")), "word"), "hot")
+    model |= {"t_0": float(t_0), "own_0": float(own_0)}
+    again = spark.sparkContext.broadcast(model)
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                border, (context, n, t) = _block(batch, "contexts", "customers", "tables")
-                block, rng = Dishes(border, context, n, t, np.asarray(batch.column("own"))), _seed(batch, 2)
-                p0, p = np.zeros(block.size), np.zeros(len(n))
+                block = Dishes(batch)
+                own, t = np.zeros(block.size), np.zeros(len(block.n))
                 for k in range(BURN + SAMPLES):
-                    block.sweep(second_model.value, rng)
+                    block.sweep(again.value, FIRST + k)
                     if k >= BURN:
-                        a, b = block.predict(second_model.value)
-                        p0 += a / SAMPLES
-                        p += b / SAMPLES
-                yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("total"), pa.array(p0), batch.column("contexts"), K.lists(p, border, pa.float64())], names=["word", "total", "p0", "contexts", "ps"])
-
-    return stash(seated.mapInArrow(K.task(average), "word long, total long, p0 double, contexts array<short>, ps array<double>"), "predictive"), model
+                        own += block.own / SAMPLES
+                        t += block.t / SAMPLES
+                kept = [batch.column(x) for x in ("word", "slot", "total", "contexts", "customers")]
+                mine = np.bincount(block.dish, t, block.size)
+                yield pa.RecordBatch.from_arrays([*kept, K.lists(t, block.border, pa.float64()), pa.array(mine), pa.array(own)], names=["word", "slot", "total", "contexts", "customers", "tables", "t_w", "own"])
+
+    done = stash(_dishes(one, second, head, hot).mapInArrow(K.task(average), "word long, slot int, total long, contexts array<long>, customers array<long>, tables array<double>, t_w double, own double"), "averaged")
+    drop_stash(seated)
+    drop_stash(second)
+    mean = done.agg(F.coalesce(F.sum("t_w"), F.lit(0.0)).alias("t"), F.coalesce(F.sum(F.when(F.col("slot") == 0, F.col("own"))), F.lit(0.0)).alias("o")).first()
+    model |= {"t_0": mean["t"], "own_0": mean["o"]}
+    # the parent's probabilities; the slots of a word share one
+    of_hot = done.join(F.broadcast(hot.select("word")), "word", "left_semi").groupBy("word").agg(F.sum("t_w").alias("t_all"), F.max(F.when(F.col("slot") == 0, F.col("own"))).alias("own_all"))
+    given = (F.coalesce("t_all", "t_w") - d0 * F.coalesce("own_all", "own") + (CONCENTRATION + d0 * model["own_0"]) * model["base"]) / (CONCENTRATION + model["t_0"])
+    done = done.join(F.broadcast(of_hot), "word", "left").withColumn("p0", given)
+    names = done.where("slot = 0").select("word", "total", "p0")
+    flat = done.select("word", "p0", F.explode(F.arrays_zip("contexts", "customers", "tables")).alias("x")).select("word", "p0", F.col("x.contexts").alias("context"), F.col("x.customers").alias("n"), F.col("x.tables").alias("t"))
+    last = flat.groupBy("context").agg(F.sum("n").alias("n_c"), F.sum("t").alias("t_c"))
+    contexts = stash(last.join(F.broadcast(head), "context", "left").select("context", F.coalesce("id", "context").alias("id"), "n_c", "t_c", F.col("id").isNotNull().alias("numbered")), "contexts")
+    in_context = (F.col("n") - d1 * F.col("t") + (CONCENTRATION + d1 * F.col("t_c")) * F.col("p0")) / (CONCENTRATION + F.col("n_c"))
+    both = _totals(flat, contexts.select("context", "id", "n_c", "t_c"), head)
+    pairs = stash(both.select("word", F.col("id").alias("context"), "n", in_context.alias("p")), "predictive")
+    numbered = contexts.where("numbered").orderBy("id").toArrow()
+    n_c, t_c = (np.asarray(numbered[x].combine_chunks()).astype(float) for x in ("n_c", "t_c"))
+    of_word = pairs.groupBy("word").agg(F.collect_list(F.struct("context", "p")).alias("d")).select("word", F.col("d.context").alias("contexts"), F.col("d.p").alias("ps"))
+    return names.join(of_word, "word", "left"), model | {"n_c": n_c, "t_c": t_c, "named": named, "contexts": contexts, "names": stash(names, "names"), "pairs": pairs}
 
 
 def _back_off(model: dict) -> np.ndarray:
-    """By context, the share of probability that goes to the parent."""
+    """By numbered context, the share of probability that goes to the parent."""
     return (CONCENTRATION + model["d1"] * model["t_c"]) / (CONCENTRATION + model["n_c"])
 
 
-def _head_rows(words: DataFrame) -> tuple[np.ndarray, ...]:
-    """The most frequent words: hashes, counts and p0, and the keys and probabilities of their contexts, sorted.
+def _named(known: np.ndarray, number: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """The numbers of numbered contexts, the hashes of others."""
+    at, met = _find(known, context)
+    return np.where(met, number[at], context) if len(number) else context
 
-    A histogram of counts (eight steps for each doubling) tells the least count with which at most HEAD words remain.
-    """
-    step = F.floor(F.log2("total") * 8)
-    least, left = 2**62, HEAD
-    for r in words.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("total").alias("least")).orderBy(F.desc("step")).collect():
-        left -= r["n"]
-        if left < 0:
-            break
-        least = r["least"]
-    rows = words.where(F.col("total") >= least).toArrow()
-    if not rows.num_rows:
-        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0)
-    word = np.asarray(rows["word"].combine_chunks()).view(np.uint64)
-    contexts, ps = rows["contexts"].combine_chunks(), rows["ps"].combine_chunks()
-    key = np.repeat(word, np.asarray(contexts.value_lengths())) | np.asarray(contexts.flatten()).astype(np.uint64)
+
+def _head_rows(names: DataFrame, pairs: DataFrame) -> tuple[np.ndarray, ...]:
+    """The most frequent words: hashes and counts; the most frequent pairs: keys and probabilities; sorted."""
+    rows = names.where(F.col("total") >= _least(names, "total", HEAD)).select("word", "total").toArrow()
+    two = pairs.where(F.col("n") >= _least(pairs, "n", HEAD * PAIRS)).select("word", "context", "p").toArrow()
+    word, total = (np.asarray(rows[x].combine_chunks()) for x in ("word", "total"))
+    key = _pair(np.asarray(two["word"].combine_chunks()), np.asarray(two["context"].combine_chunks()))
     order, by_key = np.argsort(word), np.argsort(key)
-    return word[order], np.asarray(rows["total"].combine_chunks())[order].astype(float), np.asarray(rows["p0"].combine_chunks())[order], key[by_key], np.asarray(ps.flatten())[by_key]
+    return word[order], total[order].astype(float), key[by_key], np.asarray(two["p"].combine_chunks())[by_key]
 
 
 def _find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -338,56 +410,60 @@ def _find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def score(docs: DataFrame, words: DataFrame, model: dict) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text)."""
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text); words are those of train."""
     n_all, v = float(model["tokens"]), model["words"]
     rest = 0.1 * (v + 1)
-    back = _back_off(model)
     # the parent's probability of the unknown word
     unknown = (CONCENTRATION + model["d0"] * model["own_0"]) / (CONCENTRATION + model["t_0"]) * model["base"]
-    shared = docs.sparkSession.sparkContext.broadcast((_head_rows(words), back, n_all, rest))
+    names, pairs = model["names"], model["pairs"]
+    named = model["named"]
+    shared = docs.sparkSession.sparkContext.broadcast((_head_rows(names, pairs), np.sort(named), np.argsort(named), n_all, rest))
 
     def by_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (head, total, p0, keys, ps), lam, n_, r_ = shared.value
-        log_base = np.log10((total + 0.1) / (n_ + r_))
+        (head, total, keys, ps), known, number, n_, r_ = shared.value
+        log_base, log_p = np.log10((total + 0.1) / (n_ + r_)), np.log10(ps)
         for batch in batches:
             data, off = K.buffers(batch.column("text"))
             for a, b in K.slices(off):
-                token, border = tokens(*K.cut(data, off, a, b))
+                word, context, border = tokens(*K.cut(data, off, a, b))
                 n = b - a
                 doc = K.owner(border)
-                kinds, of = np.unique(token, return_inverse=True)
-                at, inside = _find(head, kinds & ~LOW)
-                near, met = _find(keys, kinds)
-                base, mine = np.zeros(len(kinds)), np.zeros(len(kinds))
-                if len(head):
-                    base = np.where(inside, log_base[at], 0.0)
-                    mine = np.where(met, ps[near], lam[(kinds & LOW).astype(np.int64)] * p0[at])
-                    mine = np.where(inside, np.log10(np.where(inside, mine, 1.0)), 0.0)
-                left = np.flatnonzero(~inside[of])
-                tail = np.searchsorted(doc[left], np.arange(n + 1))
-                out = [np.diff(border), np.bincount(doc, inside[of], n).astype(np.int64), np.bincount(doc, base[of], n), np.bincount(doc, mine[of], n)]
+                context = _named(known, number, context)
+                at, inside = _find(head, word)
+                near, met = _find(keys, _pair(word, context))
+                base = np.where(inside, log_base[at], 0.0) if len(head) else np.zeros(len(word))
+                mine = np.where(met, log_p[near], 0.0) if len(keys) else np.zeros(len(word))
+                rare, left = np.flatnonzero(~inside), np.flatnonzero(~met)
+                border_of = lambda x: np.searchsorted(doc[x], np.arange(n + 1))  # noqa: B023, E731
+                out = [np.diff(border), np.bincount(doc, inside, n).astype(np.int64), np.bincount(doc, base, n), np.bincount(doc, mine, n)]
+                lists = [K.lists(x[y], border_of(y), pa.int64()) for x, y in ((word, rare), (word, left), (context, left))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[a:b], batch.column("rid")[a:b], *map(pa.array, out), K.lists(token[left].view(np.int64), tail, pa.int64())],
-                    names=["doc_id", "rid", "n_tokens", "n_known", "base_score", "score", "tail"],
+                    [batch.column("doc_id")[a:b], batch.column("rid")[a:b], *map(pa.array, out), *lists],
+                    names=["doc_id", "rid", "n_tokens", "n_known", "base_score", "score", "rare", "word", "context"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     plain = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), "text")
-    known = stash(plain.mapInArrow(K.task(by_head), f"doc_id {kind}, rid long, n_tokens long, n_known long, base_score double, score double, tail array<long>"), "head-scores")
-    low = int(LOW)
-    tail = known.select("rid", F.explode("tail").alias("token")).select("rid", F.col("token").bitwiseAND(~low).alias("word"), F.col("token").bitwiseAND(low).cast("short").alias("context"))
-    lam = F.element_at(F.array(*(F.lit(float(x)) for x in back)), F.col("context").cast("int") + 1)
-    in_context = F.get("ps", F.array_position("contexts", F.col("context")).cast("int") - 1)
-    p = F.coalesce(in_context, lam * F.coalesce("p0", F.lit(float(unknown))))
+    scored = stash(plain.mapInArrow(K.task(by_head), f"doc_id {kind}, rid long, n_tokens long, n_known long, base_score double, score double, rare array<long>, word array<long>, context array<long>"), "head-scores")
     base = (F.coalesce(F.col("total"), F.lit(0)).cast("double") + 0.1) / (n_all + rest)
-    found = tail.join(words, "word", "left").groupBy("rid").agg(F.count("total").alias("k"), F.sum(F.log10(base)).alias("b"), F.sum(F.log10(p)).alias("s"))
-    return known.drop("tail").join(found, "rid", "left").select(
+    rare = scored.select("rid", F.explode("rare").alias("word")).join(names.drop("p0"), "word", "left").groupBy("rid").agg(F.count("total").alias("k"), F.sum(F.log10(base)).alias("b"))
+    tail = scored.select("rid", F.explode(F.arrays_zip("word", "context")).alias("x")).select("rid", F.col("x.word").alias("word"), F.col("x.context").alias("context"))
+    new = F.collect_list(F.when(F.col("p").isNull(), F.struct("word", "context")))
+    met = stash(tail.join(pairs.drop("n"), ["word", "context"], "left").groupBy("rid").agg(F.sum(F.log10("p")).alias("s"), new.alias("new")), "pair-scores")
+    # a pair that was never met has its context's share of the word's probability in the parent
+    share = (CONCENTRATION + model["d1"] * F.col("t_c")) / (CONCENTRATION + F.col("n_c"))
+    lam = model["contexts"].select(F.col("id").alias("context"), share.alias("lam"))
+    never = met.select("rid", F.explode("new").alias("x")).select("rid", F.col("x.word").alias("word"), F.col("x.context").alias("context"))
+    p = F.coalesce("lam", F.lit(1.0)) * F.coalesce("p0", F.lit(float(unknown)))
+    backed = never.join(names.drop("total"), "word", "left").join(lam, "context", "left").groupBy("rid").agg(F.sum(F.log10(p)).alias("u"))
+    zero = F.lit(0.0)
+    return scored.drop("rare", "word", "context").join(rare, "rid", "left").join(met.drop("new"), "rid", "left").join(backed, "rid", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
         F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"),
+        (F.col("base_score") + F.coalesce("b", zero)).alias("base_score"),
+        (F.col("score") + F.coalesce("s", zero) + F.coalesce("u", zero)).alias("score"),
     )
 
 

@@ -326,6 +326,23 @@ def test_context_helps(spark):
     assert p["perplexity"] < 0.7 * p["base_perplexity"]
 
 
+def test_contexts_are_whole_words(spark, monkeypatch):
+    # the words before share their ending; what follows depends on the whole word
+    r = random.Random(11)
+    two = lambda k: f"w{k}xyz afterw{k}xyz"
+    texts = [" ".join(two(r.randint(0, 299)) for _ in range(30)) for _ in range(200)]
+    docs = docs_frame(spark, texts).select("doc_id", "text")
+    results = []
+    for part in (P.PART, 20):
+        monkeypatch.setattr(P, "PART", part)  # few: a word is several rows
+        rows, model = P.train(docs.where(remainder(10) != 0))
+        assert len(model["n_c"]) == 601 and model["contexts"].count() == 601
+        assert abs(sum(r["p0"] for r in rows.collect()) - 1) < 0.01
+        results.append(P.perplexity(P.score(docs.where(remainder(10) == 0), rows, model)).first())
+    # half of the tokens are certain, the others one of 300: about 17
+    assert max(p["perplexity"] for p in results) < 30 < results[0]["base_perplexity"] / 10
+
+
 def test_tables_are_drawn_from_their_conditional():
     rng, d, w, n = np.random.default_rng(1), 0.4, 0.7, 6
     s = P._log_stirling(d)
