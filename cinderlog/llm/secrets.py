@@ -1,7 +1,8 @@
 """Secret scans: candidates by their form, and a random forest that removes false positives.
 
-A candidate is a run of letters, digits and _-+/=. that is long and holds a digit, or that stands right after a sign of
-assignment. Its features are length, character transitions (changes of class, and how much likelier its letter pairs
+A candidate is a run of letters, digits and _-+/=. that is long and holds a digit, that begins like an issuer's keys, or
+that stands right after a sign of assignment; an assigned value with other signs reaches to its quote or blank (a next
+name with its sign ends it, and closing signs after it without a quote don't count; URLs stay runs). Its features are length, character transitions (changes of class, and how much likelier its letter pairs
 are among secrets than among other runs), the share covered by dictionary words, path and address signs, and the
 neighbouring words. The forest learns from labelled findings: labelled_findings() makes a fixed set by rules, and a
 table of one's own findings (text, start, end, label) can be given instead.
@@ -29,7 +30,7 @@ from cinderlog.llm import kernels as K
 from cinderlog.llm.common import table
 
 FINDINGS, TREES, DEPTH, LEAF = 6_000, 40, 9, 4
-#: Least lengths: of a run with a digit, and of an assigned run.
+#: Least lengths: of a run with a digit, and of an assigned or issued one.
 LONG, ASSIGNED = 16, 8
 #: Share of trees that must say so.
 THRESHOLD = 0.5
@@ -48,10 +49,31 @@ HARMLESS = "md5 sha1 sha256 checksum commit digest etag uuid guid example sample
 DICTIONARY = "the and for with from that this have will your about which when make like time just know take people into year good some could them other than then look only come over think also back after work first well even want because these give most user name file path home test data main index page image static assets config server client admin public include build release version example local document report module package service system value table query".split()
 #: Starts of keys of known issuers.
 ISSUERS = "AKIA ASIA ghp_ gho_ ghs_ xoxb- xoxp- sk- sk_live_ pk_live_ AIza glpat- npm_ eyJ SG.".split()
+#: A sign of assignment and its value; a name with its sign that begins a value; one that follows it.
+VALUE = re.compile(rb"[=:][ \"'`]{0,2}([^\s\"'`=:][^\s\"'`]*)")
+INNER, NEXT = re.compile(rb"[A-Za-z_][\w.-]*=(?=[^=])"), re.compile(rb"[?&,;|#][A-Za-z_][\w.-]*[=:]")
 
 FEATURES = ("length", "changes", "pair_odds", "entropy", "digits", "uppers", "lowers", "signs", "hex", "dictionary", "slashes", "dots", "extension", "address", "assigned", "quoted", "secret_word", "harmless_word", "issuer", "all_digits")
 
 
+def _values(text: bytes) -> Iterator[tuple[int, int]]:
+    """Starts and ends of assigned values that hold other signs than those of runs."""
+    at = 0
+    while found := VALUE.search(text, at):
+        a, b = found.span(1)
+        value = text[a:b]
+        if value.startswith(b"//") or INNER.match(value):
+            at = a
+            continue
+        if cut := NEXT.search(value):
+            value = value[: cut.start()]
+        if text[a - 1] not in b"\"'`":
+            value = value.rstrip(b",;.)]}>")
+        at = a + max(1, len(value))
+        if len(value) >= ASSIGNED and not RUN[np.frombuffer(value.rstrip(b"="), np.uint8)].all():
+            yield a, a + len(value)
+
+
 def candidates(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of candidates in texts of one buffer."""
     starts, ends = K.runs(RUN[data], off)
@@ -66,13 +88,26 @@ def candidates(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
         skip = (at >= doc_start) & np.isin(data[np.maximum(at, 0)], [0x20, 0x22, 0x27, 0x60])
         at = np.where(skip, at - 1, at)
     assigned = (at >= doc_start) & np.isin(data[np.maximum(at, 0)], [0x3A, 0x3D])
-    found = has_digit & ((ends - starts >= LONG) | assigned)
+    issued = np.zeros(len(starts), bool)
+    eights = K.eights(data)
+    for name in ISSUERS:
+        issued |= eights[starts] & K._MASK[len(name)] == np.uint64(int.from_bytes(name.encode(), "little"))
+    found = (has_digit & (ends - starts >= LONG)) | assigned | issued
     starts, ends = starts[found], ends[found]
     # '=' at the end is padding
     doc_end = off[np.searchsorted(off, starts, "right")]
     for _ in range(2):
         ends = np.where((ends < doc_end) & (data[np.minimum(ends, len(data) - 1)] == 0x3D), ends + 1, ends)
-    return starts, ends
+    # whole values in place of the runs that they hold
+    whole = [(a + lo, a + hi) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True) for lo, hi in _values(data[a:b].tobytes())]
+    if not whole:
+        return starts, ends
+    first, last = np.array(whole, np.int64).T
+    k = np.searchsorted(first, ends, "left") - 1  # the last value that begins before a run's end
+    free = (k < 0) | (last[np.maximum(k, 0)] <= starts)
+    starts, ends = np.concatenate([starts[free], first]), np.concatenate([ends[free], last])
+    order = np.argsort(starts)
+    return starts[order], ends[order]
 
 
 def _class(c: str) -> int:
@@ -124,6 +159,7 @@ def labelled_findings(rows: int = FINDINGS, seed: int = 11) -> list[tuple[str, i
     r = random.Random(seed)
     some = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
     hexa, up, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
     word = lambda: "".join(r.choice(["er", "th", "an", "in", "ou", "le", "de", "on", "re", "st", "la", "ge"]) for _ in range(r.randint(1, 4)))
     words = lambda: " ".join(word() for _ in range(r.randint(0, 9)))
     name = lambda: r.choice(["token", "secret", "password", "api_key", "access_key", "client_secret", "auth_token", "passwd", "private_key"])
@@ -134,6 +170,10 @@ def labelled_findings(rows: int = FINDINGS, seed: int = 11) -> list[tuple[str, i
         lambda: (f"{name()}{sign()}", some(alnum + "+/", r.choice([40, 44, 64])) + r.choice(["", "=", "=="])),
         lambda: (r.choice(["", "", "key ", "id: ", f"{name()}="]), "AKIA" + some(up, 16)),
         lambda: (r.choice(["", "", "use ", f"{name()}="]), r.choice(["ghp_", "gho_", "npm_", "glpat-", "sk_live_", "xoxb-", "sk-", "AIza"]) + some(alnum, r.randint(24, 36))),
+        lambda: (f"{name()}{sign()}", some(letters, r.randint(10, 32))),
+        lambda: (f"{name()}{sign()}", "".join(word() for _ in range(4)) + some(letters[26:], r.randint(4, 12))),
+        lambda: (f"{name()}{sign()}", some(alnum, r.randint(4, 10)) + r.choice("&!@#$%*^~") + some(alnum + "&!@#$%*^~", r.randint(4, 14))),
+        lambda: (r.choice(["", "use ", "key: "]), r.choice(["AKIA", "ASIA"]) + some(letters[:26], 16)),
         lambda: (r.choice(["Bearer ", "token: "]), "eyJ" + some(alnum, 24) + "." + some(alnum, 40) + "." + some(alnum + "-_", 30)),
     ]
     negative = [
@@ -149,6 +189,9 @@ def labelled_findings(rows: int = FINDINGS, seed: int = 11) -> list[tuple[str, i
         lambda: (f"{name()}{sign()}", r.choice(["example", "your_token_here", "dummy", "sample"]) + "-" + word() + some("0123456789", 1) + word()),
         lambda: ("", word() + word() + word() + word() + "." + some("0123456789", 2)),
         lambda: (r.choice(["file ", "image "]), word() + "-" + word() + "-" + some("0123456789", 3) + ".png"),
+        lambda: (f"{word()}{word()}{sign()}", r.choice([word, lambda: r.choice(DICTIONARY)])() + r.choice(["", "-", "_"]) + word() + word() + word()),
+        lambda: (f"{word()}{word()}{r.choice(['=', ': ', ' = '])}", word() + r.choice(["(", "[", "&", "%20", "|", "*"]) + word() + r.choice(["", ",", "->"]) + word() + some("0123456789", r.randint(0, 2))),
+        lambda: (r.choice(["time: ", "at: ", "date="]), ":".join(some("0123456789", 2) for _ in range(r.randint(3, 4)))),
         lambda: (r.choice(["count: ", "total = ", "n="]), some("0123456789", r.randint(8, 12))),
     ]
     out = []
@@ -216,7 +259,7 @@ def findings_in(forest: Forest, data: np.ndarray, off: np.ndarray) -> list[list[
         lo, hi = int(off[d]), int(off[d + 1])
         left = data[max(lo, a - AROUND) : a].tobytes().decode("utf-8", "ignore")
         right = data[b : min(hi, b + AROUND)].tobytes().decode("utf-8", "ignore")
-        value = data[a:b].tobytes().decode("ascii")
+        value = data[a:b].tobytes().decode("utf-8", "ignore")
         out[d].append((a - lo, b - lo, forest.score(describe(value, left, right, forest.odds))))
     return out
 
