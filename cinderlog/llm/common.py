@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -63,6 +64,12 @@ def drop_stash(df: DataFrame) -> None:
         _delete(df.sparkSession, files[0].rpartition("/")[0])
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files that no plan refers to any more, instead of when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """A broadcast hint if the counted rows are within the bound; else Spark's own choice of a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -1,29 +1,36 @@
 """N-gram Jaccard join over count vectors: R-trees of group counts bound the overlap, exact sets decide.
 
 A text's set is that of its distinct shingles. Shingles are hashed into groups, and a set becomes the point of its group
-counts. Two sets of sizes a and b link only if their overlap is at least 85 (a + b) / 185, so their counts differ by
-at most r = 15 (a + b) / 185 in all; the overlap itself is at most the sum of coordinate minima.
-
-The space is dealt out before trees are built, without loss: coordinates are cut into m > r blocks, so that linked
-points agree exactly in at least m - r of them. A cell is all points with the same counts in one block (a degenerate
-rectangle in that block's coordinates); only points that share a cell are compared. Blocks of few shingles are left out
-while at least one other must agree (the spare blocks of a scheme cover for them), so common lines make no large cells.
-Sizes fall in bands of powers of two; a pair across two bands meets in a scheme of its own.
-
-Equal sets are one class. In each cell the class that shares most cells is the hub; each class is first compared with its
-best hub, by the bound and then by the exact sets, which joins large groups of near copies by a star. Cells that still
-hold several components are indexed by an R-tree of their points (in chunks beyond CHUNK points, by pairs of chunks; up
-to LEAF points are a leaf of their own), whose nodes are cut by the bound; pairs that survive between different
-components are verified. Components are then those of all verified links; no link between different components is lost,
-and a pair inside a component needs no check.
+counts. Two sets of sizes a and b link only if their overlap is at least 85 (a + b) / 185, so they differ in at most
+r = 15 (a + b) / 185 shingles; the overlap itself is at most the sum of coordinate minima.
+
+The space is dealt out before trees are built, without loss, by an exact partition of signatures: in a window of sizes,
+shingles are dealt to m > r blocks, so that linked sets agree exactly in at least m - r of them. A cell is all sets with
+the same shingles in one block; only sets that share a cell are compared. Blocks of few shingles are sparse, and a set
+has no cell for them: m - r is more than nearly all sets have sparse blocks, so that one that agrees is dense. A set with
+more of them is dealt anew by another seed, and after SEEDS of those meets its likes by a prefix (its shingles of least
+hash, as many as it may lack and one more). So no set is keyed by an empty block, and unrelated texts share few cells.
+
+Keys travel to their bucket in one shuffle; those that several sets of a batch share are found before it, and a hot key
+comes once from each batch. Equal sets are one class. In each cell the class that shares most cells is the hub; each
+class is first compared with its best hub, by the bound and then by the exact sets, which joins groups of near copies by a star. Cells that still
+hold several components are indexed by an R-tree of their points (beyond CHUNK shingles, by pairs of parts; up to LEAF
+points are a leaf of their own), whose nodes are cut by the bound; of the pairs that survive the task returns a forest,
+less than one a member. A component of links and these candidates holds whatever its members may link with. Where it is
+of several components of links, its sets come to one task (or to one for each pair of parts), which goes through the pairs
+that survive the bound, verifies those between different components and joins them as it goes: again a forest. Components are then those of all
+verified links; no link between different components is lost, and a pair inside a component needs no check.
 
 Defined cases: a null or empty text, or one of white space, has no shingles and is alone (component_id is its doc_id);
 rows of equal doc_id are told apart by their texts; repeated rows are equal sets; a null doc_id takes part, and the
-component is named by the least doc_id that isn't null; an empty table gives no rows; other columns are not read.
+component is named by the least doc_id that isn't null; of equally good hubs the one of the largest class hash is taken,
+which changes no component; an empty table gives no rows; texts of any length are whole; other columns are not read.
+Shingles and classes are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -33,15 +40,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlog.llm import kernels as K
-from cinderlog.llm.common import small, stash, table, text_hash
+from cinderlog.llm.common import drop_stash, release_shuffles, small, stash, table, text_hash
 from cinderlog.llm.components import components
 
 WORDS = 4
 NUM, DEN = 85, 100
 #: Groups of the points that R-trees index.
 GROUPS = 256
-#: Points of a leaf, and of a chunk of a cell.
-LEAF, CHUNK = 16, 1024
+#: Points of a leaf, and shingles of a part of a cell.
+LEAF, CHUNK = 16, 1 << 19
+#: Ways to deal blocks before a set of too many sparse blocks is keyed by its prefix.
+SEEDS = 3
+#: Largest over least size in a window.
+WINDOW = 1.5
+#: Keys that a task gathers before it looks for shared ones.
+GATHERED = 1 << 20
 
 
 def shingles(data: np.ndarray, off: np.ndarray, size: int = WORDS) -> list[np.ndarray]:
@@ -72,74 +85,198 @@ def needed(a, b, num: int = NUM, den: int = DEN):
     return -(-(num * (a + b)) // (den + num))
 
 
-def _scheme(most: int, least: int, num: int, den: int) -> tuple[int, int, int]:
-    """Blocks, spare blocks and the largest count of a block that may be left out, for pairs of at most `most` shingles in all and of sets of at least `least`."""
-    r = most * (den - num) // (den + num)
-    if least < 5 * (r + 1):
-        return r + 2, 1, 0
-    spare = 2 + math.ceil(0.14 * r)
-    return r + 1 + spare, spare, 2
-
-
-def schemes(n: int, num: int = NUM, den: int = DEN) -> list[tuple[int, int, int, int]]:
-    """(number, blocks, spare, few) of the schemes in which a set of n shingles takes part."""
-    band = n.bit_length() - 1
-    low, high = 1 << band, (2 << band) - 1
-    out = [(2 * band, *_scheme(2 * high, low, num, den))]
-    for b in range(max(0, band - 1), band + 1):
-        # pairs of a smaller set of band b and a larger one of band b + 1
-        top = (2 << b) - 1
-        if (b == band and n * den >= num * (top + 1)) or (b == band - 1 and n * num <= den * top):
-            out.append((2 * b + 1, *_scheme(top + top * den // num, -(-num * (top + 1) // den), num, den)))
-    return out
+@functools.cache
+def window(number: int, num: int, den: int) -> tuple[int, int]:
+    """Least and largest size of a window; sizes that can link share at least one."""
+    if not number:
+        return 1, 1
+    # the least size whose largest partner the window before doesn't hold
+    low = -(-num * (window(number - 1, num, den)[1] + 1) // den)
+    low = max(low, window(number - 1, num, den)[0] + 1)
+    return low, max(low, int(low * WINDOW))
+
+
+@functools.cache
+def scheme(number: int, num: int, den: int) -> tuple[int, int, int] | None:
+    """Blocks, how many may be sparse, and the largest count of a sparse one; None where only equal sets link."""
+    low, top = window(number, num, den)
+    r = 2 * top * (den - num) // (den + num)
+    if not r:
+        return None
+    for few in (1, 0):
+        for m in range(r + 2, int(1.5 * r) + 8):
+            share = math.exp(-low / m) * (1 + low / m * few)
+            if m - r - 1 >= m * share + 2 * math.sqrt(m * share * (1 - share)):
+                return m, m - r - 1, few
+    return r + 2, 1, 0
+
+
+@functools.cache
+def windows(n: int, num: int, den: int) -> tuple[int, ...]:
+    """Numbers of the windows that hold sets of n shingles."""
+    low, high = 0, 1
+    while window(high, num, den)[0] <= n:
+        high *= 2
+    while low < high:  # the first window that begins beyond n
+        mid = (low + high) // 2
+        low, high = (mid + 1, high) if window(mid, num, den)[0] <= n else (low, mid)
+    first = low
+    while first and window(first - 1, num, den)[1] >= n:
+        first -= 1
+    return tuple(k for k in range(first, low) if scheme(k, num, den))
 
 
 def cells(u: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
-    """Keys of the cells of a set: a hash of the group counts of a block, the block and the scheme."""
-    keys = []
-    for number, m, spare, few in schemes(len(u), num, den):
-        mixed = K.mix(u + np.uint64(number + 1))
-        block = (mixed % np.uint64(m)).astype(np.int64)
-        total = np.zeros(m, np.uint64)
-        np.add.at(total, block, K.mix(mixed))
-        count = np.bincount(block, minlength=m)
-        dense = count > few
-        if m - int(dense.sum()) > spare:
-            dense[:] = True
-        which = np.flatnonzero(dense)
-        keys.append(K.mix(total[which] + K.mix(which.astype(np.uint64) + np.uint64(number << 32))))
+    """Keys of the cells of a set: a hash of the shingles of a block, the block, the window and the seed."""
+    keys = [np.zeros(0, np.uint64)]
+    for number in windows(len(u), num, den):
+        m, spare, few = scheme(number, num, den)
+        for seed in range(SEEDS):
+            tag = number * (SEEDS + 1) + seed
+            mixed = K.mix(u + np.uint64(tag + 1))
+            block = (mixed % np.uint64(m)).astype(np.int64)
+            total = np.zeros(m, np.uint64)
+            np.add.at(total, block, K.mix(mixed))
+            which = np.flatnonzero(np.bincount(block, minlength=m) > few)
+            keys.append(K.mix(total[which] + K.mix(which.astype(np.uint64) + np.uint64(tag << 32))))
+            if m - len(which) <= spare:
+                break
+        else:
+            mixed = np.sort(K.mix(u + np.uint64(tag + 2)))
+            keys.append(K.mix(mixed[: len(u) + 1 + -num * len(u) // den]))
     return np.concatenate(keys)
 
 
-def point(u: np.ndarray) -> np.ndarray:
-    return np.bincount((u >> np.uint64(7)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS).astype(np.uint16)
+def points(u: np.ndarray, border: np.ndarray) -> np.ndarray:
+    """A row of group counts for each of the sets end to end in u."""
+    group = (u >> np.uint64(7)).astype(np.int64) & (GROUPS - 1)
+    return np.bincount(K.owner(border) * GROUPS + group, minlength=GROUPS * (len(border) - 1)).reshape(-1, GROUPS)
+
+
+def packed(point: np.ndarray) -> bytes:
+    """The counts in as few bytes as the largest needs."""
+    return point.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if point.max() <= np.iinfo(t).max)).tobytes()
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    """packed() points of one width or several, as one table of the widest."""
+    if len({len(r) for r in rows}) > 1:
+        return np.stack([np.frombuffer(r, f"u{len(r) // GROUPS}").astype(np.int64) for r in rows])
+    return np.frombuffer(b"".join(rows), f"u{len(rows[0]) // GROUPS}").reshape(-1, GROUPS)
+
+
+def _signature(u: np.ndarray) -> int:
+    """0 for a set without shingles."""
+    return int(K.mix(np.array([K.mix(u).sum(dtype=np.uint64) + np.uint64(len(u))], np.uint64)).view(np.int64)[0]) if len(u) else 0
+
+
+class Shared:
+    """Keys of a bucket as they come: the rows (key, sig) of those that more than one class has.
+
+    Holds each key once with its first class, however many classes have it.
+    """
+
+    def __init__(self) -> None:
+        self.key, self.sig, self.told = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def add(self, key: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key, sig = np.concatenate([self.key, key]), np.concatenate([self.sig, sig])
+        told = np.concatenate([self.told, np.zeros(len(key) - len(self.told), bool)])
+        order = np.argsort(key, kind="stable")  # the one that is held comes first
+        key, sig, told = key[order], sig[order], told[order]
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        at = np.flatnonzero(first)
+        of = np.cumsum(first) - 1
+        other = sig != sig[at][of]
+        shared = told[at] | (np.bincount(of, other, len(at)) > 0)
+        out = other | (first & shared[of] & ~told)
+        self.key, self.sig, self.told = key[at], sig[at], shared
+        return key[out], sig[out]
 
 
 def _sets(docs: DataFrame, num: int, den: int, size: int) -> DataFrame:
-    """Stored: doc_id, th, n, sig (0 without shingles), keys (of the first row of a set in a batch), point."""
+    """Stored: doc_id, th, n, sig (0 without shingles) of all rows, and sig and key of all cells of several classes (key is null in the others)."""
+    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    id_type = docs.select("doc_id").schema["doc_id"].dataType
+    names = ["doc_id", "th", "n", "sig", "bucket", "keys", "sigs", "done"]
+
+    def blobs(key: np.ndarray, sig: np.ndarray, ids: pa.DataType, done: bool) -> Iterator[pa.RecordBatch]:
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        key, sig = key[order], sig[order]
+        border = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(border))
+        if not len(full):
+            return
+        cut = lambda x: pa.array([x[border[k] : border[k + 1]].tobytes() for k in full.tolist()], pa.binary())
+        none = [pa.nulls(len(full), t) for t in (ids, pa.int64(), pa.int64(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(full, pa.int32()), cut(key), cut(sig), pa.array(np.full(len(full), done))], names=names)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sig, held, seen = [], [], 0, set()
+
+        def leave(ids: pa.DataType) -> Iterator[pa.RecordBatch]:
+            k, s = np.concatenate(key), np.concatenate(sig)
+            bucket = Shared()
+            # what is shared here is known already, and only one row of it goes to meet the others
+            yield from blobs(*bucket.add(k, s), ids, True)
+            yield from blobs(bucket.key, bucket.sig, ids, False)
+
         for batch in batches:
             data, off = K.buffers(batch.column("text"))
-            seen: set[int] = set()
+            ids = batch.column("doc_id").type
             for a, b in K.slices(off):
-                ns, sigs, keys, points = [], [], [], []
+                ns, sigs = [], []
                 for u in shingles(*K.cut(data, off, a, b), size):
                     ns.append(len(u))
-                    sig = int(K.mix(np.array([K.mix(u).sum(dtype=np.uint64) + np.uint64(len(u))], np.uint64)).view(np.int64)[0]) if len(u) else 0
-                    sigs.append(sig)
-                    fresh = len(u) > 0 and sig not in seen
-                    seen.add(sig)
-                    keys.append(cells(u, num, den) if fresh else np.zeros(0, np.uint64))
-                    points.append(point(u).tobytes() if fresh else None)
-                border = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[a:b], batch.column("th")[a:b], pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()), K.lists(np.concatenate(keys).view(np.int64), border, pa.int64()), pa.array(points, pa.binary())],
-                    names=["doc_id", "th", "n", "sig", "keys", "point"],
-                )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return stash(docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text").mapInArrow(K.task(made), f"doc_id {kind}, th long, n long, sig long, keys array<long>, point binary"), "sets")
+                    sigs.append(_signature(u))
+                    if len(u) and sigs[-1] not in seen:
+                        seen.add(sigs[-1])
+                        key.append(cells(u, num, den))
+                        sig.append(np.full(len(key[-1]), sigs[-1], np.int64))
+                        held += len(key[-1])
+                at = pa.array(np.arange(a, b) % buckets, pa.int32())
+                none = pa.nulls(b - a, pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("th")[a:b], pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()), at, none, none, pa.nulls(b - a, pa.bool_())], names=names)
+                if held >= GATHERED:
+                    yield from leave(ids)
+                    key, sig, held, seen = [], [], 0, set()
+        if key:
+            yield from leave(ids)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, key, sig, held = Shared(), [], [], 0
+
+        def rows(k: np.ndarray, s: np.ndarray, ids: pa.DataType) -> Iterator[pa.RecordBatch]:
+            if len(k):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(k), ids), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int64()), pa.array(s), pa.array(k.view(np.int64))], names=[*names[:4], "key"])
+
+        for batch in batches:
+            ids = batch.column("doc_id").type
+            plain = batch.filter(batch.column("n").is_valid())
+            if plain.num_rows:
+                yield pa.RecordBatch.from_arrays([*(plain.column(c) for c in names[:4]), pa.nulls(plain.num_rows, pa.int64())], names=[*names[:4], "key"])
+            others = batch.filter(batch.column("n").is_null())
+            for done in (True, False):
+                part = others.filter(pa.compute.equal(others.column("done"), done))
+                k, s = (np.frombuffer(b"".join(part.column(c).to_pylist()), kind) for c, kind in (("keys", np.uint64), ("sigs", np.int64)))
+                if done:
+                    yield from rows(k, s, ids)
+                else:
+                    key.append(k)
+                    sig.append(s)
+                    held += len(k)
+            if held >= GATHERED:
+                yield from rows(*bucket.add(np.concatenate(key), np.concatenate(sig)), ids)
+                key, sig, held = [], [], 0
+        if key:
+            yield from rows(*bucket.add(np.concatenate(key), np.concatenate(sig)), ids)
+
+    kind = id_type.simpleString()
+    rows = docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text")
+    sent = rows.mapInArrow(K.task(made), f"doc_id {kind}, th long, n long, sig long, bucket int, keys binary, sigs binary, done boolean")
+    return stash(sent.repartition("bucket").mapInArrow(K.task(met), f"doc_id {kind}, th long, n long, sig long, key long"), "sets")
 
 
 class RTree:
@@ -194,142 +331,270 @@ class RTree:
             leaf, node = np.repeat(leaf[~end], 2), children[node[~end]].ravel()
 
 
-def _leaf_pairs(points: np.ndarray, sizes: np.ndarray, border: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Shared values of two sorted arrays of distinct ones."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+
+
+def _link(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    common = _common(x, y)
+    return den * common >= num * (len(x) + len(y) - common)
+
+
+def forest(u: np.ndarray, border: np.ndarray, label: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Row numbers of links that join all components of linked sets, one less than they join.
+
+    Sets lie end to end in u; rows of equal label are joined already. Rows of side 0 are compared with those of side 1
+    only, and those of side -1 with each other.
+    """
+    _, root = np.unique(label, return_inverse=True)
+    parent = list(range(int(root.max()) + 1 if len(root) else 0))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    sizes = np.diff(border)
+    out, left = [], len(parent) - 1
+    for i, j in RTree(points(u, border), sizes).pairs(num, den):
+        ok = (root[i] != root[j]) & ((side[i] != side[j]) | (side[i] < 0))
+        for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+            x, y = find(int(root[a])), find(int(root[b]))
+            if x != y and _link(u[border[a] : border[a + 1]], u[border[b] : border[b + 1]], num, den):
+                parent[x] = y
+                out.append((a, b))
+                left -= 1
+        if not left:
+            break
+    return out
+
+
+def _leaf_pairs(point: np.ndarray, sizes: np.ndarray, border: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers of the pairs within each small group (rows border[k] to border[k + 1]) that reach the bound, for all groups abreast."""
-    count = np.diff(border)
     # row i of a group is paired with all rows after it
-    own = K.owner(border)
-    after = border[own + 1] - np.arange(border[0], border[-1]) - 1
-    i = np.repeat(np.arange(len(own)), after)
-    j = K.ranges(np.arange(len(own)) + 1, after)
-    assert len(i) == int((count * (count - 1) // 2).sum())
+    after = border[K.owner(border) + 1] - np.arange(len(point)) - 1
+    i = np.repeat(np.arange(len(point)), after)
+    j = K.ranges(np.arange(len(point)) + 1, after)
     for k in range(0, len(i), 4096):
         a, b = i[k : k + 4096], j[k : k + 4096]
-        ok = np.minimum(points[a], points[b]).sum(1, dtype=np.int64) >= needed(sizes[a], sizes[b], num, den)
+        ok = np.minimum(point[a], point[b]).sum(1, dtype=np.int64) >= needed(sizes[a], sizes[b], num, den)
         yield a[ok], b[ok]
 
 
-def _tree_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs (u, v) of rows that each hold a cell's classes: sig, n, point, label, and chunk numbers."""
+TILE = ("key", "i", "j")
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Whole tiles of a stream that is sorted by tile, with the borders of each."""
+
+    def cut(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
+        whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        return whole, np.append(np.insert(np.flatnonzero(changes(whole)) + 1, 0, 0), whole.num_rows)
+
+    def changes(batch: pa.RecordBatch) -> np.ndarray:
+        return np.any([np.diff(np.asarray(batch.column(c)).astype(np.int64)) != 0 for c in TILE], axis=0)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in TILE):
+            yield cut(held)
+            held = []
+        edge = np.flatnonzero(changes(batch))
+        if len(edge):
+            yield cut([*held, batch[: edge[-1] + 1]])
+            held = []
+            batch = batch[edge[-1] + 1 :]
+        held.append(batch)
+    if held:
+        yield cut(held)
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("members")
-            for k in range(0, batch.num_rows, 256):
-                part = column[k : k + 256]
-                size = np.asarray(part.value_lengths()).astype(np.int64)
-                flat = part.flatten()
-                sig, n, label, side = (np.asarray(flat.field(c)).astype(np.int64) for c in ("sig", "n", "label", "side"))
-                data, _ = K.buffers(flat.field("point"))
-                offset = K.buffers(flat.field("point"))[1][0]
-                points = data[offset : offset + 2 * GROUPS * len(sig)].view(np.uint16).reshape(-1, GROUPS)
-                border = np.concatenate([[0], np.cumsum(size)])
-                few = np.flatnonzero(size <= LEAF)
-                rows = K.ranges(border[few], size[few])
-                found = [(rows[i], rows[j]) for i, j in _leaf_pairs(points[rows], n[rows], np.concatenate([[0], np.cumsum(size[few])]), num, den)]
-                for g in np.flatnonzero(size > LEAF).tolist():
-                    a, b = int(border[g]), int(border[g + 1])
-                    found += [(a + i, a + j) for i, j in RTree(points[a:b], n[a:b]).pairs(num, den)]
-                i, j = (np.concatenate([x[c] for x in found] or [rows[:0]]) for c in (0, 1))
-                other = (label[i] != label[j]) & ((side[i] != side[j]) | (side[i] < 0))
-                u, v = sig[i[other]], sig[j[other]]
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
-
-    return groups.mapInArrow(K.task(joined), "u long, v long").distinct()
-
-
-def _bounded(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) of classes whose summed coordinate minima reach what a link needs."""
+
+def _flat(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [np.asarray(batch.column(c)).astype(np.int64) for c in names]
+
+
+def _candidates(tiles: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (u, v) within the bound that join the labels of each tile (key, i, j, sig, label, side, n, point): a forest, as in forest()."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            n, m = (np.asarray(batch.column(c)).astype(np.int64) for c in ("n", "m"))
-            for k in range(0, batch.num_rows, 2048):
-                a, b = (np.frombuffer(b"".join(batch.column(c)[k : k + 2048].to_pylist()), np.uint16).reshape(-1, GROUPS) for c in ("a", "b"))
-                ok[k : k + 2048] = np.minimum(a, b).sum(1, dtype=np.int64) >= needed(n[k : k + 2048], m[k : k + 2048], num, den)
-            yield batch.select(["u", "v"]).filter(pa.array(ok))
+        for batch, border in _whole(batches):
+            sig, label, side, n = _flat(batch, "sig", "label", "side", "n")
+            size = np.diff(border)
+            tile = K.owner(border)
+            # rows of equal label in a tile begin as one
+            order = np.lexsort((label, tile))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (np.diff(label[order]) != 0) | (np.diff(tile[order]) != 0)
+            first = np.empty_like(order)
+            first[order] = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+            root = first.copy()
+
+            def meet(i: np.ndarray, j: np.ndarray) -> None:
+                ok = (side[i] != side[j]) | (side[i] < 0)  # noqa: B023
+                i, j = first[i[ok]], first[j[ok]]  # noqa: B023
+                while True:
+                    x, y = root[i], root[j]  # noqa: B023
+                    differ = x != y
+                    if not differ.any():
+                        return
+                    i, j, x, y = i[differ], j[differ], x[differ], y[differ]
+                    np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))  # noqa: B023
+                    while True:
+                        up = root[root]  # noqa: B023
+                        if (up == root).all():  # noqa: B023
+                            break
+                        root[:] = up  # noqa: B023
+
+            few = np.flatnonzero(size <= LEAF)
+            rows = K.ranges(border[few], size[few])
+            if len(rows):
+                point = unpacked(batch.column("point").take(pa.array(rows)).to_pylist())
+                for i, j in _leaf_pairs(point, n[rows], np.concatenate([[0], np.cumsum(size[few])]), num, den):
+                    meet(rows[i], rows[j])
+            for g in np.flatnonzero(size > LEAF).tolist():
+                a, b = int(border[g]), int(border[g + 1])
+                for i, j in RTree(unpacked(batch.column("point")[a:b].to_pylist()), n[a:b]).pairs(num, den):
+                    meet(a + i, a + j)
+            hung = np.flatnonzero((first == np.arange(len(first))) & (root != first))
+            if len(hung):
+                yield pa.RecordBatch.from_arrays([pa.array(sig[hung]), pa.array(sig[root[hung]])], names=["u", "v"])
+
+    return tiles.mapInArrow(K.task(kept), "u long, v long")
+
+
+def _trees(tiles: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (u, v) that join the components of each tile's rows (key, i, j, sig, label, side, set)."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, border in _whole(batches):
+            sig, label, side = _flat(batch, "sig", "label", "side")
+            data, off = K.buffers(batch.column("set"))
+            found = []
+            for a, b in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
+                u = np.frombuffer(data[off[a] : off[b]].tobytes(), np.uint64)
+                found += [(a + i, a + j) for i, j in forest(u, (off[a : b + 1] - off[a]) // 8, label[a:b], side[a:b], num, den)]
+            if found:
+                i, j = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(sig[i]), pa.array(sig[j])], names=["u", "v"])
 
-    first = known.select(F.col("sig").alias("u"), "n", F.col("point").alias("a"))
-    second = known.select(F.col("sig").alias("v"), F.col("n").alias("m"), F.col("point").alias("b"))
-    return pairs.join(first, "u").join(second, "v").select("u", "v", "n", "m", "a", "b").mapInArrow(K.task(kept), "u long, v long")
+    return tiles.mapInArrow(K.task(joined), "u long, v long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, size: int) -> DataFrame:
-    """The pairs (u, v) whose exact sets link."""
+def _verified(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) of classes that link: those within the bound by summed coordinate minima, by their exact sets."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = K.buffers(batch.column("a")), K.buffers(batch.column("b"))
             ok = np.zeros(batch.num_rows, bool)
-            for a, b in K.slices(left[1] + right[1]):
-                for k, (x, y) in enumerate(zip(shingles(*K.cut(*left, a, b), size), shingles(*K.cut(*right, a, b), size), strict=True), a):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    ok[k] = den * common >= num * (len(x) + len(y) - common)
+            for k in range(0, batch.num_rows, 256):
+                flat = []
+                for c in ("a", "b"):
+                    data, off = K.buffers(batch.column(c)[k : k + 256])
+                    flat.append((np.frombuffer(data[off[0] : off[-1]].tobytes(), np.uint64), (off - off[0]) // 8))
+                (x, xb), (y, yb) = flat
+                bound = np.minimum(points(x, xb), points(y, yb)).sum(1) >= needed(np.diff(xb), np.diff(yb), num, den)
+                for r in np.flatnonzero(bound).tolist():
+                    ok[k + r] = _link(x[xb[r] : xb[r + 1]], y[yb[r] : yb[r + 1]], num, den)
             yield batch.select(["u", "v"]).filter(pa.array(ok))
 
-    first = texts.select(F.col("sig").alias("u"), F.col("text").alias("a"))
-    second = texts.select(F.col("sig").alias("v"), F.col("text").alias("b"))
+    first = known.select(F.col("sig").alias("u"), F.col("set").alias("a"))
+    second = known.select(F.col("sig").alias("v"), F.col("set").alias("b"))
     return pairs.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(K.task(linked), "u long, v long")
 
 
+def _known(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """Stored: sig, n, point and set (sorted hashes) of the classes, from one text of each."""
+    chosen = stash(sets.where("n > 0").join(classes, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("sig", "r.*"), "chosen")
+    row = small(chosen, chosen.count(), 48)
+    plain = docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text")
+    texts = plain.join(row, plain["doc_id"].eqNullSafe(row["doc_id"]) & (plain["th"] == row["th"])).select("sig", "text")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = K.buffers(batch.column("text"))
+            for a, b in K.slices(off):
+                found = shingles(*K.cut(data, off, a, b), size)
+                size_of = pa.array([len(x) for x in found], pa.int64())
+                point = pa.array([packed(points(x, np.array([0, len(x)]))[0]) for x in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("sig")[a:b], size_of, point, pa.array([x.tobytes() for x in found], pa.binary())], names=["sig", "n", "point", "set"])
+
+    known = stash(texts.mapInArrow(K.task(made), "sig long, n long, point binary, set binary").dropDuplicates(["sig"]), "classes")
+    drop_stash(chosen)
+    return known
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """The rows (key, sig, label) of keys that hold several labels."""
+    several = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    return labelled.join(several, "key")
+
+
+def _tiles(rows: DataFrame, known: DataFrame, *columns: str) -> DataFrame:
+    """Rows (key, sig, label) dealt to tiles (key, i, j), with the side in the tile and columns of the class; sorted by tile.
+
+    Beyond CHUNK shingles (of at least GROUPS each row) a key is cut into parts, and each pair of those is a tile.
+    """
+    left = stash(rows.join(known.select("sig", "n"), "sig"), "mixed")
+    parts = left.groupBy("key").agg(F.ceil(F.sum(F.greatest(F.col("n"), F.lit(GROUPS))) / CHUNK).cast("int").alias("parts"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    dealt = left.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("sig", "key"), F.col("parts")).cast("int")).select("key", "sig", "label", "part", other)
+    side = F.when(F.col("part") == F.col("other"), F.lit(-1)).otherwise((F.col("part") > F.col("other")).cast("int"))
+    tiles = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "sig", "label", side.alias("side"))
+    return tiles.join(known.select("sig", *columns), "sig").repartition(*TILE).sortWithinPartitions(*TILE)
+
+
 def link(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """The stored sets of all rows, and (node, label) of every class that links with a different one."""
-    sets = _sets(docs, num, den, size)
-    rows = sets.select(F.explode("keys").alias("key"), "sig")
-    # counts are summed before they are shuffled; a join streams the rows of a hot cell past one row, without holding them
-    shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = stash(rows.join(shared, "key"), "cells").distinct()
-    per_cell = members.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.col("sig").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("sig")).alias("x")).where("size > 1")
-    popular = members.join(per_cell.select("key"), "key").groupBy("sig").agg(F.count("*").alias("cells"))
+    spark = docs.sparkSession
+    found = _sets(docs, num, den, size)
+    release_shuffles(spark)
+    sets = found.where("key is null").drop("key")
+    raw = stash(found.where("key is not null").select("key", "sig").distinct(), "cells")
+    per_cell = raw.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.col("sig").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("sig")).alias("x"))
+    popular = raw.groupBy("sig").agg(F.count("*").alias("cells"))
     # cells of the same classes are one
-    kept = per_cell.groupBy("size", "s", "x").agg(F.min("key").alias("key")).select("key", "size")
-    members = stash(members.join(kept, "key").join(popular, "sig").select("key", "sig", "size", "cells"), "members")
-
-    classes = members.select("sig").distinct()
-    known = sets.where(F.col("point").isNotNull()).groupBy("sig").agg(F.min(F.struct("doc_id", "th", "n", "point")).alias("r"))
-    known = stash(classes.join(known, "sig").select("sig", "r.*"), "classes")
-    n_known = known.count()
-    row = small(known.select("doc_id", "th", "sig"), n_known, 40)
-    plain = docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text")
-    texts = plain.join(row, plain["doc_id"].eqNullSafe(row["doc_id"]) & (plain["th"] == row["th"])).select("sig", "text")
-    texts = stash(texts.dropDuplicates(["sig"]), "texts")
+    kept = per_cell.groupBy("size", "s", "x").agg(F.min("key").alias("key")).select("key")
+    members = stash(raw.join(kept, "key").join(popular, "sig").select("key", "sig", "cells"), "members")
+    known = _known(docs, sets, members.select("sig").distinct(), size)
+    drop_stash(raw)
 
     hubs = members.groupBy("key").agg(F.max(F.struct("cells", "sig")).alias("hub"))
     stars = members.join(hubs, "key").where("sig <> hub.sig").groupBy("sig").agg(F.max("hub").alias("hub"))
     stars = stars.select(F.col("sig").alias("u"), F.col("hub.sig").alias("v"))
-    first = stash(_verified(_bounded(stars, known, num, den), texts, num, den, size), "links")
+    first = stash(_verified(stars, known, num, den), "links")
     label = stash(components(first), "labels")
 
-    labelled = members.join(label, F.col("sig") == F.col("node"), "left").select("key", "sig", "size", F.coalesce("label", "sig").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-    parts = F.ceil(F.col("size") / CHUNK).cast("int")
-    left = labelled.join(mixed, "key").join(known.select("sig", "n", "point"), "sig").withColumns({"parts": parts, "part": F.pmod(F.xxhash64("sig"), parts).cast("int")})
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = left.select("key", "sig", "n", "point", "label", "part", other).select(
-        "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
-        F.struct("sig", "n", "point", "label", F.when(F.col("part") == F.col("other"), F.lit(-1)).otherwise((F.col("part") > F.col("other")).cast("int")).alias("side")).alias("m"),
-    )
-    groups = dealt.groupBy("key", "i", "j").agg(F.collect_list("m").alias("members")).where((F.size("members") > 1)).select("members")
-    pairs = _tree_pairs(groups, num, den)
-    tried = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    pairs = stash(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-    second = stash(_verified(pairs, texts, num, den, size), "links")
-    return sets, stash(components(first.unionByName(second)), "components")
+    labelled = members.join(label, F.col("sig") == F.col("node"), "left").select("key", "sig", F.coalesce("label", "sig").alias("label"))
+    near = stash(_candidates(_tiles(_mixed(labelled), known, "n", "point"), num, den).distinct(), "near")
+    drop_stash(members)
+    # sets come once to the component of links and candidates, and only where it still holds several labels
+    around = components(first.unionByName(near))
+    labelled = around.select(F.col("label").alias("key"), F.col("node").alias("sig")).join(label, F.col("sig") == F.col("node"), "left").select("key", "sig", F.coalesce("label", "sig").alias("label"))
+    second = stash(_trees(_tiles(_mixed(labelled), known, "set"), num, den), "links")
+    every = components(first.unionByName(second))
+    release_shuffles(spark)
+    for gone in (known, label, first, near, second):
+        drop_stash(gone)
+    return sets, stash(every, "components")
 
 
 def join(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = WORDS) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles and component_id of each row of docs (doc_id, text)."""
+    """doc_id, th (hash of the text), n_shingles, component_id and label (the component's least class; null without shingles) of each row of docs (doc_id, text)."""
     sets, label = link(docs.select("doc_id", "text"), num, den, size)
     named = sets.select("doc_id", "th", "n", "sig").join(label, F.col("sig") == F.col("node"), "left")
     named = named.select("doc_id", "th", "n", F.when(F.col("n") > 0, F.coalesce("label", "sig")).alias("label"))
     least = named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1").select("label", "least")
-    return named.join(least, "label", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return named.join(least, "label", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "label")
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents")).drop("th")
+    return join(table(spark, sf_dir, "documents")).drop("th", "label")
 
 
 QUERIES = {"op9_ngram_jaccard_join": op9_ngram_jaccard_join}

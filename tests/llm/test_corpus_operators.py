@@ -97,11 +97,98 @@ def test_linked_sets_share_a_cell():
             add = np.unique(r.integers(0, 2**64 - 1, int(r.integers(0, max(2, n // 5))), np.uint64))
             v = np.unique(np.concatenate([keep, add]))
             common = len(np.intersect1d(u, v))
-            if len(v) and common and 100 * common >= 85 * (len(u) + len(v) - common):
+            # equal sets are one class and need no cell
+            if common < max(len(u), len(v)) and common and 100 * common >= 85 * (len(u) + len(v) - common):
                 assert len(np.intersect1d(J.cells(u), J.cells(v)))
         least = -(-85 * n // 100)
         v = u[n - least :]
-        assert len(np.intersect1d(J.cells(u), J.cells(v)))
+        assert least == n or len(np.intersect1d(J.cells(u), J.cells(v)))
+        # the other threshold in use
+        least = -(-80 * n // 100)
+        v = u[n - least :]
+        assert least == n or len(np.intersect1d(J.cells(u, 80, 100), J.cells(v, 80, 100)))
+
+
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (80, 100), (9, 10)])
+def test_sizes_that_can_link_share_a_window(num, den):
+    for n in [*range(1, 300), 1000, 4097, 50_000]:
+        for m in {n, n + 1, (n + n * den // num) // 2, n * den // num}:
+            if n < m <= n * den // num:
+                assert set(J.windows(n, num, den)) & set(J.windows(m, num, den)), (n, m)
+
+
+def test_unrelated_sets_share_few_cells():
+    r = np.random.default_rng(8)
+    for n in (16, 40, 64, 128, 200, 256, 512, 1024, 4096):
+        for many in (100, 400):
+            keys = np.concatenate([J.cells(np.unique(r.integers(0, 2**64 - 1, int(n * r.uniform(0.9, 1.1)), np.uint64))) for _ in range(many if n < 2000 else many // 4)])
+            assert np.unique(keys, return_counts=True)[1].max() == 1
+
+
+def test_a_set_of_too_many_sparse_blocks_meets_its_likes_by_a_prefix(monkeypatch):
+    monkeypatch.setattr(J, "scheme", lambda number, num, den: (40, 0, 3))  # every set has a sparse block
+    r = np.random.default_rng(9)
+    u = np.unique(r.integers(0, 2**64 - 1, 100, np.uint64))
+    v = np.union1d(u[:93], r.integers(0, 2**64 - 1, 7, np.uint64))
+    assert len(np.intersect1d(J.cells(u), J.cells(v)))
+
+
+def test_shared_keys_come_out_whatever_the_order():
+    r = np.random.default_rng(10)
+    key, sig = r.integers(0, 300, 1000).astype(np.uint64), r.integers(0, 40, 1000)
+    want = {(k, s) for k, s in zip(key.tolist(), sig.tolist(), strict=True) if len(set(sig[key == k].tolist())) > 1}
+    for step in (1, 7, 1000):
+        bucket, got = J.Shared(), set()
+        for k in range(0, 1000, step):
+            a, b = bucket.add(key[k : k + step], sig[k : k + step])
+            got |= set(zip(a.tolist(), b.tolist(), strict=True))
+        assert got == want
+
+
+def test_a_forest_joins_all_links_with_few_rows():
+    r = np.random.default_rng(11)
+    base = r.integers(0, 2**64 - 1, 200, np.uint64)
+    sets = [np.union1d(np.delete(base, r.integers(0, 200, 8)), r.integers(0, 2**64 - 1, 8, np.uint64)) for _ in range(120)]
+    u, border = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    found = J.forest(u, border, np.arange(120), np.full(120, -1), 85, 100)
+    links = [(i, j) for i in range(120) for j in range(i) if J._link(sets[i], sets[j], 85, 100)]
+
+    def parts(pairs):
+        root = list(range(120))
+        for a, b in pairs:
+            a, b = root[a], root[b]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+        return root
+
+    assert parts(found) == parts(links) and len(found) == 120 - len(set(parts(links))) < len(links)
+
+
+def test_counts_of_any_size_stay_whole():
+    big = np.zeros(J.GROUPS, np.int64)
+    big[:3] = (70_000, 255, 3)
+    assert J.unpacked([J.packed(big), J.packed(big % 200)]).tolist() == [big.tolist(), (big % 200).tolist()]
+    # over 65,536 shingles in one group
+    u = np.arange(70_000, dtype=np.uint64) << np.uint64(15)
+    assert J.points(u, np.array([0, len(u)]))[0, 0] == 70_000
+
+
+def test_join_without_broadcasts_by_text_ids_and_other_thresholds(spark, monkeypatch):
+    texts = corpus(5)
+    plain = {r["doc_id"]: r["component_id"] for r in J.join(docs_frame(spark, texts)).collect()}
+    from cinderlog.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    named = docs_frame(spark, texts).withColumn("doc_id", F.format_string("%05d", "doc_id"))
+    assert {int(r["doc_id"]): int(r["component_id"]) for r in J.join(named).collect()} == plain
+    sets = [shingle_set(t, 5) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    assert [r["component_id"] for r in J.join(docs_frame(spark, texts), 80, 100, 5).orderBy("doc_id").collect()] == root
 
 
 def test_rtree_finds_all_pairs_of_the_bound():
