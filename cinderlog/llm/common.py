@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share; a temporary one only where the session names none and all executors are on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"{tempfile.gettempdir()}/cinderlog-shared"
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -58,10 +60,10 @@ def clear_stashes(spark: SparkSession) -> None:
 
 
 def drop_stash(df: DataFrame) -> None:
-    """Deletes the files of a stash that no later plan reads."""
-    files = df.inputFiles()
-    if files:
-        _delete(df.sparkSession, files[0].rpartition("/")[0])
+    """Deletes the stashes that df reads, once no later plan reads them; other files stay."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if f"/cinderlog-{df.sparkSession.sparkContext.applicationId}/" in folder:
+            _delete(df.sparkSession, folder)
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -10,7 +10,7 @@ from cinderlog.llm import bpe, queries, secrets
 from cinderlog.llm import decontamination as D
 from cinderlog.llm import quality_classifier as Q
 from tests.llm.helpers import ODD_TEXTS, clashing, crc, docs_frame, sentence, vocabulary
-from tests.llm.test_corpus_operators import brute_components, brute_contamination, near_copies
+from tests.llm.test_corpus_operators import brute_contamination, near_copies, shingle_set
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,6 +40,18 @@ def corpus(spark, tmp_path_factory):
     return folder, texts, items, labels
 
 
+def brute_near(texts):
+    sets = [shingle_set(t, 5) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    return root
+
+
 def test_stages(spark, corpus):
     folder, texts, items, labels = corpus
     docs = spark.read.parquet(f"{folder}/documents.parquet")
@@ -53,7 +65,7 @@ def test_stages(spark, corpus):
 
     one = CP.STAGES[1][1](spark, kept, folder)
     assert one.columns == columns
-    _, roots = brute_components([texts[i] for i in left])
+    roots = brute_near([texts[i] for i in left])
     left = sorted({left[k] for k in roots})
     assert sorted(r["doc_id"] for r in one.collect()) == left
 
@@ -90,6 +102,16 @@ def test_odd_rows(spark, corpus):
     assert sorted(r["doc_id"] for r in one if r["doc_id"] is not None) == list(range(len(ODD_TEXTS)))
 
 
+def test_one_of_each_group_stays_without_ids_too(spark, corpus):
+    r = random.Random(2)
+    base = sentence(r, 300)
+    docs = docs_frame(spark, near_copies(r, base, 9, 2) + [base] * 3 + [sentence(r, 50)])
+    for ids in (F.lit(None).cast("long"), F.lit(7).cast("long"), F.when(F.col("doc_id") > 4, F.col("doc_id"))):
+        assert CP.near_duplicates(spark, docs.withColumn("doc_id", ids), corpus[0]).count() == 2
+    left = CP.near_duplicates(spark, docs.withColumn("doc_id", F.when(F.col("doc_id") > 4, F.col("doc_id"))), corpus[0])
+    assert sorted(x["doc_id"] for x in left.collect()) == [5, 12]
+
+
 def test_names_and_tables(spark):
     assert [n for n, _ in CP.STAGES] == ["quality", "near_duplicates", "decontaminate", "mask_secrets", "tokens"]
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
