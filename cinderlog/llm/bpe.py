@@ -7,15 +7,19 @@ anew. A document's ids are then its matches' ids, one after another. Nothing is
 of text, so memory doesn't grow with the corpus, and a block lost with its executor is simply done again.
 
 Words are independent, and a word's own lowest rank is always met before its higher ones (a new pair of a lower rank
-than the current goes to the head of the queue), so the ids are those of merging each word by itself.
+than the current goes to the head of the queue), so the ids are those of merging each word by itself. Where a vocabulary
+lets a merge make a pair of a lower rank, a word gives one place a turn; words beyond WORD bytes, which would take many
+turns, have an index of their own: a heap of (rank, place), in n log n steps for any length.
 
-Defined cases: a null or empty text has no ids; texts of any length are cut match by match; repeated rows get equal
-results; an empty table gives no rows; other columns are kept by encode() and not read by the query.
+Defined cases: a null or empty text has no ids; texts and matches of any length are whole; repeated rows get equal
+results; of places of equal rank the leftmost goes first; a null doc_id is kept; an empty table gives no rows; other
+columns are kept by encode() and not read by the query.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 from collections import defaultdict
@@ -35,6 +39,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK = 32 << 20
 #: Characters from which a text is cut match by match, without a list of all its matches.
 LONG = 4 << 20
+#: Bytes of a word beyond which it is merged by a heap of its own.
+WORD = 512
 NONE = np.int32(2**31 - 1)
 
 
@@ -75,6 +81,11 @@ class Ranks:
             bool((inner < np.array(merged, np.int64)).all()) if keys else True,
         )
 
+    @functools.cached_property
+    def table(self) -> dict[int, int]:
+        """Merged ids by key."""
+        return dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist(), strict=True))
+
     @classmethod
     def read(cls, path: str) -> Ranks:
         with open(path, "rb") as f:
@@ -89,8 +100,46 @@ class Ranks:
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
 
 
+def _merged(ranks: Ranks, word: bytes) -> list[int]:
+    """Ids of one word: places wait in a heap by rank, the leftmost first, and only touched neighbours enter anew."""
+    table = ranks.table
+    symbol = ranks.single[np.frombuffer(word, np.uint8)].tolist()
+    n = len(symbol)
+    if n and min(symbol) < 0:
+        raise ValueError("a byte has no rank of its own")
+    after, before = [*range(1, n), -1], list(range(-1, n - 1))
+    rank = [table.get(a << 32 | b) for a, b in zip(symbol, symbol[1:], strict=False)] + [None]
+    queue = [r << 32 | i for i, r in enumerate(rank) if r is not None]
+    heapq.heapify(queue)
+    while queue:
+        top = heapq.heappop(queue)
+        r, i = top >> 32, top & 0xFFFFFFFF
+        if rank[i] != r:
+            continue
+        j = after[i]
+        symbol[i], symbol[j], rank[j] = r, -1, None
+        after[i] = k = after[j]
+        if k >= 0:
+            before[k] = i
+        for a in (before[i], i):
+            if a < 0:
+                continue
+            b = after[a]
+            rank[a] = x = table.get(symbol[a] << 32 | symbol[b]) if b >= 0 else None
+            if x is not None:
+                heapq.heappush(queue, x << 32 | a)
+    return [x for x in symbol if x >= 0]
+
+
 def replay(ranks: Ranks, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words end to end, and each word's border, by one replay of the merges over all words."""
+    long = [k for k, w in enumerate(words) if len(w) > WORD] if not ranks.ordered else []
+    if long:
+        own = {k: np.array(_merged(ranks, words[k]), np.int32) for k in long}
+        ids, border = replay(ranks, [b"" if k in own else w for k, w in enumerate(words)])
+        parts = np.split(ids, border[1:-1])
+        parts = [own.get(k, x) for k, x in enumerate(parts)]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
     size = np.fromiter(map(len, words), np.int64, len(words))
     border = np.concatenate([[0], np.cumsum(size)])
     n = int(border[-1])
