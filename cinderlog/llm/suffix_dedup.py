@@ -17,7 +17,8 @@ the same document. Strings are judged on the input.
 
 Defined cases: a null text is empty; texts below LENGTH bytes have nothing to remove; rows of equal doc_id but different
 texts are different documents of which neither comes first; repeated rows are one document; a null doc_id comes after
-all others; an empty table gives no rows; other columns are not read.
+all others; of equal strings in one text the earliest stays; texts of any length are whole; an empty table gives no
+rows; other columns are not read; a doc_id that isn't a whole number counts by its order among all.
 """
 
 from __future__ import annotations
@@ -28,26 +29,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinderlog.llm import kernels as K
-from cinderlog.llm.common import small, stash, table, text_hash, utf8_bytes
+from cinderlog.llm.common import drop_stash, small, stash, table, text_hash, utf8_bytes
 
 LENGTH, GRAM = 100, 32
 #: Snippets of one lead gram in a shard, and bytes of snippets that are sorted at once.
 CAP, SHARD = 4096, 1 << 20
-#: Bits of a byte's place beside a gram's hash: texts up to 256 MB.
+#: Bits of a byte's place beside a gram's hash; longer texts are gone through in pieces of so many bytes.
 PLACE = 28
 LAST = 2**63 - 1
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
-def snippets(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window start and lead gram's hash of each snippet, and the documents' borders."""
+def _leads(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """By byte, the place of the lead gram of the window that starts there, and the hash of the gram that does; at most 2 ** PLACE bytes."""
     n = len(data)
     width = length - gram + 1
-    empty = np.zeros(0, np.int64)
-    if n < length:
-        return empty, empty, empty.astype(np.uint64), np.zeros(len(off), np.int64)
     at = K.eights(np.concatenate([data, np.zeros(gram, np.uint8)]))
     h = at[:n] * _ODD[0]
     for k in range(8, gram, 8):
@@ -63,7 +62,23 @@ def snippets(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int
         have *= 2
     if have < width:
         best = np.minimum(best[: len(best) - (width - have)], best[width - have :])
-    lead = (best & low).astype(np.int64)
+    return (best & low).astype(np.int64), h
+
+
+def snippets(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window start and lead gram's hash of each snippet, and the documents' borders."""
+    n = len(data)
+    empty = np.zeros(0, np.int64)
+    if n < length:
+        return empty, empty, empty.astype(np.uint64), np.zeros(len(off), np.int64)
+    if n <= 1 << PLACE:
+        lead, h = _leads(data, length, gram)
+    else:
+        # pieces that overlap by a window, so that each window lies in one
+        step = (1 << PLACE) - length
+        parts = [(c, *_leads(data[c : c + step + length - 1], length, gram)) for c in range(0, n - length + 1, step)]
+        lead = np.concatenate([c + x[:step] for c, x, _ in parts])
+        h = np.concatenate([*(x[:step] for _, _, x in parts[:-1]), parts[-1][2]])
     sizes = np.maximum(np.diff(off) - length + 1, 0)
     starts = K.ranges(off[:-1], sizes)
     if not len(starts):
@@ -391,7 +406,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     known = docs.select("doc_id", text_hash(text).alias("th"), F.monotonically_increasing_id().alias("rid"), utf8_bytes(text).alias("n"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("digest"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     grams = stash(known.mapInArrow(K.task(_lead_grams), f"doc_id {kind}, th long, rid long, n long, digest string, grams array<long>, counts array<long>"), "lead-grams")
-    ids = grams.where(F.col("n") >= LENGTH).select("rid", "doc_id", "th", "n", "digest", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"))
+    made = [grams]
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        ids = grams.withColumn("doc", F.col("doc_id").cast("long"))
+    else:
+        order = stash(docs.select("doc_id").where("doc_id is not null").distinct().orderBy("doc_id").select("doc_id", F.monotonically_increasing_id().alias("doc")), "order")
+        made.append(order)
+        ids = grams.join(order, "doc_id", "left")
+    ids = ids.where(F.col("n") >= LENGTH).select("rid", "doc_id", "th", "n", "digest", F.coalesce("doc", F.lit(LAST)).alias("doc"))
     # whole texts: only the first copy goes on, and only one of a document's repeated rows
     first = ids.groupBy("digest").agg(F.min(F.struct("doc", "rid")).alias("one"), F.count("*").alias("c")).where("c > 1").select("digest", "one")
     copies = stash(ids.join(first, "digest").where("rid <> one.rid").select("rid", "doc_id", "th", "n", (F.col("doc") > F.col("one.doc")).alias("later")), "copies")
@@ -420,7 +442,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     apart = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans")).mapInArrow(K.task(_merged), "rid long, spans array<struct<start: long, end: long>>")
     apart = apart.join(ids.select("rid", "doc_id", "th"), "rid").select("doc_id", "th", "spans")
     whole = copies.where("later").select("doc_id", "th", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))).alias("spans")).dropDuplicates(["doc_id", "th"])
-    return stash(apart.unionByName(whole), "spans")
+    found = stash(apart.unionByName(whole), "spans")
+    for gone in (*made, copies, wanted, cut, settled):
+        drop_stash(gone)
+    return found
 
 
 def dedup(docs: DataFrame) -> DataFrame:
