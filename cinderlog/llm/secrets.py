@@ -2,15 +2,17 @@
 
 A candidate is a run of letters, digits and _-+/=. that is long and holds a digit, that begins like an issuer's keys, or
 that stands right after a sign of assignment; an assigned value with other signs reaches to its quote or blank (a next
-name with its sign ends it, and closing signs after it without a quote don't count; URLs stay runs). Its features are length, character transitions (changes of class, and how much likelier its letter pairs
+name with its sign ends it, and closing signs after it without a quote don't count; URLs stay runs). A block between the
+marks of a private key is one candidate. Its features are length, character transitions (changes of class, and how much likelier its letter pairs
 are among secrets than among other runs), the share covered by dictionary words, path and address signs, and the
 neighbouring words. The forest learns from labelled findings: labelled_findings() makes a fixed set by rules, and a
 table of one's own findings (text, start, end, label) can be given instead.
 
 Candidates are found on byte buffers of whole texts, by slices of a few MB; nothing is shuffled.
 
-Defined cases: a null text stays null and has no findings, an empty one has none; repeated rows get equal results; an
-empty table gives no rows; scan() and redact() keep all other columns as they are.
+Defined cases: a null text stays null and has no findings, an empty one has none; a null doc_id is kept; texts of any
+length are whole; repeated rows get equal results; a score at the threshold is a secret, and of equally good cuts a tree
+takes the first it tries; an empty table gives no rows; scan() and redact() keep all other columns as they are.
 """
 
 from __future__ import annotations
@@ -51,16 +53,24 @@ DICTIONARY = "the and for with from that this have will your about which when ma
 ISSUERS = "AKIA ASIA ghp_ gho_ ghs_ xoxb- xoxp- sk- sk_live_ pk_live_ AIza glpat- npm_ eyJ SG.".split()
 #: A sign of assignment and its value; a name with its sign that begins a value; one that follows it.
 VALUE = re.compile(rb"[=:][ \"'`]{0,2}([^\s\"'`=:][^\s\"'`]*)")
+#: A private key between its marks; a whole block is one candidate.
+KEY_BLOCK = re.compile(rb"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----.*?-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----", re.DOTALL)
 INNER, NEXT = re.compile(rb"[A-Za-z_][\w.-]*=(?=[^=])"), re.compile(rb"[?&,;|#][A-Za-z_][\w.-]*[=:]")
 
 FEATURES = ("length", "changes", "pair_odds", "entropy", "digits", "uppers", "lowers", "signs", "hex", "dictionary", "slashes", "dots", "extension", "address", "assigned", "quoted", "secret_word", "harmless_word", "issuer", "all_digits")
 
 
 def _values(text: bytes) -> Iterator[tuple[int, int]]:
-    """Starts and ends of assigned values that hold other signs than those of runs."""
+    """Starts and ends of key blocks, and of assigned values that hold other signs than those of runs."""
+    blocks = [m.span() for m in KEY_BLOCK.finditer(text)] if b"-----BEGIN " in text else []
     at = 0
     while found := VALUE.search(text, at):
         a, b = found.span(1)
+        if blocks and b > blocks[0][0]:
+            # what begins before a block and reaches into it belongs to it
+            yield blocks[0]
+            at = blocks.pop(0)[1]
+            continue
         value = text[a:b]
         if value.startswith(b"//") or INNER.match(value):
             at = a
@@ -72,6 +82,7 @@ def _values(text: bytes) -> Iterator[tuple[int, int]]:
         at = a + max(1, len(value))
         if len(value) >= ASSIGNED and not RUN[np.frombuffer(value.rstrip(b"="), np.uint8)].all():
             yield a, a + len(value)
+    yield from blocks
 
 
 def candidates(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,6 +175,8 @@ def labelled_findings(rows: int = FINDINGS, seed: int = 11) -> list[tuple[str, i
     words = lambda: " ".join(word() for _ in range(r.randint(0, 9)))
     name = lambda: r.choice(["token", "secret", "password", "api_key", "access_key", "client_secret", "auth_token", "passwd", "private_key"])
     sign = lambda: r.choice(["=", ": ", ' = "', '="', ": '", " = "])
+    kind = lambda: r.choice(["RSA ", "EC ", "", "OPENSSH ", "ENCRYPTED "])
+    pem = lambda: (lambda k: f"-----BEGIN {k}PRIVATE KEY-----\n" + "\n".join(some(alnum + "+/", 64) for _ in range(r.randint(1, 6))) + f"\n-----END {k}PRIVATE KEY-----")(kind())
     positive = [
         lambda: (f"{name()}{sign()}", some(hexa, r.choice([16, 18, 20, 24, 32, 40, 64]))),
         lambda: (f"{name()}{sign()}", some(alnum, r.randint(12, 48))),
@@ -174,6 +187,7 @@ def labelled_findings(rows: int = FINDINGS, seed: int = 11) -> list[tuple[str, i
         lambda: (f"{name()}{sign()}", "".join(word() for _ in range(4)) + some(letters[26:], r.randint(4, 12))),
         lambda: (f"{name()}{sign()}", some(alnum, r.randint(4, 10)) + r.choice("&!@#$%*^~") + some(alnum + "&!@#$%*^~", r.randint(4, 14))),
         lambda: (r.choice(["", "use ", "key: "]), r.choice(["AKIA", "ASIA"]) + some(letters[:26], 16)),
+        lambda: (r.choice(["", "key: ", "private_key = "]), pem()),
         lambda: (r.choice(["Bearer ", "token: "]), "eyJ" + some(alnum, 24) + "." + some(alnum, 40) + "." + some(alnum + "-_", 30)),
     ]
     negative = [
@@ -216,14 +230,19 @@ class Forest:
         x = np.array([self.row(t, a, b) for t, a, b, _ in findings], float).reshape(-1, len(FEATURES))
         y = np.array([label for *_, label in findings], float)
         rng = np.random.default_rng(seed)
-        self.trees = [self._tree(x[i], y[i], rng, 0) for i in (rng.integers(0, len(y), len(y)) for _ in range(TREES))] if len(y) else []
+        self.nodes: list[tuple[int, float, int, int, float]] = []  # feature, cut, children, share of secrets
+        self.roots = np.array([self._grow(x[i], y[i], rng, 0) for i in (rng.integers(0, len(y), len(y)) for _ in range(TREES))], np.int64) if len(y) else np.zeros(0, np.int64)
+        self.feature, self.cut, self.low, self.high, self.share = (np.array(c) for c in zip(*self.nodes, strict=True)) if self.nodes else [np.zeros(0)] * 5
 
     def row(self, text: str, a: int, b: int) -> list[float]:
         return describe(text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND], self.odds)
 
-    def _tree(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int):
+    def _grow(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int) -> int:
+        """Adds a node and those below it; the number of the node. A leaf is its own child."""
+        me = len(self.nodes)
+        self.nodes.append((0, np.inf, me, me, float(y.mean())))
         if depth == DEPTH or len(y) < 2 * LEAF or y.min() == y.max():
-            return float(y.mean())
+            return me
         best = (np.inf, None, None)
         for f in rng.choice(x.shape[1], 6, replace=False):
             v = x[:, f]
@@ -236,18 +255,24 @@ class Forest:
                     if impurity < best[0]:
                         best = (impurity, f, cut)
         if best[1] is None:
-            return float(y.mean())
+            return me
         low = x[:, best[1]] <= best[2]
-        return (int(best[1]), float(best[2]), self._tree(x[low], y[low], rng, depth + 1), self._tree(x[~low], y[~low], rng, depth + 1))
+        left, right = (self._grow(x[k], y[k], rng, depth + 1) for k in (low, ~low))
+        self.nodes[me] = (int(best[1]), float(best[2]), left, right, float(y.mean()))
+        return me
+
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        """For each row the mean share of secrets in the leaves that it comes to; all trees and rows go down abreast."""
+        if not len(self.roots) or not len(rows):
+            return np.zeros(len(rows))
+        at = np.tile(self.roots, (len(rows), 1))
+        for _ in range(DEPTH):
+            value = np.take_along_axis(rows, self.feature[at].astype(np.int64), 1)
+            at = np.where(value <= self.cut[at], self.low[at], self.high[at])
+        return self.share[at].mean(1)
 
     def score(self, row: list[float]) -> float:
-        """Mean share of secrets in the leaves that the row comes to."""
-        total = 0.0
-        for node in self.trees:
-            while isinstance(node, tuple):
-                node = node[2] if row[node[0]] <= node[1] else node[3]
-            total += node
-        return total / max(1, len(self.trees))
+        return float(self.scores(np.array([row], float))[0])
 
 
 def findings_in(forest: Forest, data: np.ndarray, off: np.ndarray) -> list[list[tuple[int, int, float]]]:
@@ -255,12 +280,15 @@ def findings_in(forest: Forest, data: np.ndarray, off: np.ndarray) -> list[list[
     starts, ends = candidates(data, off)
     out: list[list[tuple[int, int, float]]] = [[] for _ in range(len(off) - 1)]
     docs = np.searchsorted(off, starts, "right") - 1
+    rows = []
     for d, a, b in zip(docs.tolist(), starts.tolist(), ends.tolist(), strict=True):
         lo, hi = int(off[d]), int(off[d + 1])
         left = data[max(lo, a - AROUND) : a].tobytes().decode("utf-8", "ignore")
         right = data[b : min(hi, b + AROUND)].tobytes().decode("utf-8", "ignore")
-        value = data[a:b].tobytes().decode("utf-8", "ignore")
-        out[d].append((a - lo, b - lo, forest.score(describe(value, left, right, forest.odds))))
+        rows.append(describe(data[a:b].tobytes().decode("utf-8", "ignore"), left, right, forest.odds))
+    scores = forest.scores(np.array(rows, float).reshape(-1, len(FEATURES)))
+    for d, a, b, p in zip(docs.tolist(), starts.tolist(), ends.tolist(), scores.tolist(), strict=True):
+        out[d].append((a - int(off[d]), b - int(off[d]), p))
     return out
 
 
