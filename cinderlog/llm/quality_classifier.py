@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE, b
                 )
 
     sample = labelled_sample(docs, labels, "quality", learn, rows)
-    rows_ = sample.mapInArrow(K.task(hashed), "doc_id long, label int, f array<int>, v array<float>").toArrow().combine_chunks()
+    rows_ = sample.mapInArrow(K.task(hashed), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, f array<int>, v array<float>").toArrow().combine_chunks()
     rows_ = rows_.sort_by([("doc_id", "ascending"), ("label", "ascending")])
     if not rows_.num_rows:
         return np.zeros(1 << bits, np.float32), 0.0

@@ -145,3 +145,59 @@ def test_odd_tables(spark, corpus):
     assert {r["score"] for r in Q.classify(odd, none).collect()} == {0.5}
     null_id = odd.withColumn("doc_id", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(None).cast("long"))
     assert all(r["held_out"] is None for r in Q.classify(null_id, labels).collect())
+
+
+def plain_features(text, bits):
+    """Hashed tokens and pairs by a dictionary; the hashes themselves are the operator's."""
+    import re
+
+    tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+", text)
+    hashed = [int(K.span_hash(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0]) for t in tokens]
+    mix = lambda x: int(K.mix(np.array([x % 2**64], np.uint64))[0])
+    keys = [*hashed, mix(int(np.floor(np.log2(len(tokens) + 1))) + Q.LENGTH)]
+    for a, b in zip(hashed, hashed[1:], strict=False):
+        keys.append(Q.TWICE if a == b else mix(a * 3 + mix(b)))
+    out = {}
+    for k in keys:
+        out[k % 2**bits] = out.get(k % 2**bits, 0) + 1
+    out = {k: 1 + np.log(c) for k, c in out.items()}
+    norm = np.sqrt(sum(v * v for v in out.values()))
+    return {k: v / norm for k, v in out.items()}
+
+
+def test_training_and_scores_are_those_of_a_plain_version():
+    r = random.Random(3)
+    words = vocabulary(4, 60)
+    texts = [(sentence(r, r.randint(0, 25), words) + (" !!" if i % 3 else "")).encode() for i in range(80)]
+    label = [float(i % 3 != 0 or i % 7 == 0) for i in range(80)]
+    bits, epochs = 10, 3
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    at, f, v = Q.features(np.frombuffer(b"".join(texts), np.uint8), off, bits)
+    rows = [plain_features(t, bits) for t in texts]
+    for i, row in enumerate(rows):
+        assert dict(zip(f[at[i] : at[i + 1]].tolist(), v[at[i] : at[i + 1]].tolist(), strict=True)) == pytest.approx(row)
+    w, bias = Q.train(at, f, v, np.array(label), bits, epochs)
+    z, n = {}, {}
+    weight = lambda k: 0.0 if abs(z.get(k, 0.0)) <= Q.L1 else (np.sign(z[k]) * Q.L1 - z[k]) / ((Q.BETA + np.sqrt(n[k])) / Q.ALPHA + Q.L2)
+    share = sum(label) / len(label)
+    b, b_n, order = np.log(share / (1 - share)), 1.0, np.random.default_rng(7)
+    for _ in range(epochs):
+        for i in order.permutation(len(label)).tolist():
+            p = 1 / (1 + np.exp(-(b + sum(weight(k) * x for k, x in rows[i].items()))))
+            for k, x in rows[i].items():
+                g, before, old = (p - label[i]) * x, weight(k), n.get(k, 0.0)
+                n[k] = old + g * g
+                z[k] = z.get(k, 0.0) + g - (np.sqrt(n[k]) - np.sqrt(old)) / Q.ALPHA * before
+            b_n += (p - label[i]) ** 2
+            b -= 0.1 * (p - label[i]) / np.sqrt(b_n)
+    assert bias == pytest.approx(b) and np.allclose(w, [weight(k) for k in range(1 << bits)], atol=1e-5)
+
+
+def test_text_ids_and_repeated_rows(spark, corpus):
+    docs, labels, _ = corpus
+    F = __import__("pyspark.sql.functions", fromlist=["lit"])
+    named = lambda df: df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    twice = named(docs).unionByName(named(docs))
+    for run in (Q.classify, T.judge, lambda d, x: R.judge(d, R.learn(d, x))):
+        rows = run(twice, named(labels)).collect()
+        assert len(rows) == 1400 and len(set(rows)) == 700

@@ -266,6 +266,31 @@ def test_removed_bytes(spark, monkeypatch, cap):
     assert sum(w[1] for w in want) > 0.3 * sum(w[0] for w in want)
 
 
+def test_snippets_of_pieces_are_those_of_the_whole(monkeypatch):
+    r = random.Random(12)
+    text = (sentence(r, 3000) + " ") * 2 + sentence(r, 500)
+    data, off = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
+    monkeypatch.setattr(S, "PLACE", 14)
+    first, last, gram, border = S.snippets(data, off)
+    # windows are whole, in order, and equal ones have equal lead grams although pieces cut the text
+    assert first[0] == 0 and last[-1] == len(text) - S.LENGTH and (first[1:] == last[:-1] + 1).all() and border.tolist() == [0, len(first)]
+    lead = np.repeat(gram, last - first + 1)
+    seen = {}
+    for i in range(len(text) - S.LENGTH + 1):
+        assert seen.setdefault(text[i : i + S.LENGTH], lead[i]) == lead[i]
+
+
+def test_long_texts_and_text_ids(spark):
+    r = random.Random(13)
+    passage = sentence(r, 200)
+    texts = [sentence(r, 30_000) + passage + sentence(r, 4000), "short " + passage, passage, sentence(r, 7000), passage]
+    want = [w[1:] for w in brute_repeats(texts)]
+    named = docs_frame(spark, texts).withColumn("doc_id", F.format_string("d%03d", "doc_id"))
+    for docs in (docs_frame(spark, texts), named):
+        got = {int(str(x["doc_id"]).lstrip("d")): (x["n_removed"], x["n_spans"], sha(bytes(x["kept"]))) for x in S.dedup(docs).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_suffix_array_and_common_prefixes():
     r = random.Random(6)
     for _ in range(30):
