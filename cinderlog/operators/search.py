@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from cinderlog.functions.buckets import minute_of
 from cinderlog.model import MICRO, Filters, Position
 from cinderlog.operators import cursor as cursors
 from cinderlog.operators.predicates import apply
@@ -71,3 +72,28 @@ def pages(logs: DataFrame, filters: Filters, now: int) -> Iterator[Page]:
         if page.next_cursor is None:
             return
         filters = replace(filters, cursor=page.next_cursor)
+
+
+def staged(logs: DataFrame, filters: Filters, now: int) -> DataFrame:
+    """The page that search() gives, as a table: a stage's rows stay where they are, only their number is looked at."""
+    position = _position(filters)
+    *early, whole = windows(filters, position, now)
+    for stage in early:
+        # a limited count stops as soon as the page is full
+        if top(logs, stage, filters.limit + 1, position).count() > filters.limit:
+            return top(logs, stage, filters.limit, position)
+    return top(logs, whole, filters.limit, position)
+
+
+def all_pages(logs: DataFrame, filters: Filters) -> DataFrame:
+    """Every match with the number of its page (from 0), as following the cursors would give them.
+
+    Matches are counted by minute; a running sum over that small table says how many are newer than a minute, and rows
+    are numbered within their minute. So no task sees more than one minute's rows, and the driver sees none.
+    """
+    found = apply(logs, filters, _position(filters)).withColumn("minute", minute_of(F.col("timestamp")))
+    newer = Window.orderBy(F.desc("minute")).rowsBetween(Window.unboundedPreceding, -1)
+    before = found.groupBy("minute").agg(F.count("*").alias("c")).select("minute", F.coalesce(F.sum("c").over(newer), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("minute").orderBy(F.desc("timestamp"), F.desc("id"))) - 1
+    rows = found.join(before, "minute").withColumn("place", F.col("before") + place)
+    return rows.select(*(c for c in COLUMNS if c in logs.columns), F.floor(F.col("place") / filters.limit).cast("long").alias("page"))

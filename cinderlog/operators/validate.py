@@ -22,10 +22,12 @@ def requests(bodies: DataFrame, body: str = "body") -> DataFrame:
 
     Keys that come twice in an object need spark.sql.variant.allowDuplicateKeys, by which the last one counts.
     """
-    parsed = bodies.withColumn("request", F.try_parse_json(F.col(body)))
+    small = F.octet_length(F.col(body)) <= MAX_BODY_BYTES
+    # a body beyond the limit is refused unread
+    parsed = bodies.withColumn("request", F.try_parse_json(F.when(small, F.col(body))))
     kind, logs = F.schema_of_variant(F.col("request")), F.try_variant_get(F.col("request"), "$.logs", "variant")
     reason = F.coalesce(
-        F.when(F.octet_length(F.col(body)) > MAX_BODY_BYTES, F.lit("request body is too large")),
+        F.when(~small, F.lit("request body is too large")),
         F.when(F.col("request").isNull(), F.lit("request body is not valid JSON")),
         F.when(~F.startswith(kind, F.lit("OBJECT<")), F.lit("request body must be an object")),
         F.when(logs.isNull(), F.lit("missing required field: logs")),

@@ -2,7 +2,7 @@
 
 Counting is stateless: a batch appends its own counters, so rows of any age count and none is dropped as late. The
 batch id of the stream names the stored batch, so a trigger that is run again after a failure commits once. Requests
-wait in their folder until a trigger reads them, at most files_per_trigger at once.
+wait in their folder until a trigger reads them, at most files_per_trigger at once; that is the limit on work in flight.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ from cinderlog.sources.requests import stream_bodies
 from cinderlog.sources.store import Store
 
 
+#: Requests in flight at most; others wait in their folder.
+FILES_PER_TRIGGER = 10_000
+
+
 def numbered_entries(bodies: DataFrame, now: int) -> DataFrame:
     """Validated entries of all requests (request_id, body), with the request's number in the batch.
 
@@ -28,7 +32,7 @@ def numbered_entries(bodies: DataFrame, now: int) -> DataFrame:
     return validate.validated(validate.entries(checked), now)
 
 
-def ingest(spark: SparkSession, source: str, store: Store, checkpoint: str, now: Callable[[], int], answers: str | None = None, files_per_trigger: int | None = None, trigger: dict | None = None) -> StreamingQuery:
+def ingest(spark: SparkSession, source: str, store: Store, checkpoint: str, now: Callable[[], int], answers: str | None = None, files_per_trigger: int = FILES_PER_TRIGGER, trigger: dict | None = None) -> StreamingQuery:
     """Starts the stream; trigger defaults to all that is there (availableNow). Answers, if wanted, are written as JSON by batch."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 

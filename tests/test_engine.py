@@ -165,3 +165,36 @@ def test_generator(spark):
     share = a.groupBy("level").count().collect()
     assert {r["level"] for r in share} == {"debug", "info", "warn", "error"}
     assert max(share, key=lambda r: r["count"])["level"] == "info"
+
+
+def test_numbers_in_the_jvm_are_those_of_the_plain_version(spark):
+    import struct
+
+    from cinderlog.functions.numbers import js_column
+
+    r = random.Random(6)
+    values = [struct.unpack("<d", r.randbytes(8))[0] for _ in range(20_000)] + [r.uniform(-1000, 1000) for _ in range(10_000)] + [round(r.uniform(-1e6, 1e6), r.randint(0, 9)) for _ in range(10_000)]
+    values += [x * 10.0**k for k in range(-12, 24) for x in (1, -2.5, 1.25, 9.99, 123456789)] + [5e-324, 1.7976931348623157e308, 2e-3, 2.0**-44, 2e23, 0.0, -0.0, 2.0**53, 2.0**53 + 2]
+    values = [x for x in values if x == x and abs(x) != float("inf")]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i long, x double").select("i", "x", js_column(F.col("x")).alias("t")).collect()
+    assert [(r["x"], r["t"]) for r in rows if r["t"] != js_text(r["x"])] == []
+    plan = spark.range(1).select(js_column(F.col("id").cast("double")))._jdf.queryExecution().toString()
+    assert "Python" not in plan
+
+
+def test_nearest_ranks_with_many_ranges(spark):
+    from cinderlog.functions.percentiles import nearest_rank, nearest_ranks
+
+    r = random.Random(7)
+    rows = [(r.choice(["a", "b", None]), float(r.choice([r.randint(0, 30), r.uniform(0, 1000)]))) for _ in range(3000)] + [("one", 5.0), ("none", None), ("two", 1.0), ("two", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {x["g"]: tuple(x)[1:] for x in df.where("v is not null").groupBy("g").agg(*(nearest_rank("v", p).alias(f"p{round(p * 100)}") for p in (0.1, 0.5, 0.95, 0.99))).collect()}
+    for ranges in (2, 16, 256):
+        assert {x["g"]: tuple(x)[1:] for x in nearest_ranks(df, "g", "v", (0.1, 0.5, 0.95, 0.99), ranges).collect()} == want
+
+
+def test_all_pages_are_those_that_cursors_give(few):
+    filters = parse_filters({"level": "info", "limit": "4"})
+    want = [(k, row["id"]) for k, page in enumerate(search.pages(few, filters, BASE + 60 * MINUTE)) for row in page.rows]
+    assert sorted((r["page"], -r["id"]) for r in search.all_pages(few, filters).collect()) == sorted((k, -i) for k, i in want)
+    assert ids(search.staged(few, parse_filters({"q": "message", "limit": "3"}), BASE + 60 * MINUTE)) == [24, 23, 22]

@@ -66,6 +66,38 @@ def test_one_committer(spark, tmp_path):
         store.publish(stale)
 
 
+def test_manifests_hold_changes(spark, tmp_path, monkeypatch):
+    from cinderlog.sources import store as module
+
+    monkeypatch.setattr(module, "WHOLE", 4)
+    monkeypatch.setattr(module, "COMPACT_COUNTERS", 5)
+    monkeypatch.setattr(module, "COMPACT_LOGS", 6)
+    store, seen = Store(spark, str(tmp_path)), {}
+    for k in range(9):
+        seen[k] = store.append(f"b-{k}", entries(spark, 5, first=10 * k))
+        assert store.manifest() == seen[k]
+        assert store.append(f"b-{k}", entries(spark, 5)) == seen[k]
+    assert store.manifest(seen[2].version) == seen[2] and store.manifest().marks == {"b": 8}
+    assert store.logs().count() == 45 and drift(store) == 0
+    assert len(store.manifest().folders["logs"]) < 6 and len(store.manifest().folders["rollup_1m"]) < 5
+    store.vacuum(1)
+    assert store.manifest() == seen[8] and store.logs().count() == 45
+    with pytest.raises(Conflict):
+        store.publish(seen[7])
+
+
+def test_manifest_of_the_first_format(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.append("a", entries(spark, 5))
+    store.append("s-0", entries(spark, 5, first=10))
+    store.write_first_format(store.manifest())
+    again = Store(spark, str(tmp_path))
+    assert again.manifest().batches == ["a"] and again.manifest().marks == {"s": 0}
+    again.append("s-0", entries(spark, 5))
+    again.append("s-1", entries(spark, 5, first=20))
+    assert again.logs().count() == 15 and drift(again) == 0
+
+
 def test_repair_reconcile_compact(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     store.append("a", entries(spark, 30))
@@ -135,7 +167,7 @@ def test_stream(spark, tmp_path):
     run = lambda: ingest(spark, str(source), store, str(tmp_path / "checkpoint"), lambda: NOW, str(tmp_path / "answers"), 2).awaitTermination()
     run()
     assert store.logs().count() == 10 and drift(store) == 0
-    assert len([b for b in store.manifest().batches if b.startswith("stream-")]) == 3
+    assert store.manifest().marks == {"stream": 2}
     run()
     assert store.logs().count() == 10
     (source / "late.json").write_text(body(9))
