@@ -4,28 +4,37 @@ Every token is a customer of the restaurant of its context, the word before it (
 are as many restaurants as words. All context restaurants share one parent, the restaurant of words without context,
 whose base is uniform over the V known words and one unknown. A table of a context restaurant is a customer of the parent.
 
-A dish's seating enters a predictive probability only by its number of tables, and given the totals of restaurants all
-dishes are independent: a dish (a word with its counts in all contexts, and the totals of those) is a row, and Gibbs
-sweeps run over blocks of dishes. A word of more than PART contexts is several rows, each of which takes the tables of the
-others as they were when the round began. A dish's tables are drawn from their full conditional, which weighs t tables of
-n customers by the generalised Stirling number and the t-th power of the weight of a new table; beyond EXACT customers by
-the ratios of these numbers (rows to FAR customers, their limit law beyond). Restaurants' totals start as those of one
-table a dish, follow the block's tables in the first round, and are taken anew before the second. Predictive probabilities are those of
-the mean tables over the samples of the second round, with totals of these means, so that they sum to one. Discounts come from the numbers of counts of one and two. Draws are hashes of word, context and sweep.
-
-Pairs, dishes, and restaurants' totals travel by shuffle and grow with the corpus. Broadcast are only the totals of the
-HEAD most frequent contexts (numbered from 0; the others are named by their hash), the HEAD most frequent words, about
-HEAD * PAIRS pairs of the largest counts, and the words of more than PART contexts.
-
-Defined cases: a null or empty text is its end token alone; a null doc_id isn't learned from and has held_out null; rows
-of equal doc_id each get their own score; an empty table gives no rows; without training tokens every word is unknown
-and has probability 1 of the base; other columns are not read.
+A dish's seating enters a predictive probability only by its number of tables. Of n customers one alone has one table, so
+that only pairs of two and more are sampled: t tables are drawn from their full conditional, which weighs them by the
+generalised Stirling number and the t-th power of the weight of a new table; beyond EXACT customers by the ratios of these
+numbers (rows to FAR customers, their limit law beyond). Predictive probabilities are those of the mean tables over the
+samples of the last round, with totals of these means, so that they sum to one. Discounts come from the numbers of counts
+of one and two. Draws are hashes of word, context and sweep.
+
+The work is done on blocks of numbers, not on rows. Pairs are counted in a task and sent to the bucket of their context,
+where they are sorted once: a bucket has whole restaurants, whose totals follow each sweep. Words have buckets of their
+own (ranges of their hash), where the parent is seated. In a round each bucket of contexts tells those of words how many
+tables its words have, and gets the parent's figures of just these words back. The seating is sampled in blocks: the
+parent's figures stay as they are within a round. A context of a large share of the tokens is split over several buckets
+by word, and takes the totals of the others as they were a round before.
+
+Texts to be scored take part in the first count with nothing, so that every bucket learns of every word it will be asked
+for. The HEAD most frequent pairs are broadcast with their probabilities; other tokens go to their bucket, in PASSES parts
+of the buckets, one after another. Sums by text come back. What is broadcast or sent to the driver besides are the split
+contexts, at most SPLIT for each bucket.
+
+Defined cases: a null or empty text is its end token alone; a null doc_id is scored like others, and has held_out null in
+the query, which doesn't learn from it; a null learn is false; rows of equal doc_id each get their own score, rows of
+equal texts the same; an empty table gives no rows; without training tokens every word is unknown and has probability 1 of
+the base; texts of any length are whole; other columns are not read. Texts and words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from statistics import NormalDist
 
 import numpy as np
@@ -34,21 +43,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlog.llm import kernels as K
-from cinderlog.llm.common import drop_stash, remainder, stash, table
-
-#: Most words and contexts whose probabilities are broadcast, and pairs for each.
-HEAD, PAIRS = 1 << 16, 16
-#: Most contexts of a word in a row.
-PART = 1 << 14
-#: Customers by which a context's share of tables in a block is drawn to the block's.
-PRIOR = 20
+from cinderlog.llm.common import drop_stash, release_shuffles, remainder, stash, table, text_hash, utf8_bytes
+
+#: Most pairs whose probabilities are broadcast.
+HEAD = 1 << 20
+#: Bytes of text for each bucket, tokens that a task counts before it sends, and parts of the buckets when texts are scored.
+BUCKET, GATHER, PASSES = 8 << 20, 3_000_000, 2
+#: A context of more than a share of 1 / (SPLIT * buckets) of the tokens is split; one text in SAMPLE shows which.
+SPLIT, SAMPLE = 4, 64
 #: Customers of a dish up to which its tables are drawn from rows of Stirling numbers; beyond, from their ratios.
 EXACT = 48
 #: Customers up to which all, and some rows of ratios of Stirling numbers are held; tables in them.
 WHOLE, FAR, WIDE = 512, 1 << 14, 2048
 NORMAL = NormalDist()
-#: Sweeps of the first round, and of the second: not averaged, averaged.
-FIRST, BURN, SAMPLES = 3, 1, 4
+#: Rounds before the last one with their sweeps, and sweeps of the last: not averaged, averaged.
+ROUNDS, BURN, SAMPLES = (3, 2), 1, 4
 CONCENTRATION = 1.0
 END, START = (int(K.mix(np.array([x], np.uint64)).view(np.int64)[0]) for x in (0xE0D, 0x57A27))
 
@@ -198,273 +207,550 @@ def _draw_big(n: np.ndarray, w: np.ndarray, d: float, u: np.ndarray) -> np.ndarr
     return out
 
 
-class Dishes:
-    """A block of dishes in flat arrays: words, their contexts, and by context customers, tables and the context's totals."""
+def _discount(once: int, twice: int) -> float:
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
-    def __init__(self, batch: pa.RecordBatch) -> None:
-        flat = lambda x: np.asarray(batch.column(x).flatten()).astype(np.int64)
-        self.border = np.concatenate([[0], np.cumsum(np.asarray(batch.column("contexts").value_lengths()))]).astype(np.int64)
-        self.dish, self.size = K.owner(self.border), batch.num_rows
-        self.context, self.n, self.t, self.n_c, self.t_c = map(flat, ("contexts", "customers", "tables", "n_c", "t_c"))
-        self.word = np.asarray(batch.column("word"))
-        self.own = np.asarray(batch.column("own")).astype(np.int64)  # tables in the parent
-        self.elsewhere = np.asarray(batch.column("all_tables")).astype(np.int64) - np.bincount(self.dish, self.t, self.size).astype(np.int64)
-        self.many = np.flatnonzero(self.n > 1)
-        self.key = _pair(self.word[self.dish[self.many]], self.context[self.many])
 
-    def _tables(self) -> np.ndarray:
-        return np.bincount(self.dish, self.t, self.size).astype(np.int64) + self.elsewhere
+def _find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(known):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return at, known[at] == keys
 
-    def follow(self, model: dict) -> dict:
-        """Carries the totals along by this block's tables, while those of all dishes are not known.
 
-        Of the customers of a context that need no table of their own, the share that has one is that of the block's pairs
-        in the context, drawn to that of the whole block as if by PRIOR customers. The model with the parent's totals.
-        """
-        m = self.many
-        if not hasattr(self, "start"):
-            self.start, (_, self.of) = self.t_c[m], np.unique(self.context[m], return_inverse=True)
-        more, left = np.bincount(self.of, self.t[m] - 1), np.bincount(self.of, self.n[m] - 1)
-        share = (more + PRIOR * more.sum() / max(1, left.sum())) / (left + PRIOR)
-        self.t_c = self.t_c.astype(float)
-        self.t_c[m] = self.start + (self.n_c[m] - self.start) * share[self.of]
-        return model | {"t_0": model["t_0"] * (self.t.sum() / max(1, len(self.t))), "own_0": model["own_0"] * self.own.mean()}
-
-    def sweep(self, model: dict, salt: int) -> None:
-        """One Gibbs pass over all tables, by the given totals of the restaurants."""
-        d1, d0, theta = model["d1"], model["d0"], CONCENTRATION
-        new = (theta + d0 * model["own_0"]) * model["base"]
-        p0 = (self._tables() - d0 * self.own + new) / (theta + model["t_0"])
-        m = self.many
-        self.t[m] = draw_tables(self.n[m], (theta + d1 * self.t_c[m]) * p0[self.dish[m]], d1, model["s1"], _uniform(self.key, salt))
-        self.own = draw_tables(self._tables(), np.full(self.size, new), d0, model["s0"], _uniform(self.word.view(np.uint64), salt))
+@dataclass(frozen=True)
+class Layout:
+    """Where pairs and words are: the buckets of contexts and of words, and the split contexts with their parts."""
 
+    buckets: int
+    split: np.ndarray
+    parts: np.ndarray
 
-def count_pairs(docs: DataFrame) -> DataFrame:
-    """Stored: word, context and n of all pairs in the texts of docs."""
+    def bucket(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        h = K.mix(context.view(np.uint64))
+        at, met = _find(self.split, context)
+        rows = np.flatnonzero(met)
+        if len(rows):
+            h[rows] = K.mix(h[rows] + K.mix(word[rows].view(np.uint64)) % self.parts[at[rows]].astype(np.uint64))
+        return (h % np.uint64(self.buckets)).astype(np.int64)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = K.buffers(batch.column("text"))
-            parts = [tokens(*K.cut(data, off, a, b))[:2] for a, b in K.slices(off)]
-            word, context = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
-            _, at, n = np.unique(_pair(word, context), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word[at]), pa.array(context[at]), pa.array(n.astype(np.int64))], names=["word", "context", "n"])
+    def of_word(self, word: np.ndarray) -> np.ndarray:
+        """Rises with the word's unsigned hash."""
+        return ((word.view(np.uint64) >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
 
-    pairs = docs.select("text").mapInArrow(K.task(counted), "word long, context long, n long")
-    return stash(pairs.groupBy("word", "context").agg(F.sum("n").alias("n")), "pairs")
 
+@dataclass
+class Model:
+    """The layout, the figures of the whole model, and its stored tables: pairs by bucket, seating and words' figures of the last round."""
 
-def _least(rows: DataFrame, count: str, most: int) -> int:
-    """The least count with which at most `most` rows remain, by a histogram of eight steps for each doubling."""
-    least, left = 2**62, most
-    step = F.floor(F.log2(count) * 8)
-    for r in rows.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min(count).alias("least")).orderBy(F.desc("step")).collect():
-        left -= r["n"]
-        if left < 0:
-            break
-        least = r["least"]
-    return least
+    layout: Layout
+    tokens: int = 0
+    words: int = 0
+    d1: float = 0.5
+    d0: float = 0.5
+    #: Tables of all contexts, and tables of the parent.
+    t_0: float = 0.0
+    own_0: float = 0.0
+    #: By split context, customers and tables.
+    split_n: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    split_t: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
+    @property
+    def base(self) -> float:
+        return 1.0 / (self.words + 1)
 
-def _totals(pairs: DataFrame, contexts: DataFrame, head: DataFrame) -> DataFrame:
-    """pairs with the columns of contexts: those of head ones by broadcast, of others by shuffle."""
-    near = pairs.join(F.broadcast(contexts.join(F.broadcast(head.select("context")), "context", "left_semi")), "context")
-    far = pairs.join(F.broadcast(head.select("context")), "context", "left_anti").join(contexts, "context")
-    return near.unionByName(far)
+    def parent(self, tables: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Probabilities of words without context, by their customers and tables in the parent."""
+        return (tables - self.d0 * own + (CONCENTRATION + self.d0 * self.own_0) * self.base) / (CONCENTRATION + self.t_0)
 
 
-def _dishes(pairs: DataFrame, contexts: DataFrame, head: DataFrame, hot: DataFrame) -> DataFrame:
-    """A row for each (word, slot) of pairs (word, slot, total, own, context, n, t), with its contexts' totals.
+# rows of numbers as bytes: (bucket, kind, part, a, b, c, d, e), sorted before they come to a bucket's task
 
-    hot: the words of several slots, and all
-    their tables.
-    """
-    rows = _totals(pairs, contexts, head).groupBy("word", "slot").agg(F.max("own").alias("own"), F.sum("n").alias("here"), F.sum("t").alias("t"), F.sort_array(F.collect_list(F.struct("context", "n", "t", "n_c", "t_c"))).alias("d"))
-    return rows.join(F.broadcast(hot), "word", "left").select(
-        "word",
-        "slot",
-        F.coalesce("total", "here").alias("total"),
-        "own",
-        F.coalesce("all", "t").alias("all_tables"),
-        F.col("d.context").alias("contexts"),
-        F.col("d.n").alias("customers"),
-        F.col("d.t").alias("tables"),
-        F.col("d.n_c").alias("n_c"),
-        F.col("d.t_c").alias("t_c"),
-    )
+BLOCK = "bucket long, kind int, part long, a binary, b binary, c binary, d binary, e binary, x double, y double, z double"
+_NAMES = [c.split()[0] for c in BLOCK.split(", ")]
+PAIRS, SEATED, FIGURES, COUNTS, TEXTS, ASKED, SHARED, SUMS = range(8)
 
 
-def _discount(once: int, twice: int) -> float:
-    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+def _block(bucket: int, kind: int, part: int = 0, *arrays: np.ndarray, sums: tuple[float, ...] = ()) -> tuple:
+    blobs = [np.ascontiguousarray(x).tobytes() for x in arrays]
+    return (int(bucket), kind, int(part), *blobs, *[None] * (5 - len(blobs)), *map(float, sums), *[None] * (3 - len(sums)))
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, dict]:
-    """Words with their probabilities (word, total, p0, contexts, ps), and the model.
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5, *[pa.float64()] * 3]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_NAMES)
 
-    In the model, n_c and t_c are those of the numbered contexts; stored tables have those of all `contexts`, the `names`
-    (word, total, p0) and the `pairs` (word, context, n, p), which score() reads.
-    """
-    spark = docs.sparkSession
-    pairs = count_pairs(docs)
-    vocabulary = stash(pairs.groupBy("word").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")), "vocabulary")
-    first = stash(pairs.groupBy("context").agg(F.sum("n").alias("n_c"), F.count("*").alias("t_c")), "contexts")
-    n = pairs.agg(F.count("*").alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
-    kinds = vocabulary.agg(F.count("*").alias("words"), F.count_if(F.col("kinds") == 1).alias("once"), F.count_if(F.col("kinds") == 2).alias("twice")).first()
-    d1, d0 = _discount(n["once"], n["twice"]), _discount(kinds["once"], kinds["twice"])
-    words = kinds["words"]
-    model = {"d1": d1, "d0": d0, "base": 1.0 / (words + 1), "words": words, "tokens": n["tokens"], "s1": _log_stirling(d1), "s0": _log_stirling(d0)}
-    # the numbered contexts, the most frequent first
-    frequent = first.where(F.col("n_c") >= _least(first, "n_c", HEAD)).orderBy(F.desc("n_c"), "context").select("context").toArrow()["context"].combine_chunks()
-    head = spark.createDataFrame(pa.table({"context": frequent, "id": pa.array(np.arange(len(frequent)))})) if len(frequent) else spark.createDataFrame([], "context long, id long")
-    named = np.asarray(frequent).astype(np.int64)
-    # all tables of the words of several slots, at one a pair
-    hot = vocabulary.where(F.col("kinds") > PART).select("word", "total", F.col("kinds").alias("all"))
-    slot = F.pmod(F.xxhash64("context"), F.floor(F.col("all") / PART) + 1)
-    dealt = pairs.join(F.broadcast(hot.select("word", "all")), "word", "left").select("word", F.coalesce(slot, F.lit(0)).cast("int").alias("slot"), "context", "n", F.lit(1).cast("long").alias("t"), F.lit(1).cast("long").alias("own"))
-    shared = spark.sparkContext.broadcast(model | {"t_0": float(n["pairs"]), "own_0": float(words)})
-
-    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                block = Dishes(batch)
-                for k in range(FIRST):
-                    block.sweep(block.follow(shared.value), k)
-                kept = [batch.column(x) for x in ("word", "slot", "contexts", "customers")]
-                yield pa.RecordBatch.from_arrays([*kept, K.lists(block.t, block.border, pa.int64()), pa.array(block.own)], names=["word", "slot", "contexts", "customers", "tables", "own"])
-
-    seated = stash(_dishes(dealt, first, head, hot).mapInArrow(K.task(seat), "word long, slot int, contexts array<long>, customers array<long>, tables array<long>, own long"), "seated")
-    drop_stash(pairs)
-    one = seated.select("word", "slot", "own", F.explode(F.arrays_zip("contexts", "customers", "tables")).alias("p")).select("word", "slot", "own", F.col("p.contexts").alias("context"), F.col("p.customers").alias("n"), F.col("p.tables").alias("t"))
-    second = stash(one.groupBy("context").agg(F.sum("n").alias("n_c"), F.sum("t").alias("t_c")), "contexts")
-    drop_stash(first)
-    t_0 = second.agg(F.coalesce(F.sum("t_c"), F.lit(0)).alias("t")).first()["t"]
-    own_0 = seated.where("slot = 0").agg(F.coalesce(F.sum("own"), F.lit(0)).alias("o")).first()["o"]
-    here = seated.join(F.broadcast(hot.select("word")), "word", "left_semi").select("word", F.aggregate("tables", F.lit(0).cast("long"), lambda a, x: a + x).alias("t"))
-    hot = stash(hot.select("word", "total").join(here.groupBy("word").agg(F.sum("t").alias("all")), "word"), "hot")
-    model |= {"t_0": float(t_0), "own_0": float(own_0)}
-    again = spark.sparkContext.broadcast(model)
-
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                block = Dishes(batch)
-                own, t = np.zeros(block.size), np.zeros(len(block.n))
-                for k in range(BURN + SAMPLES):
-                    block.sweep(again.value, FIRST + k)
-                    if k >= BURN:
-                        own += block.own / SAMPLES
-                        t += block.t / SAMPLES
-                kept = [batch.column(x) for x in ("word", "slot", "total", "contexts", "customers")]
-                mine = np.bincount(block.dish, t, block.size)
-                yield pa.RecordBatch.from_arrays([*kept, K.lists(t, block.border, pa.float64()), pa.array(mine), pa.array(own)], names=["word", "slot", "total", "contexts", "customers", "tables", "t_w", "own"])
-
-    done = stash(_dishes(one, second, head, hot).mapInArrow(K.task(average), "word long, slot int, total long, contexts array<long>, customers array<long>, tables array<double>, t_w double, own double"), "averaged")
-    drop_stash(seated)
-    drop_stash(second)
-    mean = done.agg(F.coalesce(F.sum("t_w"), F.lit(0.0)).alias("t"), F.coalesce(F.sum(F.when(F.col("slot") == 0, F.col("own"))), F.lit(0.0)).alias("o")).first()
-    model |= {"t_0": mean["t"], "own_0": mean["o"]}
-    # the parent's probabilities; the slots of a word share one
-    of_hot = done.join(F.broadcast(hot.select("word")), "word", "left_semi").groupBy("word").agg(F.sum("t_w").alias("t_all"), F.max(F.when(F.col("slot") == 0, F.col("own"))).alias("own_all"))
-    given = (F.coalesce("t_all", "t_w") - d0 * F.coalesce("own_all", "own") + (CONCENTRATION + d0 * model["own_0"]) * model["base"]) / (CONCENTRATION + model["t_0"])
-    done = done.join(F.broadcast(of_hot), "word", "left").withColumn("p0", given)
-    names = done.where("slot = 0").select("word", "total", "p0")
-    flat = done.select("word", "p0", F.explode(F.arrays_zip("contexts", "customers", "tables")).alias("x")).select("word", "p0", F.col("x.contexts").alias("context"), F.col("x.customers").alias("n"), F.col("x.tables").alias("t"))
-    last = flat.groupBy("context").agg(F.sum("n").alias("n_c"), F.sum("t").alias("t_c"))
-    contexts = stash(last.join(F.broadcast(head), "context", "left").select("context", F.coalesce("id", "context").alias("id"), "n_c", "t_c", F.col("id").isNotNull().alias("numbered")), "contexts")
-    in_context = (F.col("n") - d1 * F.col("t") + (CONCENTRATION + d1 * F.col("t_c")) * F.col("p0")) / (CONCENTRATION + F.col("n_c"))
-    both = _totals(flat, contexts.select("context", "id", "n_c", "t_c"), head)
-    pairs = stash(both.select("word", F.col("id").alias("context"), "n", in_context.alias("p")), "predictive")
-    numbered = contexts.where("numbered").orderBy("id").toArrow()
-    n_c, t_c = (np.asarray(numbered[x].combine_chunks()).astype(float) for x in ("n_c", "t_c"))
-    of_word = pairs.groupBy("word").agg(F.collect_list(F.struct("context", "p")).alias("d")).select("word", F.col("d.context").alias("contexts"), F.col("d.p").alias("ps"))
-    return names.join(of_word, "word", "left"), model | {"n_c": n_c, "t_c": t_c, "named": named, "contexts": contexts, "names": stash(names, "names"), "pairs": pairs}
-
-
-def _back_off(model: dict) -> np.ndarray:
-    """By numbered context, the share of probability that goes to the parent."""
-    return (CONCENTRATION + model["d1"] * model["t_c"]) / (CONCENTRATION + model["n_c"])
-
-
-def _named(known: np.ndarray, number: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """The numbers of numbered contexts, the hashes of others."""
-    at, met = _find(known, context)
-    return np.where(met, number[at], context) if len(number) else context
-
-
-def _head_rows(names: DataFrame, pairs: DataFrame) -> tuple[np.ndarray, ...]:
-    """The most frequent words: hashes and counts; the most frequent pairs: keys and probabilities; sorted."""
-    rows = names.where(F.col("total") >= _least(names, "total", HEAD)).select("word", "total").toArrow()
-    two = pairs.where(F.col("n") >= _least(pairs, "n", HEAD * PAIRS)).select("word", "context", "p").toArrow()
-    word, total = (np.asarray(rows[x].combine_chunks()) for x in ("word", "total"))
-    key = _pair(np.asarray(two["word"].combine_chunks()), np.asarray(two["context"].combine_chunks()))
-    order, by_key = np.argsort(word), np.argsort(key)
-    return word[order], total[order].astype(float), key[by_key], np.asarray(two["p"].combine_chunks())[by_key]
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield tuple(batch.column(c)[k].as_py() for c in _NAMES)
 
-def _find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(known):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return at, known[at] == keys
+
+def _groups(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """The rows of each bucket (place 0) or part (place 2), which come one after another."""
+    return itertools.groupby(_rows(batches), lambda r: r[place])
+
+
+def _by(blocks: DataFrame, column: str) -> DataFrame:
+    return blocks.repartition(column).sortWithinPartitions(column, "kind", "part" if column == "bucket" else "bucket")
 
 
-def score(docs: DataFrame, words: DataFrame, model: dict) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text); words are those of train."""
-    n_all, v = float(model["tokens"]), model["words"]
-    rest = 0.1 * (v + 1)
-    # the parent's probability of the unknown word
-    unknown = (CONCENTRATION + model["d0"] * model["own_0"]) / (CONCENTRATION + model["t_0"]) * model["base"]
-    names, pairs = model["names"], model["pairs"]
-    named = model["named"]
-    shared = docs.sparkSession.sparkContext.broadcast((_head_rows(names, pairs), np.sort(named), np.argsort(named), n_all, rest))
+def _ints(blob: bytes, kind: str = "<i8") -> np.ndarray:
+    return np.frombuffer(blob, kind)
 
-    def by_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (head, total, keys, ps), known, number, n_, r_ = shared.value
-        log_base, log_p = np.log10((total + 0.1) / (n_ + r_)), np.log10(ps)
+
+def _cut_runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of a sorted array, and the border of each one's run."""
+    new = np.ones(len(sorted_), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    at = np.flatnonzero(new)
+    return sorted_[at], np.append(at, len(sorted_))
+
+
+def layout_of(docs: DataFrame) -> Layout:
+    """Buckets by the bytes of all texts; which contexts are split changes where work is done, and comes from a sample."""
+    total = docs.agg(F.coalesce(F.sum(utf8_bytes(F.col("text"))), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(4, -(-total // BUCKET))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = K.buffers(batch.column("text"))
             for a, b in K.slices(off):
-                word, context, border = tokens(*K.cut(data, off, a, b))
-                n = b - a
-                doc = K.owner(border)
-                context = _named(known, number, context)
-                at, inside = _find(head, word)
+                u, n = np.unique(tokens(*K.cut(data, off, a, b))[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n.astype(np.int64))], names=["u", "n"])
+
+    sample = docs.where(F.pmod(F.xxhash64("text", F.lit(SAMPLE)), F.lit(SAMPLE)) == 0).select("text").mapInArrow(K.task(contexts), "u long, n long")
+    counts = stash(sample.groupBy("u").agg(F.sum("n").alias("n")), "sample")
+    whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    # at most SPLIT * buckets contexts can have such a share
+    found = sorted((r["u"], r["n"]) for r in counts.where(F.col("n") * SPLIT * buckets > whole).collect())
+    drop_stash(counts)
+    split = np.array([u for u, _ in found], np.int64)
+    parts = np.ceil(np.array([n for _, n in found], float) / max(1, whole) * SPLIT * buckets).astype(np.int64)
+    return Layout(buckets, split, parts)
+
+
+def _token_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Slices of a column text: the batch, the slice, and its words, contexts and texts' borders."""
+    for batch in batches:
+        data, off = K.buffers(batch.column("text"))
+        for a, b in K.slices(off):
+            yield batch, a, b, *tokens(*K.cut(data, off, a, b))
+
+
+def _sent(bucket: np.ndarray, context: np.ndarray, *more: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """For each bucket its contexts with the lengths of their runs, and the other columns in that order."""
+    order = np.argsort(context)
+    if len(bucket) and bucket.max() < 1 << 16:
+        bucket = bucket.astype(np.uint16)  # sorted by its digits
+    order = order[np.argsort(bucket[order], kind="stable")]
+    bucket, context, more = bucket[order], context[order], [x[order] for x in more]
+    numbers, border = _cut_runs(bucket)
+    for k, number in enumerate(numbers.tolist()):
+        a, b = int(border[k]), int(border[k + 1])
+        u, runs = _cut_runs(context[a:b])
+        yield number, (u, np.diff(runs).astype(np.int32), *(x[a:b] for x in more))
+
+
+def _counted(docs: DataFrame, layout: Layout) -> DataFrame:
+    """Stored blocks: pairs by bucket, what they ask of words, and the totals of split contexts."""
+    shared = docs.sparkSession.sparkContext.broadcast(layout)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def leave() -> pa.RecordBatch:
+            word, context, learned = (np.concatenate(c) for c in zip(*held, strict=True))
+            key = _pair(word, context)
+            order = np.argsort(key)
+            _, border = _cut_runs(key[order])
+            n = np.add.reduceat(learned[order], border[:-1], dtype=np.int32)
+            word, context = word[order[border[:-1]]], context[order[border[:-1]]]
+            return _batch([_block(k, PAIRS, 0, u, run, w, c) for k, (u, run, w, c) in _sent(shared.value.bucket(word, context), context, word, n)])
+
+        for batch, a, b, word, context, border in _token_arrays(batches):
+            learn = np.asarray(batch.column("learn").fill_null(False))[a:b]
+            held.append((word, context, np.repeat(learn, np.diff(border))))
+            if sum(len(x[0]) for x in held) >= GATHER:
+                yield leave()
+                held.clear()
+        if held:
+            yield leave()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _groups(batches, 0):
+            parts = [(np.repeat(_ints(r[3]), _ints(r[4], "<i4")), _ints(r[5]), _ints(r[6], "<i4")) for r in rows]
+            context, word, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+            key = _pair(word, context)
+            order = np.argsort(key)
+            _, border = _cut_runs(key[order])
+            n = np.add.reduceat(n[order].astype(np.int64), border[:-1])
+            word, context = word[order[border[:-1]]], context[order[border[:-1]]]
+            asked, a = np.unique(word.view(np.uint64), return_inverse=True)
+            u, c = np.unique(context, return_inverse=True)
+            order = np.argsort(c << 32 | a)
+            a, n = a[order], n[order]
+            run = np.bincount(c, minlength=len(u))
+            out = [_block(bucket, PAIRS, 0, u, run.astype(np.int32), a.astype(np.int32), n, asked, sums=((n == 1).sum(), (n == 2).sum(), len(n)))]
+            out += _questions(shared.value, bucket, asked, np.bincount(a, n > 0, len(asked)), np.bincount(a, n, len(asked)))
+            out += _split_totals(shared.value, bucket, u, np.add.reduceat(n, _starts(run)), np.add.reduceat((n > 0).astype(float), _starts(run)))
+            yield _batch(out)
+
+    sent = docs.select("text", "learn").mapInArrow(K.task(count), BLOCK)
+    return stash(_by(sent, "bucket").mapInArrow(K.task(settle), BLOCK), "counts")
+
+
+def _starts(run: np.ndarray) -> np.ndarray:
+    return np.cumsum(run) - run
+
+
+def _questions(layout: Layout, bucket: int, asked: np.ndarray, tables: np.ndarray, customers: np.ndarray | None = None) -> list[tuple]:
+    """What a bucket tells the buckets of words: its words with their tables, and customers."""
+    part, border = _cut_runs(layout.of_word(asked))
+    cut = [(int(p), int(border[k]), int(border[k + 1])) for k, p in enumerate(part.tolist())]
+    return [_block(bucket, ASKED, p, asked[a:b], tables[a:b].astype(float), *(() if customers is None else (customers[a:b].astype(np.int64),))) for p, a, b in cut]
+
+
+def _split_totals(layout: Layout, bucket: int, u: np.ndarray, n: np.ndarray, t: np.ndarray) -> list[tuple]:
+    at, met = _find(layout.split, u)
+    return [_block(bucket, SHARED, 0, at[met], n[met].astype(float), t[met].astype(float))] if met.any() else []
+
+
+def _split_sums(blocks: DataFrame, layout: Layout) -> tuple[np.ndarray, np.ndarray]:
+    """Customers and tables of the split contexts over all buckets."""
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(_ints(r[3])), pa.array(_ints(r[4], "<f8")), pa.array(_ints(r[5], "<f8"))], names=["at", "n", "t"])
+
+    n, t = np.zeros(len(layout.split)), np.zeros(len(layout.split))
+    if len(n):
+        for r in blocks.where(F.col("kind") == SHARED).mapInArrow(K.task(flat), "at long, n double, t double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect():
+            n[r["at"]], t[r["at"]] = r["n"], r["t"]
+    return n, t
+
+
+def _words(blocks: DataFrame, model: Model | None, salt: int, samples: int) -> DataFrame:
+    """Stored blocks: for each question the words' tables of all contexts, their own tables in the parent and, first, customers; and sums.
+
+    Without a model there are no draws: a word has one table of its own.
+    """
+    shared = blocks.sparkSession.sparkContext.broadcast((model, _log_stirling(model.d0) if model else None))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, stirling = shared.value
+        for part, rows in _groups(batches, 2):
+            asked = [(r[0], _ints(r[3], "<u8"), _ints(r[4], "<f8"), None if r[5] is None else _ints(r[5])) for r in rows]
+            word, at = np.unique(np.concatenate([x[1] for x in asked]), return_inverse=True)
+            tables = np.bincount(at, np.concatenate([x[2] for x in asked]), len(word))
+            customers = np.bincount(at, np.concatenate([x[3] for x in asked]), len(word)) if m is None else np.zeros(0)
+            if m is None:
+                own = (tables > 0).astype(float)
+            else:
+                weight = np.full(len(word), (CONCENTRATION + m.d0 * m.own_0) * m.base)
+                whole = np.rint(tables).astype(np.int64)
+                own = sum(draw_tables(whole, weight, m.d0, stirling, _uniform(word, salt + k)).astype(float) for k in range(samples)) / samples
+            border = np.cumsum([0, *(len(x[1]) for x in asked)])
+            out = []
+            for k, x in enumerate(asked):
+                mine = at[border[k] : border[k + 1]]
+                out.append(_block(x[0], FIGURES, part, tables[mine], own[mine]))
+                if m is None:
+                    out.append(_block(x[0], COUNTS, part, customers[mine].astype(np.int64)))
+            out.append(_block(-1, SUMS, 0, sums=(tables.sum(), own.sum(), customers.sum())))
+            out.append(_block(-1, SUMS, 1, sums=((customers > 0).sum(), (tables == 1).sum(), (tables == 2).sum())))
+            yield _batch(out)
+
+    return stash(_by(blocks.where(F.col("kind") == ASKED), "part").mapInArrow(K.task(answer), BLOCK), "words")
+
+
+def _sums(blocks: DataFrame, kind: int, part: int = 0) -> tuple[float, float, float]:
+    r = blocks.where((F.col("kind") == kind) & (F.col("part") == part)).agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in "xyz")).first()
+    return r["x"], r["y"], r["z"]
+
+
+class Bucket:
+    """The pairs of a bucket, the figures of its words, and the tables of its pairs."""
+
+    def __init__(self, rows: dict[int, list[tuple]], model: Model) -> None:
+        (pairs,) = rows[PAIRS]
+        self.model, self.number = model, pairs[0]
+        self.context, self.run = _ints(pairs[3]), _ints(pairs[4], "<i4").astype(np.int64)
+        self.a, self.n, self.asked = _ints(pairs[5], "<i4").astype(np.int64), _ints(pairs[6]), _ints(pairs[7], "<u8")
+        figures = [np.concatenate([_ints(r[c], "<f8") for r in rows[FIGURES]]) for c in (3, 4)]
+        self.p0 = model.parent(*figures)
+        self.of = np.repeat(np.arange(len(self.run)), self.run)
+        self.many = np.flatnonzero(self.n > 1)
+        self.t = np.minimum(self.n, 1).astype(float)
+        if SEATED in rows:
+            self.t[self.many] = _ints(rows[SEATED][0][3], "<f8")
+        self.customers = np.add.reduceat(self.n, _starts(self.run)).astype(float)
+        self.split, met = _find(model.layout.split, self.context)
+        self.shared = np.flatnonzero(met)
+        self.split = self.split[self.shared]
+        # what the other buckets have of a split context
+        self.elsewhere = model.split_t[self.split] - self._own_totals()[self.shared]
+        self.customers[self.shared] = model.split_n[self.split]
+
+    def _own_totals(self) -> np.ndarray:
+        return np.add.reduceat(self.t, _starts(self.run))
+
+    def totals(self) -> np.ndarray:
+        """Tables by context."""
+        out = self._own_totals()
+        out[self.shared] += self.elsewhere
+        return out
+
+    def sweep(self, salt: int, stirling: np.ndarray, key: np.ndarray) -> None:
+        m = self.many
+        if len(m):
+            weight = (CONCENTRATION + self.model.d1 * self.totals()[self.of[m]]) * self.p0[self.a[m]]
+            self.t[m] = draw_tables(self.n[m], weight, self.model.d1, stirling, _uniform(key, salt))
+
+    def probability(self) -> np.ndarray:
+        """Of all pairs, also those that were never met."""
+        share = (CONCENTRATION + self.model.d1 * self.totals()) / (CONCENTRATION + self.customers)
+        return (self.n - self.model.d1 * self.t) / (CONCENTRATION + self.customers[self.of]) + share[self.of] * self.p0[self.a]
+
+
+def _kinds(rows: Iterator[tuple], until: int = TEXTS) -> tuple[dict[int, list[tuple]], Iterator[tuple]]:
+    """The rows of a bucket by kind, and those from a kind on as they come."""
+    out: dict[int, list[tuple]] = {}
+    for r in rows:
+        if r[1] >= until:
+            return out, itertools.chain([r], rows)
+        out.setdefault(r[1], []).append(r)
+    return out, iter(())
+
+
+def _seat(counts: DataFrame, seated: DataFrame | None, words: DataFrame, model: Model, salt: int, burn: int, samples: int) -> DataFrame:
+    """Stored blocks: seating after the sweeps (the mean of samples, if any), and what is told of it."""
+    shared = counts.sparkSession.sparkContext.broadcast((model, _log_stirling(model.d1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, stirling = shared.value
+        for number, rows in _groups(batches, 0):
+            b = Bucket(_kinds(rows)[0], m)
+            key = _pair(b.asked[b.a[b.many]].view(np.int64), b.context[b.of[b.many]])
+            mean = np.zeros(len(b.many))
+            for k in range(burn + samples):
+                b.sweep(salt + k, stirling, key)
+                if k >= burn:
+                    mean += b.t[b.many] / samples
+            if samples:
+                b.t[b.many] = mean
+            out = [_block(number, SEATED, 0, b.t[b.many]), *_questions(m.layout, number, b.asked, np.bincount(b.a, b.t, len(b.asked)))]
+            yield _batch(out + _split_totals(m.layout, number, b.context, np.zeros(len(b.run)), b._own_totals()))
+
+    blocks = [counts.where(F.col("kind") == PAIRS), words.where(F.col("kind") == FIGURES)] + ([] if seated is None else [seated.where(F.col("kind") == SEATED)])
+    return stash(_by(functools.reduce(DataFrame.unionByName, blocks), "bucket").mapInArrow(K.task(run), BLOCK), "seated")
+
+
+def train(docs: DataFrame) -> tuple[Model, dict[str, DataFrame]]:
+    """The model of the rows of docs (text, learn) whose learn holds, with its stored blocks; it knows the words of all rows."""
+    spark = docs.sparkSession
+    layout = layout_of(docs)
+    counts = _counted(docs, layout)
+    release_shuffles(spark)
+    words = first = _words(counts, None, 0, 0)
+    once, twice, pairs = _sums(counts, PAIRS)
+    t_0, own_0, customers = _sums(first, SUMS)
+    known, of_one, of_two = _sums(first, SUMS, 1)
+    model = Model(layout, int(customers), int(known), _discount(int(once), int(twice)), _discount(int(of_one), int(of_two)), t_0, own_0)
+    model.split_n, model.split_t = _split_sums(counts, layout)
+    seated, salt = None, 1
+    for sweeps, samples in (*((k, 0) for k in ROUNDS), (BURN, SAMPLES)):
+        now = _seat(counts, seated, words, model, salt, sweeps, samples)
+        told = _words(now, model, salt, max(1, samples))
+        model.t_0, model.own_0, _ = _sums(told, SUMS)
+        _, model.split_t = _split_sums(now, layout)
+        for gone in (seated, None if words is first else words):
+            if gone is not None:
+                drop_stash(gone)
+        seated, words, salt = now, told, salt + sweeps + samples
+        release_shuffles(spark)
+    return model, {"counts": counts, "first": first, "seated": seated, "words": words}
+
+
+def _of_buckets(tables: dict[str, DataFrame]) -> DataFrame:
+    kinds = {"counts": PAIRS, "first": COUNTS, "seated": SEATED, "words": FIGURES}
+    return functools.reduce(DataFrame.unionByName, [tables[t].where(F.col("kind") == k) for t, k in kinds.items()])
+
+
+def _base(customers: np.ndarray, model: Model) -> np.ndarray:
+    return np.log10((customers + 0.1) / (model.tokens + 0.1 * (model.words + 1)))
+
+
+def predictive(model: Model, tables: dict[str, DataFrame], least: int = 1) -> DataFrame:
+    """word, context, n, and the logarithms to 10 of the probability and of the base, of pairs met at least so often."""
+    shared = tables["counts"].sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches, 0):
+            found, _ = _kinds(rows)
+            b = Bucket(found, shared.value)
+            base = _base(np.concatenate([_ints(r[3]) for r in found[COUNTS]]), shared.value)
+            k = np.flatnonzero(b.n >= least)
+            columns = [b.asked[b.a[k]].view(np.int64), b.context[b.of[k]], b.n[k], np.log10(b.probability()[k]), base[b.a[k]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "context", "n", "p", "base"])
+
+    return _by(_of_buckets(tables), "bucket").mapInArrow(K.task(run), "word long, context long, n long, p double, base double")
+
+
+def _least(counts: DataFrame, most: int) -> int:
+    """The least count (2 at least) with which at most `most` pairs remain, by a histogram of eight steps for each doubling."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            n = _ints(r[6])
+            step, at, k = np.unique(np.floor(np.log2(np.maximum(n, 1)) * 8).astype(np.int64), return_inverse=True, return_counts=True)
+            least = np.full(len(step), 2**62)
+            np.minimum.at(least, at, np.maximum(n, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(k.astype(np.int64)), pa.array(least)], names=["step", "k", "least"])
+
+    steps = counts.where(F.col("kind") == PAIRS).mapInArrow(K.task(run), "step long, k long, least long")
+    out, left = 2**62, most
+    for r in steps.groupBy("step").agg(F.sum("k").alias("k"), F.min("least").alias("least")).orderBy(F.desc("step")).collect():
+        left -= r["k"]
+        if left < 0:
+            break
+        out = r["least"]
+    return max(out, 2)
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text, learn).
+
+    The model learns from the rows whose learn holds; others are scored by it.
+    """
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text", "learn")
+    model, tables = train(docs)
+    head = predictive(model, tables, _least(tables["counts"], HEAD)).select("word", "context", "p", "base").toArrow().combine_chunks()
+    pair = _pair(*(np.asarray(head[c].combine_chunks()) if head.num_rows else np.zeros(0, np.int64) for c in ("word", "context")))
+    order = np.argsort(pair)
+    log_p, log_base = (np.asarray(head[c].combine_chunks())[order] if head.num_rows else np.zeros(0) for c in ("p", "base"))
+    shared = spark.sparkContext.broadcast((model, pair[order], log_p, log_base))
+    own = {"doc_id": docs.schema["doc_id"].dataType.simpleString()} | dict.fromkeys(("th", "n_tokens", "n_known"), "long") | dict.fromkeys(("base_score", "score"), "double") | {"fresh": "boolean"}
+    own_schema = ", ".join(f"{c} {t}" for c, t in own.items())
+    names = [*own, *_NAMES]
+
+    def send(part: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, keys, p, base = shared.value
+            held: list[tuple[np.ndarray, ...]] = []
+            seen: dict[int, int] = {}
+
+            def leave() -> Iterator[pa.RecordBatch]:
+                word, context, text = (np.concatenate(c) for c in zip(*held, strict=True))
+                texts = np.array(list(seen), np.int64)
+                rows = []
+                for k, (u, length, w, t) in _sent(m.layout.bucket(word, context), context, word, text):
+                    if k % PASSES == part:
+                        of, t = np.unique(t, return_inverse=True)
+                        rows.append(_block(k, TEXTS, 0, u, length, w, t.astype(np.int32), texts[of]))
+                if rows:
+                    blocks = _batch(rows)
+                    none = [pa.nulls(len(rows), t) for t in (doc_type, *[pa.int64()] * 3, *[pa.float64()] * 2, pa.bool_())]
+                    yield pa.RecordBatch.from_arrays([*none, *blocks.columns], names=names)
+
+            for batch, a, b, word, context, border in _token_arrays(batches):
+                doc_type = batch.column("doc_id").type
+                n, doc = b - a, K.owner(border)
                 near, met = _find(keys, _pair(word, context))
-                base = np.where(inside, log_base[at], 0.0) if len(head) else np.zeros(len(word))
-                mine = np.where(met, log_p[near], 0.0) if len(keys) else np.zeros(len(word))
-                rare, left = np.flatnonzero(~inside), np.flatnonzero(~met)
-                border_of = lambda x: np.searchsorted(doc[x], np.arange(n + 1))  # noqa: B023, E731
-                out = [np.diff(border), np.bincount(doc, inside, n).astype(np.int64), np.bincount(doc, base, n), np.bincount(doc, mine, n)]
-                lists = [K.lists(x[y], border_of(y), pa.int64()) for x, y in ((word, rare), (word, left), (context, left))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[a:b], batch.column("rid")[a:b], *map(pa.array, out), *lists],
-                    names=["doc_id", "rid", "n_tokens", "n_known", "base_score", "score", "rare", "word", "context"],
-                )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    plain = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), "text")
-    scored = stash(plain.mapInArrow(K.task(by_head), f"doc_id {kind}, rid long, n_tokens long, n_known long, base_score double, score double, rare array<long>, word array<long>, context array<long>"), "head-scores")
-    base = (F.coalesce(F.col("total"), F.lit(0)).cast("double") + 0.1) / (n_all + rest)
-    rare = scored.select("rid", F.explode("rare").alias("word")).join(names.drop("p0"), "word", "left").groupBy("rid").agg(F.count("total").alias("k"), F.sum(F.log10(base)).alias("b"))
-    tail = scored.select("rid", F.explode(F.arrays_zip("word", "context")).alias("x")).select("rid", F.col("x.word").alias("word"), F.col("x.context").alias("context"))
-    new = F.collect_list(F.when(F.col("p").isNull(), F.struct("word", "context")))
-    met = stash(tail.join(pairs.drop("n"), ["word", "context"], "left").groupBy("rid").agg(F.sum(F.log10("p")).alias("s"), new.alias("new")), "pair-scores")
-    # a pair that was never met has its context's share of the word's probability in the parent
-    share = (CONCENTRATION + model["d1"] * F.col("t_c")) / (CONCENTRATION + F.col("n_c"))
-    lam = model["contexts"].select(F.col("id").alias("context"), share.alias("lam"))
-    never = met.select("rid", F.explode("new").alias("x")).select("rid", F.col("x.word").alias("word"), F.col("x.context").alias("context"))
-    p = F.coalesce("lam", F.lit(1.0)) * F.coalesce("p0", F.lit(float(unknown)))
-    backed = never.join(names.drop("total"), "word", "left").join(lam, "context", "left").groupBy("rid").agg(F.sum(F.log10(p)).alias("u"))
+                th = batch.column("th")[a:b].to_pylist()
+                fresh = np.zeros(n, bool)
+                number = np.zeros(n, np.int64)
+                for i, h in enumerate(th):
+                    fresh[i] = h not in seen
+                    number[i] = seen.setdefault(h, len(seen))
+                hit = np.flatnonzero(met)
+                sums = [np.bincount(doc[hit], x, n).astype(float) for x in (base[near[hit]], p[near[hit]])] if len(keys) else [np.zeros(n)] * 2
+                # the first part tells of all rows, the others only which texts they have met
+                length = np.diff(border) if part == 0 else np.full(n, -1)
+                columns = [batch.column("doc_id")[a:b], batch.column("th")[a:b], pa.array(length), pa.array(np.bincount(doc[hit], minlength=n)), *map(pa.array, sums), pa.array(fresh)]
+                none = _batch([_block(i % m.layout.buckets, SUMS) for i in range(a, b)])
+                told = pa.RecordBatch.from_arrays([*columns, *none.columns], names=names)
+                yield told if part == 0 else told.filter(pa.array(fresh))
+                left = np.flatnonzero(~met & fresh[doc])
+                held.append((word[left], context[left], number[doc[left]]))
+                if sum(len(x[0]) for x in held) >= GATHER:
+                    yield from leave()
+                    held.clear()
+                    seen.clear()
+            if held:
+                yield from leave()
+
+        return run
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value[0]
+        of_id: list[pa.DataType] = []
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                of_id[:] = [batch.column("doc_id").type]
+                whole = batch.filter(batch.column("th").is_valid())
+                if whole.num_rows:
+                    ready.append(whole.select([*own]))
+                yield batch.filter(batch.column("th").is_null()).select(_NAMES)
+
+        ready: list[pa.RecordBatch] = []
+        for _, rows in _groups(blocks(), 0):
+            found, texts = _kinds(rows)
+            sums: list[tuple[np.ndarray, ...]] = []
+            b = None
+            for r in texts:
+                if r[1] != TEXTS:
+                    continue
+                if b is None:
+                    b = Bucket(found, m)
+                    probability = np.log10(b.probability())
+                    base = _base(np.concatenate([_ints(x[3]) for x in found[COUNTS]]), m)
+                    known = np.concatenate([_ints(x[3]) for x in found[COUNTS]]) > 0
+                    keys = b.of << 32 | b.a
+                u, length, w, t, th = _ints(r[3]), _ints(r[4], "<i4"), _ints(r[5], "<u8"), _ints(r[6], "<i4"), _ints(r[7])
+                # every pair of a text was counted, if only with nothing
+                at, a = np.searchsorted(b.context, np.repeat(u, length)), np.searchsorted(b.asked, w)
+                k = np.searchsorted(keys, at << 32 | a)
+                sums.append((th, np.bincount(t, known[a], len(th)), np.bincount(t, base[a], len(th)), np.bincount(t, probability[k], len(th))))
+            if sums:
+                th, at = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
+                n, x, y = (np.bincount(at, np.concatenate([s[c] for s in sums]), len(th)) for c in (1, 2, 3))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(th), of_id[0]), pa.array(th), pa.nulls(len(th), pa.int64()), pa.array(n.astype(np.int64)), pa.array(x), pa.array(y), pa.nulls(len(th), pa.bool_())], names=[*own])
+            yield from ready
+            ready.clear()
+        yield from ready
+
+    plain = docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text")
+    of_buckets = _of_buckets(tables)
+    found, tails = [], []
+    for part in range(PASSES):
+        sent = plain.mapInArrow(K.task(send(part)), f"{own_schema}, {BLOCK}")
+        mine = of_buckets.where(F.pmod("bucket", F.lit(PASSES)) == part).select(*(F.lit(None).cast(t).alias(c) for c, t in own.items()), *_NAMES)
+        both = stash(_by(sent.unionByName(mine), "bucket").mapInArrow(K.task(look), own_schema), "scores")
+        found.append(both)
+        sums = both.where("n_tokens is null").groupBy("th").agg(F.sum("n_known").alias("k"), F.sum("base_score").alias("b"), F.sum("score").alias("s"))
+        # a text that several tasks have met was summed in each
+        times = both.where("fresh").groupBy("th").agg(F.count("*").alias("m"))
+        tails.append(sums.join(times, "th").select("th", (F.col("k") / F.col("m")).cast("long").alias("k"), (F.col("b") / F.col("m")).alias("b"), (F.col("s") / F.col("m")).alias("s")))
+        release_shuffles(spark)
+    rows = found[0].where("n_tokens >= 0")
+    tail = functools.reduce(DataFrame.unionByName, tails).groupBy("th").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
     zero = F.lit(0.0)
-    return scored.drop("rare", "word", "context").join(rare, "rid", "left").join(met.drop("new"), "rid", "left").join(backed, "rid", "left").select(
+    out = rows.join(tail, "th", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-        F.lit(int(n_all)).cast("long").alias("train_tokens"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("b", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("s", zero) + F.coalesce("u", zero)).alias("score"),
+        (F.col("score") + F.coalesce("s", zero)).alias("score"),
     )
+    out = stash(out, "scored")
+    for gone in (*tables.values(), *found):
+        drop_stash(gone)
+    return out
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
@@ -474,9 +760,8 @@ def perplexity(scored: DataFrame) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words, model = train(docs.where(remainder(10) != 0))
-    return score(docs, words, model).select("doc_id", (remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(10) != 0).alias("learn"))
+    return score(docs).select("doc_id", (remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 QUERIES = {"op6_lm_scoring": op6_lm_scoring}

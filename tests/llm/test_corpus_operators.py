@@ -391,68 +391,111 @@ def test_proximity(spark):
 # language model
 
 
-def test_base_score_and_counts(spark, monkeypatch):
-    r, words = random.Random(8), vocabulary(5, 120)
-    texts = [*ODD_TEXTS, *(sentence(r, r.randint(1, 60), words) for _ in range(200))]
-    cut = lambda t: [*SPACE_WORD.findall(lower_ascii(t or "")), None]
-    count = Counter(w for i, t in enumerate(texts) if crc(i) % 10 for w in cut(t))
+def learning(docs):
+    return docs.withColumn("learn", remainder(10) != 0)
+
+
+def brute_base(texts, learned):
+    words = [[*SPACE_WORD.findall(lower_ascii(t or "")), None] for t in texts]
+    count = Counter(w for i in learned for w in words[i])
     n, v = sum(count.values()), len(count)
-    docs = clashing(docs_frame(spark, texts)).select("doc_id", "text")
-    learn = docs.where(remainder(10) != 0)
-    results = []
-    for head in (P.HEAD, 7):
-        monkeypatch.setattr(P, "HEAD", head)  # few: most words are met by shuffle
-        model_words, model = P.train(learn)
-        rows = {x["doc_id"]: x for x in P.score(docs, model_words, model).collect()}
-        for i, t in enumerate(texts):
-            w = cut(t)
-            assert (rows[i]["n_tokens"], rows[i]["n_known"], rows[i]["train_tokens"]) == (len(w), sum(count[x] > 0 for x in w), n)
-            assert math.isclose(rows[i]["base_score"], sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel_tol=1e-9)
-        results.append([rows[i]["score"] for i in range(len(texts))])
-    assert np.allclose(results[0], results[1], rtol=1e-9)
-
-
-def test_probabilities_sum_to_one(spark):
-    r, words = random.Random(9), vocabulary(6, 80)
-    docs = docs_frame(spark, [sentence(r, r.randint(5, 60), words) for _ in range(120)]).select("doc_id", "text")
-    rows, model = P.train(docs)
-    rows = rows.collect()
-    unknown = (P.CONCENTRATION + model["d0"] * model["own_0"]) / (P.CONCENTRATION + model["t_0"]) * model["base"]
-    assert abs(sum(x["p0"] for x in rows) + unknown - 1) < 0.02
-    back = P._back_off(model)
-    for c in np.flatnonzero(model["n_c"] > 50):
-        total = back[c] * unknown
-        for x in rows:
-            total += x["ps"][x["contexts"].index(c)] if c in x["contexts"] else back[c] * x["p0"]
-        assert abs(total - 1) < 0.05
+    return n, [(len(w), sum(x in count for x in w), sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) for w in words]
+
+
+@pytest.mark.parametrize(("head", "bucket", "gather"), [(P.HEAD, P.BUCKET, P.GATHER), (7, 2000, 500)])
+def test_base_score_and_counts(spark, monkeypatch, head, bucket, gather):
+    monkeypatch.setattr(P, "HEAD", head)
+    monkeypatch.setattr(P, "BUCKET", bucket)
+    r, words = random.Random(7), vocabulary(5, 200)
+    texts = [sentence(r, r.randint(0, 60), words).title() for _ in range(120)] + ODD_TEXTS + ["a b c", "a b c"]
+    docs = clashing(docs_frame(spark, texts).unionByName(docs_frame(spark, texts[:20], 5000)))
+    every = texts + texts[:20]
+    ids = [*range(len(texts)), *range(5000, 5020)]
+    train_tokens, want = brute_base(every, [k for k, i in enumerate(ids) if crc(i) % 10 != 0])
+    rows = {x["doc_id"]: x for x in P.score(learning(docs)).collect()}
+    assert sorted(rows) == sorted(ids)
+    for i, (n, known, base) in zip(ids, want, strict=True):
+        x = rows[i]
+        assert (x["n_tokens"], x["n_known"], x["train_tokens"]) == (n, known, train_tokens)
+        assert math.isclose(x["base_score"], base, rel_tol=1e-9) and x["score"] < 0
+    for i in range(20):
+        assert math.isclose(rows[i]["score"], rows[5000 + i]["score"], rel_tol=1e-12)
+
+
+def plain_model(model, tables):
+    """The model's stored blocks as dictionaries: customers and tables by pair, and the parent's probabilities by word."""
+    n, t, p0 = {}, {}, {}
+    for number, rows in P._groups(iter(sum((df.toArrow().select(P._NAMES).sort_by([("bucket", "ascending"), ("kind", "ascending"), ("part", "ascending")]).to_batches() for df in [P._of_buckets(tables)]), [])), 0):
+        b = P.Bucket(P._kinds(rows)[0], model)
+        for k in range(len(b.a)):
+            pair = (int(b.context[b.of[k]]), int(b.asked[b.a[k]].view(np.int64)))
+            n[pair], t[pair] = int(b.n[k]), float(b.t[k])
+        p0 |= {int(w.view(np.int64)): float(p) for w, p in zip(b.asked, b.p0, strict=True)}
+    return n, t, p0
+
+
+@pytest.mark.parametrize("split", [0, P.SPLIT])
+def test_scores_are_those_of_a_plain_version_and_sum_to_one(spark, monkeypatch, split):
+    monkeypatch.setattr(P, "BUCKET", 3000)
+    monkeypatch.setattr(P, "SPLIT", split)  # frequent contexts are split over buckets
+    monkeypatch.setattr(P, "SAMPLE", 2)
+    r, words = random.Random(8), vocabulary(6, 90)
+    texts = [sentence(r, r.randint(0, 60), words[: r.choice([8, 90])]) for _ in range(150)] + ["never seen words here", None]
+    docs = learning(docs_frame(spark, texts).select("doc_id", "text"))
+    model, tables = P.train(docs)
+    n, t, p0 = plain_model(model, tables)
+    assert (len(model.layout.split) > 0) == (split > 0)
+    customers, seated, theta = Counter(), Counter(), P.CONCENTRATION
+    for (u, w), c in n.items():
+        customers[u] += c
+        seated[u] += t[u, w]
+        assert (t[u, w] == c) if c < 2 else (1 <= t[u, w] <= c)
+    known = {w for (u, w), c in n.items() if c}
+    assert model.words == len(known) and model.tokens == sum(n.values()) and math.isclose(model.t_0, sum(t.values()), rel_tol=1e-9)
+    unknown = float(model.parent(np.zeros(1), np.zeros(1))[0])
+    assert math.isclose(sum(p0[w] for w in known) + unknown, 1, rel_tol=1e-9)
+
+    def p(u, w):
+        share = (theta + model.d1 * seated[u]) / (theta + customers[u])
+        return (n.get((u, w), 0) - model.d1 * t.get((u, w), 0)) / (theta + customers[u]) + share * p0.get(w, unknown)
+
+    for u in list(customers)[:10]:
+        rest = (theta + model.d1 * seated[u]) / (theta + customers[u]) * unknown
+        assert math.isclose(sum(p(u, w) for w in known) + rest, 1, rel_tol=1e-9)
+    rows = {x["doc_id"]: x["score"] for x in P.score(docs).collect()}
+    for i, text in enumerate(texts):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        word, context, _ = P.tokens(data, np.array([0, len(data)]))
+        want = sum(math.log10(p(int(u), int(w))) for u, w in zip(context, word, strict=True))
+        assert math.isclose(rows[i], want, rel_tol=1e-9)
+
+
+def test_scores_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(P, "BUCKET", 3000)
+    r, words = random.Random(9), vocabulary(7, 90)
+    docs = learning(docs_frame(spark, [sentence(r, r.randint(0, 80), words) for _ in range(200)]).select("doc_id", "text"))
+    one, other = ({x["doc_id"]: x["score"] for x in P.score(docs.repartition(k, "text").sortWithinPartitions(order)).collect()} for k, order in ((1, "doc_id"), (7, "text")))
+    assert one.keys() == other.keys() and all(math.isclose(one[i], other[i], rel_tol=1e-9) for i in one)
 
 
 def test_context_helps(spark):
     r = random.Random(10)
     a, b = ["qa", "wa", "ea", "ra"] * 3, ["to", "yo", "uo", "po"] * 3
     texts = [" ".join(r.choice(s) for _ in range(40)) for s in [a, b] * 150]
-    docs = docs_frame(spark, texts).select("doc_id", "text")
-    model_words, model = P.train(docs.where(remainder(10) != 0))
-    held = P.score(docs.where(remainder(10) == 0), model_words, model)
-    p = P.perplexity(held).first()
+    scored = P.score(learning(docs_frame(spark, texts).select("doc_id", "text")))
+    p = P.perplexity(scored.where(remainder(10) == 0)).first()
     assert p["perplexity"] < 0.7 * p["base_perplexity"]
 
 
-def test_contexts_are_whole_words(spark, monkeypatch):
+def test_contexts_are_whole_words(spark):
     # the words before share their ending; what follows depends on the whole word
     r = random.Random(11)
     two = lambda k: f"w{k}xyz afterw{k}xyz"
     texts = [" ".join(two(r.randint(0, 299)) for _ in range(30)) for _ in range(200)]
-    docs = docs_frame(spark, texts).select("doc_id", "text")
-    results = []
-    for part in (P.PART, 20):
-        monkeypatch.setattr(P, "PART", part)  # few: a word is several rows
-        rows, model = P.train(docs.where(remainder(10) != 0))
-        assert len(model["n_c"]) == 601 and model["contexts"].count() == 601
-        assert abs(sum(r["p0"] for r in rows.collect()) - 1) < 0.01
-        results.append(P.perplexity(P.score(docs.where(remainder(10) == 0), rows, model)).first())
+    scored = P.score(learning(docs_frame(spark, texts).select("doc_id", "text")))
+    p = P.perplexity(scored.where(remainder(10) == 0)).first()
     # half of the tokens are certain, the others one of 300: about 17
-    assert max(p["perplexity"] for p in results) < 30 < results[0]["base_perplexity"] / 10
+    assert p["perplexity"] < 30 < p["base_perplexity"] / 10
 
 
 def test_tables_are_drawn_from_their_conditional():
@@ -492,7 +535,13 @@ def test_many_customers_are_seated_by_the_same_conditional(d, n, w):
 
 def test_model_of_odd_tables(spark):
     empty = docs_frame(spark, []).select("doc_id", "text")
-    model_words, model = P.train(empty)
-    assert P.score(empty, model_words, model).count() == 0
-    rows = P.score(docs_frame(spark, ["a b", None]).select("doc_id", "text"), model_words, model).collect()
-    assert [r["n_known"] for r in rows] == [0, 0] and all(math.isfinite(r["score"]) for r in rows)
+    assert P.score(learning(empty)).count() == 0
+    none = docs_frame(spark, ["a b", None, "a b"]).select("doc_id", "text")
+    for learn in (F.lit(False), F.lit(None).cast("boolean")):
+        rows = P.score(none.withColumn("learn", learn)).collect()
+        assert [(r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in rows] == [(0, 0, 0.0, 0.0)] * 3
+    named = none.withColumn("doc_id", F.when(F.col("doc_id") > 0, F.concat(F.lit("d"), "doc_id"))).withColumn("learn", F.lit(True))
+    rows = {r["doc_id"]: r for r in P.score(named).collect()}
+    assert set(rows) == {None, "d1", "d2"} and rows[None]["score"] == rows["d2"]["score"]
+    long = docs_frame(spark, ["x y " * 300_000, "x y"]).select("doc_id", "text").withColumn("learn", F.lit(True))
+    assert sorted(r["n_tokens"] for r in P.score(long).collect()) == [3, 600_001]
