@@ -14,8 +14,8 @@ of one and two. Draws are hashes of word, context and sweep.
 The work is done on blocks of numbers, not on rows. Pairs are counted in a task and sent to the bucket of their context,
 where they are sorted once: a bucket has whole restaurants, whose totals follow each sweep. Words have buckets of their
 own (ranges of their hash), where the parent is seated. In a round each bucket of contexts tells those of words how many
-tables its words have, and gets the parent's figures of just these words back. The seating is sampled in blocks: the
-parent's figures stay as they are within a round. A context of a large share of the tokens is split over several buckets
+tables its words have, and gets the parent's figures of just these words back; only pairs of two and more customers travel in rounds, as the tables of the others
+never change. The seating is sampled in blocks: the parent's figures stay as they are within a round. A context of a large share of the tokens is split over several buckets
 by word, and takes the totals of the others as they were a round before.
 
 Texts to be scored take part in the first count with nothing, so that every bucket learns of every word it will be asked
@@ -48,7 +48,7 @@ from cinderlog.llm.common import drop_stash, release_shuffles, remainder, stash,
 #: Most pairs whose probabilities are broadcast.
 HEAD = 1 << 20
 #: Bytes of text for each bucket, tokens that a task counts before it sends, and parts of the buckets when texts are scored.
-BUCKET, GATHER, PASSES = 8 << 20, 3_000_000, 2
+BUCKET, GATHER, PASSES = 8 << 20, 4_000_000, 3
 #: A context of more than a share of 1 / (SPLIT * buckets) of the tokens is split; one text in SAMPLE shows which.
 SPLIT, SAMPLE = 4, 64
 #: Customers of a dish up to which its tables are drawn from rows of Stirling numbers; beyond, from their ratios.
@@ -218,6 +218,29 @@ def _find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, known[at] == keys
 
 
+class Index:
+    """Finds 64-bit hashes among sorted ones by their first bits, and then by a short walk."""
+
+    def __init__(self, known: np.ndarray) -> None:
+        bits = max(1, min(24, int(np.log2(len(known) + 1)) + 2))
+        self.known, self.shift = known, np.uint64(64 - bits)
+        self.first = np.searchsorted(known >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, met = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        prefix = (keys >> self.shift).astype(np.int64)
+        low, high = self.first[prefix], self.first[prefix + 1]
+        left = np.flatnonzero(low < high)
+        low, high, wanted = low[left], high[left], keys[left]
+        while len(left):
+            hit = self.known[low] == wanted
+            at[left[hit]], met[left[hit]] = low[hit], True
+            low = low + 1
+            go = ~hit & (low < high)
+            left, low, high, wanted = left[go], low[go], high[go], wanted[go]
+        return at, met
+
+
 @dataclass(frozen=True)
 class Layout:
     """Where pairs and words are: the buckets of contexts and of words, and the split contexts with their parts."""
@@ -251,8 +274,9 @@ class Model:
     #: Tables of all contexts, and tables of the parent.
     t_0: float = 0.0
     own_0: float = 0.0
-    #: By split context, customers and tables.
+    #: By split context, customers, tables of pairs of one customer, and all tables.
     split_n: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    split_one: np.ndarray = field(default_factory=lambda: np.zeros(0))
     split_t: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     @property
@@ -268,7 +292,7 @@ class Model:
 
 BLOCK = "bucket long, kind int, part long, a binary, b binary, c binary, d binary, e binary, x double, y double, z double"
 _NAMES = [c.split()[0] for c in BLOCK.split(", ")]
-PAIRS, SEATED, FIGURES, COUNTS, TEXTS, ASKED, SHARED, SUMS = range(8)
+PAIRS, MANY, SEATED, FIGURES, TEXTS, WORDS, FEW, ASKED, SHARED, SUMS = range(10)
 
 
 def _block(bucket: int, kind: int, part: int = 0, *arrays: np.ndarray, sums: tuple[float, ...] = ()) -> tuple:
@@ -392,9 +416,15 @@ def _counted(docs: DataFrame, layout: Layout) -> DataFrame:
             order = np.argsort(c << 32 | a)
             a, n = a[order], n[order]
             run = np.bincount(c, minlength=len(u))
+            customers, one, more = (np.add.reduceat(x, _starts(run)) for x in (n, (n == 1).astype(np.int64), (n > 1).astype(np.int64)))
             out = [_block(bucket, PAIRS, 0, u, run.astype(np.int32), a.astype(np.int32), n, asked, sums=((n == 1).sum(), (n == 2).sum(), len(n)))]
-            out += _questions(shared.value, bucket, asked, np.bincount(a, n > 0, len(asked)), np.bincount(a, n, len(asked)))
-            out += _split_totals(shared.value, bucket, u, np.add.reduceat(n, _starts(run)), np.add.reduceat((n > 0).astype(float), _starts(run)))
+            # pairs of several customers, with what their contexts have besides
+            k, some = np.flatnonzero(n > 1), np.flatnonzero(more)
+            few, place = np.unique(a[k], return_inverse=True)
+            out.append(_block(bucket, MANY, 0, u[some], np.stack([more[some], customers[some], one[some]]), place.astype(np.int32), n[k], asked[few]))
+            out += _questions(shared.value, bucket, ASKED, asked, np.bincount(a, n > 0, len(asked)), np.bincount(a, n, len(asked)))
+            out += _questions(shared.value, bucket, FEW, asked[few], np.bincount(place, minlength=len(few)))
+            out += _split_totals(shared.value, bucket, u, customers, one, more)
             yield _batch(out)
 
     sent = docs.select("text", "learn").mapInArrow(K.task(count), BLOCK)
@@ -405,64 +435,75 @@ def _starts(run: np.ndarray) -> np.ndarray:
     return np.cumsum(run) - run
 
 
-def _questions(layout: Layout, bucket: int, asked: np.ndarray, tables: np.ndarray, customers: np.ndarray | None = None) -> list[tuple]:
+def _questions(layout: Layout, bucket: int, kind: int, asked: np.ndarray, tables: np.ndarray, customers: np.ndarray | None = None) -> list[tuple]:
     """What a bucket tells the buckets of words: its words with their tables, and customers."""
+    if not len(asked):
+        return []
     part, border = _cut_runs(layout.of_word(asked))
     cut = [(int(p), int(border[k]), int(border[k + 1])) for k, p in enumerate(part.tolist())]
-    return [_block(bucket, ASKED, p, asked[a:b], tables[a:b].astype(float), *(() if customers is None else (customers[a:b].astype(np.int64),))) for p, a, b in cut]
+    return [_block(bucket, kind, p, asked[a:b], tables[a:b].astype(float), *(() if customers is None else (customers[a:b].astype(np.int64),))) for p, a, b in cut]
 
 
-def _split_totals(layout: Layout, bucket: int, u: np.ndarray, n: np.ndarray, t: np.ndarray) -> list[tuple]:
+def _split_totals(layout: Layout, bucket: int, u: np.ndarray, *totals: np.ndarray) -> list[tuple]:
     at, met = _find(layout.split, u)
-    return [_block(bucket, SHARED, 0, at[met], n[met].astype(float), t[met].astype(float))] if met.any() else []
+    return [_block(bucket, SHARED, 0, at[met], *(x[met].astype(float) for x in totals))] if met.any() else []
 
 
-def _split_sums(blocks: DataFrame, layout: Layout) -> tuple[np.ndarray, np.ndarray]:
-    """Customers and tables of the split contexts over all buckets."""
+def _split_sums(blocks: DataFrame, layout: Layout, columns: int) -> list[np.ndarray]:
+    """Sums over all buckets of what they tell of the split contexts."""
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(_ints(r[3])), pa.array(_ints(r[4], "<f8")), pa.array(_ints(r[5], "<f8"))], names=["at", "n", "t"])
-
-    n, t = np.zeros(len(layout.split)), np.zeros(len(layout.split))
-    if len(n):
-        for r in blocks.where(F.col("kind") == SHARED).mapInArrow(K.task(flat), "at long, n double, t double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect():
-            n[r["at"]], t[r["at"]] = r["n"], r["t"]
-    return n, t
+            at = _ints(r[3])
+            for c in range(columns):
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), c)), pa.array(_ints(r[4 + c], "<f8"))], names=["at", "c", "v"])
+
+    out = [np.zeros(len(layout.split)) for _ in range(columns)]
+    if len(layout.split):
+        for r in blocks.where(F.col("kind") == SHARED).mapInArrow(K.task(flat), "at long, c long, v double").groupBy("at", "c").agg(F.sum("v").alias("v")).collect():
+            out[r["c"]][r["at"]] = r["v"]
+    return out
 
 
-def _words(blocks: DataFrame, model: Model | None, salt: int, samples: int) -> DataFrame:
-    """Stored blocks: for each question the words' tables of all contexts, their own tables in the parent and, first, customers; and sums.
+def _words(blocks: list[DataFrame], model: Model | None, salt: int = 0, samples: int = 1) -> DataFrame:
+    """Stored blocks: for each question the words' tables of all contexts, their own tables in the parent and customers; and sums.
 
-    Without a model there are no draws: a word has one table of its own.
+    Without a model, at first, there are no draws: a word has one table of its own, and the words are kept with the tables
+    of their pairs of one customer. Questions of all words are answered where they are among the blocks, else those of FEW.
     """
-    shared = blocks.sparkSession.sparkContext.broadcast((model, _log_stirling(model.d0) if model else None))
+    shared = blocks[0].sparkSession.sparkContext.broadcast((model, _log_stirling(model.d0) if model else None))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, stirling = shared.value
         for part, rows in _groups(batches, 2):
-            asked = [(r[0], _ints(r[3], "<u8"), _ints(r[4], "<f8"), None if r[5] is None else _ints(r[5])) for r in rows]
-            word, at = np.unique(np.concatenate([x[1] for x in asked]), return_inverse=True)
-            tables = np.bincount(at, np.concatenate([x[2] for x in asked]), len(word))
-            customers = np.bincount(at, np.concatenate([x[3] for x in asked]), len(word)) if m is None else np.zeros(0)
+            found, _ = _kinds(rows, SUMS)
+            out = []
+            few = [(r[0], _ints(r[3], "<u8"), _ints(r[4], "<f8")) for r in found.get(FEW, ())]
+            asked = [(r[0], _ints(r[3], "<u8")) for r in found.get(ASKED, ())]
+            join = lambda x, c, t: np.concatenate([y[c] for y in x] or [np.zeros(0, t)])
             if m is None:
+                word, at = np.unique(join(asked, 1, np.uint64), return_inverse=True)
+                tables = np.bincount(at, np.concatenate([_ints(r[4], "<f8") for r in found[ASKED]]), len(word))
+                customers = np.bincount(at, np.concatenate([_ints(r[5]) for r in found[ASKED]]), len(word)).astype(np.int64)
                 own = (tables > 0).astype(float)
+                more = np.bincount(np.searchsorted(word, join(few, 1, np.uint64)), join(few, 2, float), len(word))
+                out.append(_block(-1, WORDS, part, word, tables - more, customers))
+                asked = []
             else:
+                (kept,) = found[WORDS]
+                word, one, customers = _ints(kept[3], "<u8"), _ints(kept[4], "<f8"), _ints(kept[5])
+                tables = one + np.bincount(np.searchsorted(word, join(few, 1, np.uint64)), join(few, 2, float), len(word))
                 weight = np.full(len(word), (CONCENTRATION + m.d0 * m.own_0) * m.base)
                 whole = np.rint(tables).astype(np.int64)
                 own = sum(draw_tables(whole, weight, m.d0, stirling, _uniform(word, salt + k)).astype(float) for k in range(samples)) / samples
-            border = np.cumsum([0, *(len(x[1]) for x in asked)])
-            out = []
-            for k, x in enumerate(asked):
-                mine = at[border[k] : border[k + 1]]
-                out.append(_block(x[0], FIGURES, part, tables[mine], own[mine]))
-                if m is None:
-                    out.append(_block(x[0], COUNTS, part, customers[mine].astype(np.int64)))
+            for number, w, *_ in asked or few:
+                at = np.searchsorted(word, w)
+                out.append(_block(number, FIGURES, part, tables[at], own[at], customers[at]))
             out.append(_block(-1, SUMS, 0, sums=(tables.sum(), own.sum(), customers.sum())))
             out.append(_block(-1, SUMS, 1, sums=((customers > 0).sum(), (tables == 1).sum(), (tables == 2).sum())))
             yield _batch(out)
 
-    return stash(_by(blocks.where(F.col("kind") == ASKED), "part").mapInArrow(K.task(answer), BLOCK), "words")
+    return stash(_by(functools.reduce(DataFrame.unionByName, blocks), "part").mapInArrow(K.task(answer), BLOCK), "words")
 
 
 def _sums(blocks: DataFrame, kind: int, part: int = 0) -> tuple[float, float, float]:
@@ -471,21 +512,25 @@ def _sums(blocks: DataFrame, kind: int, part: int = 0) -> tuple[float, float, fl
 
 
 class Bucket:
-    """The pairs of a bucket, the figures of its words, and the tables of its pairs."""
+    """The pairs of a bucket (all, or those of several customers), the figures of its words, and the tables of its pairs."""
 
     def __init__(self, rows: dict[int, list[tuple]], model: Model) -> None:
-        (pairs,) = rows[PAIRS]
-        self.model, self.number = model, pairs[0]
-        self.context, self.run = _ints(pairs[3]), _ints(pairs[4], "<i4").astype(np.int64)
-        self.a, self.n, self.asked = _ints(pairs[5], "<i4").astype(np.int64), _ints(pairs[6]), _ints(pairs[7], "<u8")
-        figures = [np.concatenate([_ints(r[c], "<f8") for r in rows[FIGURES]]) for c in (3, 4)]
-        self.p0 = model.parent(*figures)
+        self.model = model
+        (pairs,) = rows[PAIRS] if PAIRS in rows else rows[MANY]
+        self.context, self.a, self.n, self.asked = _ints(pairs[3]), _ints(pairs[5], "<i4").astype(np.int64), _ints(pairs[6]), _ints(pairs[7], "<u8")
+        if PAIRS in rows:
+            self.run = _ints(pairs[4], "<i4").astype(np.int64)
+            self.customers, self.one = np.add.reduceat(self.n, _starts(self.run)).astype(float), np.zeros(len(self.run))
+        else:
+            self.run, customers, one = _ints(pairs[4]).reshape(3, -1)
+            self.customers, self.one = customers.astype(float), one.astype(float)
+        told = [np.concatenate([_ints(r[c], kind) for r in rows.get(FIGURES, ())] or [np.zeros(0)]) for c, kind in ((3, "<f8"), (4, "<f8"), (5, "<i8"))]
+        self.p0, self.word_customers = model.parent(*told[:2]), told[2]
         self.of = np.repeat(np.arange(len(self.run)), self.run)
         self.many = np.flatnonzero(self.n > 1)
         self.t = np.minimum(self.n, 1).astype(float)
         if SEATED in rows:
             self.t[self.many] = _ints(rows[SEATED][0][3], "<f8")
-        self.customers = np.add.reduceat(self.n, _starts(self.run)).astype(float)
         self.split, met = _find(model.layout.split, self.context)
         self.shared = np.flatnonzero(met)
         self.split = self.split[self.shared]
@@ -494,7 +539,7 @@ class Bucket:
         self.customers[self.shared] = model.split_n[self.split]
 
     def _own_totals(self) -> np.ndarray:
-        return np.add.reduceat(self.t, _starts(self.run))
+        return self.one + (np.add.reduceat(self.t, _starts(self.run)) if len(self.run) else 0.0)
 
     def totals(self) -> np.ndarray:
         """Tables by context."""
@@ -540,10 +585,10 @@ def _seat(counts: DataFrame, seated: DataFrame | None, words: DataFrame, model:
                     mean += b.t[b.many] / samples
             if samples:
                 b.t[b.many] = mean
-            out = [_block(number, SEATED, 0, b.t[b.many]), *_questions(m.layout, number, b.asked, np.bincount(b.a, b.t, len(b.asked)))]
-            yield _batch(out + _split_totals(m.layout, number, b.context, np.zeros(len(b.run)), b._own_totals()))
+            out = [_block(number, SEATED, 0, b.t), *_questions(m.layout, number, FEW, b.asked, np.bincount(b.a, b.t, len(b.asked)))]
+            yield _batch(out + _split_totals(m.layout, number, b.context, b._own_totals() - b.one))
 
-    blocks = [counts.where(F.col("kind") == PAIRS), words.where(F.col("kind") == FIGURES)] + ([] if seated is None else [seated.where(F.col("kind") == SEATED)])
+    blocks = [counts.where(F.col("kind") == MANY), words.where(F.col("kind") == FIGURES)] + ([] if seated is None else [seated.where(F.col("kind") == SEATED)])
     return stash(_by(functools.reduce(DataFrame.unionByName, blocks), "bucket").mapInArrow(K.task(run), BLOCK), "seated")
 
 
@@ -553,28 +598,33 @@ def train(docs: DataFrame) -> tuple[Model, dict[str, DataFrame]]:
     layout = layout_of(docs)
     counts = _counted(docs, layout)
     release_shuffles(spark)
-    words = first = _words(counts, None, 0, 0)
-    once, twice, pairs = _sums(counts, PAIRS)
+    of_kind = lambda df, kind: df.where(F.col("kind") == kind)
+    questions = of_kind(counts, ASKED)
+    first = figures = _words([questions, of_kind(counts, FEW)], None)
+    release_shuffles(spark)
+    once, twice, _ = _sums(counts, PAIRS)
     t_0, own_0, customers = _sums(first, SUMS)
     known, of_one, of_two = _sums(first, SUMS, 1)
     model = Model(layout, int(customers), int(known), _discount(int(once), int(twice)), _discount(int(of_one), int(of_two)), t_0, own_0)
-    model.split_n, model.split_t = _split_sums(counts, layout)
+    model.split_n, model.split_one, more = _split_sums(counts, layout, 3)
+    model.split_t = model.split_one + more
     seated, salt = None, 1
     for sweeps, samples in (*((k, 0) for k in ROUNDS), (BURN, SAMPLES)):
-        now = _seat(counts, seated, words, model, salt, sweeps, samples)
-        told = _words(now, model, salt, max(1, samples))
+        now = _seat(counts, seated, figures, model, salt, sweeps, samples)
+        told = _words([of_kind(first, WORDS), of_kind(now, FEW), *([questions] if samples else [])], model, salt, max(1, samples))
         model.t_0, model.own_0, _ = _sums(told, SUMS)
-        _, model.split_t = _split_sums(now, layout)
-        for gone in (seated, None if words is first else words):
+        model.split_t = model.split_one + _split_sums(now, layout, 1)[0]
+        for gone in (seated, None if figures is first else figures):
             if gone is not None:
                 drop_stash(gone)
-        seated, words, salt = now, told, salt + sweeps + samples
+        seated, figures, salt = now, told, salt + sweeps + samples
         release_shuffles(spark)
-    return model, {"counts": counts, "first": first, "seated": seated, "words": words}
+    drop_stash(first)
+    return model, {"counts": counts, "seated": seated, "figures": figures}
 
 
 def _of_buckets(tables: dict[str, DataFrame]) -> DataFrame:
-    kinds = {"counts": PAIRS, "first": COUNTS, "seated": SEATED, "words": FIGURES}
+    kinds = {"counts": PAIRS, "seated": SEATED, "figures": FIGURES}
     return functools.reduce(DataFrame.unionByName, [tables[t].where(F.col("kind") == k) for t, k in kinds.items()])
 
 
@@ -590,7 +640,7 @@ def predictive(model: Model, tables: dict[str, DataFrame], least: int = 1) -> Da
         for _, rows in _groups(batches, 0):
             found, _ = _kinds(rows)
             b = Bucket(found, shared.value)
-            base = _base(np.concatenate([_ints(r[3]) for r in found[COUNTS]]), shared.value)
+            base = _base(b.word_customers, shared.value)
             k = np.flatnonzero(b.n >= least)
             columns = [b.asked[b.a[k]].view(np.int64), b.context[b.of[k]], b.n[k], np.log10(b.probability()[k]), base[b.a[k]]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "context", "n", "p", "base"])
@@ -606,10 +656,10 @@ def _least(counts: DataFrame, most: int) -> int:
             n = _ints(r[6])
             step, at, k = np.unique(np.floor(np.log2(np.maximum(n, 1)) * 8).astype(np.int64), return_inverse=True, return_counts=True)
             least = np.full(len(step), 2**62)
-            np.minimum.at(least, at, np.maximum(n, 1))
+            np.minimum.at(least, at, np.maximum(n, 1).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(k.astype(np.int64)), pa.array(least)], names=["step", "k", "least"])
 
-    steps = counts.where(F.col("kind") == PAIRS).mapInArrow(K.task(run), "step long, k long, least long")
+    steps = counts.where(F.col("kind") == MANY).mapInArrow(K.task(run), "step long, k long, least long")
     out, left = 2**62, most
     for r in steps.groupBy("step").agg(F.sum("k").alias("k"), F.min("least").alias("least")).orderBy(F.desc("step")).collect():
         left -= r["k"]
@@ -631,7 +681,7 @@ def score(docs: DataFrame) -> DataFrame:
     pair = _pair(*(np.asarray(head[c].combine_chunks()) if head.num_rows else np.zeros(0, np.int64) for c in ("word", "context")))
     order = np.argsort(pair)
     log_p, log_base = (np.asarray(head[c].combine_chunks())[order] if head.num_rows else np.zeros(0) for c in ("p", "base"))
-    shared = spark.sparkContext.broadcast((model, pair[order], log_p, log_base))
+    shared = spark.sparkContext.broadcast((model, Index(pair[order]), log_p, log_base))
     own = {"doc_id": docs.schema["doc_id"].dataType.simpleString()} | dict.fromkeys(("th", "n_tokens", "n_known"), "long") | dict.fromkeys(("base_score", "score"), "double") | {"fresh": "boolean"}
     own_schema = ", ".join(f"{c} {t}" for c, t in own.items())
     names = [*own, *_NAMES]
@@ -649,7 +699,7 @@ def score(docs: DataFrame) -> DataFrame:
                 for k, (u, length, w, t) in _sent(m.layout.bucket(word, context), context, word, text):
                     if k % PASSES == part:
                         of, t = np.unique(t, return_inverse=True)
-                        rows.append(_block(k, TEXTS, 0, u, length, w, t.astype(np.int32), texts[of]))
+                        rows.append(_block(k, TEXTS, 0, u, length, w, t.astype(np.uint16 if len(of) <= 1 << 16 else np.uint32), texts[of]))
                 if rows:
                     blocks = _batch(rows)
                     none = [pa.nulls(len(rows), t) for t in (doc_type, *[pa.int64()] * 3, *[pa.float64()] * 2, pa.bool_())]
@@ -658,7 +708,7 @@ def score(docs: DataFrame) -> DataFrame:
             for batch, a, b, word, context, border in _token_arrays(batches):
                 doc_type = batch.column("doc_id").type
                 n, doc = b - a, K.owner(border)
-                near, met = _find(keys, _pair(word, context))
+                near, met = keys.find(_pair(word, context))
                 th = batch.column("th")[a:b].to_pylist()
                 fresh = np.zeros(n, bool)
                 number = np.zeros(n, np.int64)
@@ -666,7 +716,7 @@ def score(docs: DataFrame) -> DataFrame:
                     fresh[i] = h not in seen
                     number[i] = seen.setdefault(h, len(seen))
                 hit = np.flatnonzero(met)
-                sums = [np.bincount(doc[hit], x, n).astype(float) for x in (base[near[hit]], p[near[hit]])] if len(keys) else [np.zeros(n)] * 2
+                sums = [np.bincount(doc[hit], x, n).astype(float) for x in (base[near[hit]], p[near[hit]])] if len(keys.known) else [np.zeros(n)] * 2
                 # the first part tells of all rows, the others only which texts they have met
                 length = np.diff(border) if part == 0 else np.full(n, -1)
                 columns = [batch.column("doc_id")[a:b], batch.column("th")[a:b], pa.array(length), pa.array(np.bincount(doc[hit], minlength=n)), *map(pa.array, sums), pa.array(fresh)]
@@ -707,10 +757,10 @@ def score(docs: DataFrame) -> DataFrame:
                 if b is None:
                     b = Bucket(found, m)
                     probability = np.log10(b.probability())
-                    base = _base(np.concatenate([_ints(x[3]) for x in found[COUNTS]]), m)
-                    known = np.concatenate([_ints(x[3]) for x in found[COUNTS]]) > 0
+                    base, known = _base(b.word_customers, m), b.word_customers > 0
                     keys = b.of << 32 | b.a
-                u, length, w, t, th = _ints(r[3]), _ints(r[4], "<i4"), _ints(r[5], "<u8"), _ints(r[6], "<i4"), _ints(r[7])
+                u, length, w, th = _ints(r[3]), _ints(r[4], "<i4"), _ints(r[5], "<u8"), _ints(r[7])
+                t = _ints(r[6], "<u2" if len(th) <= 1 << 16 else "<u4").astype(np.int64)
                 # every pair of a text was counted, if only with nothing
                 at, a = np.searchsorted(b.context, np.repeat(u, length)), np.searchsorted(b.asked, w)
                 k = np.searchsorted(keys, at << 32 | a)

@@ -470,6 +470,15 @@ def test_scores_are_those_of_a_plain_version_and_sum_to_one(spark, monkeypatch,
         assert math.isclose(rows[i], want, rel_tol=1e-9)
 
 
+def test_index_finds_what_is_known():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 5, 4000):
+        known = np.unique(np.concatenate([r.integers(0, 2**64 - 1, n, np.uint64), np.arange(min(n, 40), dtype=np.uint64)]))
+        asked = np.concatenate([known, r.integers(0, 2**64 - 1, 500, np.uint64), np.arange(90, dtype=np.uint64)])
+        at, met = P.Index(known).find(asked)
+        assert met.tolist() == np.isin(asked, known).tolist() and (known[at[met]] == asked[met]).all()
+
+
 def test_scores_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(P, "BUCKET", 3000)
     r, words = random.Random(9), vocabulary(7, 90)
