@@ -20,7 +20,7 @@ by word, and takes the totals of the others as they were a round before.
 
 Texts to be scored take part in the first count with nothing, so that every bucket learns of every word it will be asked
 for. The HEAD most frequent pairs are broadcast with their probabilities; other tokens go to their bucket, in PASSES parts
-of the buckets, one after another. Sums by text come back. What is broadcast or sent to the driver besides are the split
+of the buckets, one after another. Sums come back to the block of texts that asked. What is broadcast or sent to the driver besides are the split
 contexts, at most SPLIT for each bucket.
 
 Defined cases: a null or empty text is its end token alone; a null doc_id is scored like others, and has held_out null in
@@ -39,6 +39,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ from cinderlog.llm.common import drop_stash, release_shuffles, remainder, stash,
 #: Most pairs whose probabilities are broadcast.
 HEAD = 1 << 20
 #: Bytes of text for each bucket, tokens that a task counts before it sends, and parts of the buckets when texts are scored.
-BUCKET, GATHER, PASSES = 8 << 20, 4_000_000, 3
+BUCKET, GATHER, PASSES = 8 << 20, 3_000_000, 3
 #: A context of more than a share of 1 / (SPLIT * buckets) of the tokens is split; one text in SAMPLE shows which.
 SPLIT, SAMPLE = 4, 64
 #: Customers of a dish up to which its tables are drawn from rows of Stirling numbers; beyond, from their ratios.
@@ -292,7 +293,7 @@ class Model:
 
 BLOCK = "bucket long, kind int, part long, a binary, b binary, c binary, d binary, e binary, x double, y double, z double"
 _NAMES = [c.split()[0] for c in BLOCK.split(", ")]
-PAIRS, MANY, SEATED, FIGURES, TEXTS, WORDS, FEW, ASKED, SHARED, SUMS = range(10)
+PAIRS, MANY, SEATED, FIGURES, HASHES, TEXTS, WORDS, FEW, ASKED, SHARED, SUMS = range(11)
 
 
 def _block(bucket: int, kind: int, part: int = 0, *arrays: np.ndarray, sums: tuple[float, ...] = ()) -> tuple:
@@ -559,7 +560,7 @@ class Bucket:
         return (self.n - self.model.d1 * self.t) / (CONCENTRATION + self.customers[self.of]) + share[self.of] * self.p0[self.a]
 
 
-def _kinds(rows: Iterator[tuple], until: int = TEXTS) -> tuple[dict[int, list[tuple]], Iterator[tuple]]:
+def _kinds(rows: Iterator[tuple], until: int = HASHES) -> tuple[dict[int, list[tuple]], Iterator[tuple]]:
     """The rows of a bucket by kind, and those from a kind on as they come."""
     out: dict[int, list[tuple]] = {}
     for r in rows:
@@ -682,111 +683,125 @@ def score(docs: DataFrame) -> DataFrame:
     order = np.argsort(pair)
     log_p, log_base = (np.asarray(head[c].combine_chunks())[order] if head.num_rows else np.zeros(0) for c in ("p", "base"))
     shared = spark.sparkContext.broadcast((model, Index(pair[order]), log_p, log_base))
-    own = {"doc_id": docs.schema["doc_id"].dataType.simpleString()} | dict.fromkeys(("th", "n_tokens", "n_known"), "long") | dict.fromkeys(("base_score", "score"), "double") | {"fresh": "boolean"}
+    own = {"doc_id": docs.schema["doc_id"].dataType.simpleString()} | dict.fromkeys(("th", "n_tokens", "n_known"), "long") | dict.fromkeys(("base_score", "score"), "double")
     own_schema = ", ".join(f"{c} {t}" for c, t in own.items())
     names = [*own, *_NAMES]
 
+    def beside(ids: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
+        none = [pa.nulls(len(rows), t) for t in (ids, *[pa.int64()] * 3, *[pa.float64()] * 2)]
+        return pa.RecordBatch.from_arrays([*none, *_batch(rows).columns], names=names)
+
     def send(part: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m, keys, p, base = shared.value
             held: list[tuple[np.ndarray, ...]] = []
             seen: dict[int, int] = {}
+            sources = itertools.count(TaskContext.get().partitionId() << 32)
 
             def leave() -> Iterator[pa.RecordBatch]:
-                word, context, text = (np.concatenate(c) for c in zip(*held, strict=True))
-                texts = np.array(list(seen), np.int64)
-                rows = []
-                for k, (u, length, w, t) in _sent(m.layout.bucket(word, context), context, word, text):
-                    if k % PASSES == part:
-                        of, t = np.unique(t, return_inverse=True)
-                        rows.append(_block(k, TEXTS, 0, u, length, w, t.astype(np.uint16 if len(of) <= 1 << 16 else np.uint32), texts[of]))
-                if rows:
-                    blocks = _batch(rows)
-                    none = [pa.nulls(len(rows), t) for t in (doc_type, *[pa.int64()] * 3, *[pa.float64()] * 2, pa.bool_())]
-                    yield pa.RecordBatch.from_arrays([*none, *blocks.columns], names=names)
+                word, context, bucket, text = (np.concatenate(c) for c in zip(*held, strict=True))
+                if len(word):
+                    source = next(sources)
+                    text = text.astype(np.uint16 if len(seen) <= 1 << 16 else np.uint32)
+                    rows = [_block(k, TEXTS, source, *arrays, sums=(len(seen),)) for k, arrays in _sent(bucket, context, word, text)]
+                    yield beside(ids, [_block(rows[0][0], HASHES, source, np.array(list(seen), np.int64)), *rows])
+                held.clear()
+                seen.clear()
 
             for batch, a, b, word, context, border in _token_arrays(batches):
-                doc_type = batch.column("doc_id").type
+                ids = batch.column("doc_id").type
                 n, doc = b - a, K.owner(border)
                 near, met = keys.find(_pair(word, context))
-                th = batch.column("th")[a:b].to_pylist()
-                fresh = np.zeros(n, bool)
-                number = np.zeros(n, np.int64)
-                for i, h in enumerate(th):
+                fresh, number = np.zeros(n, bool), np.zeros(n, np.int64)
+                for i, h in enumerate(batch.column("th")[a:b].to_pylist()):
                     fresh[i] = h not in seen
                     number[i] = seen.setdefault(h, len(seen))
-                hit = np.flatnonzero(met)
-                sums = [np.bincount(doc[hit], x, n).astype(float) for x in (base[near[hit]], p[near[hit]])] if len(keys.known) else [np.zeros(n)] * 2
-                # the first part tells of all rows, the others only which texts they have met
-                length = np.diff(border) if part == 0 else np.full(n, -1)
-                columns = [batch.column("doc_id")[a:b], batch.column("th")[a:b], pa.array(length), pa.array(np.bincount(doc[hit], minlength=n)), *map(pa.array, sums), pa.array(fresh)]
-                none = _batch([_block(i % m.layout.buckets, SUMS) for i in range(a, b)])
-                told = pa.RecordBatch.from_arrays([*columns, *none.columns], names=names)
-                yield told if part == 0 else told.filter(pa.array(fresh))
+                if part == 0:
+                    hit = np.flatnonzero(met)
+                    sums = [np.bincount(doc[hit], x, n).astype(float) for x in (base[near[hit]], p[near[hit]])] if len(keys.known) else [np.zeros(n)] * 2
+                    columns = [batch.column("doc_id")[a:b], batch.column("th")[a:b], pa.array(np.diff(border)), pa.array(np.bincount(doc[hit], minlength=n)), *map(pa.array, sums)]
+                    none = _batch([_block(i % m.layout.buckets, SUMS) for i in range(a, b)])
+                    yield pa.RecordBatch.from_arrays([*columns, *none.columns], names=names)
                 left = np.flatnonzero(~met & fresh[doc])
-                held.append((word[left], context[left], number[doc[left]]))
+                bucket = m.layout.bucket(word[left], context[left])
+                mine = bucket % PASSES == part
+                left = left[mine]
+                held.append((word[left], context[left], bucket[mine], number[doc[left]]))
                 if sum(len(x[0]) for x in held) >= GATHER:
                     yield from leave()
-                    held.clear()
-                    seen.clear()
             if held:
                 yield from leave()
 
         return run
 
+    def whole_rows(batches: Iterator[pa.RecordBatch], ready: list[pa.RecordBatch], ids: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+        """The blocks; the rows of texts are put aside."""
+        for batch in batches:
+            ids[:] = [batch.column("doc_id").type]
+            whole = batch.filter(batch.column("th").is_valid())
+            if whole.num_rows:
+                ready.append(whole)
+            yield batch.filter(batch.column("th").is_null()).select(_NAMES)
+
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value[0]
-        of_id: list[pa.DataType] = []
-
-        def blocks() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                of_id[:] = [batch.column("doc_id").type]
-                whole = batch.filter(batch.column("th").is_valid())
-                if whole.num_rows:
-                    ready.append(whole.select([*own]))
-                yield batch.filter(batch.column("th").is_null()).select(_NAMES)
-
-        ready: list[pa.RecordBatch] = []
-        for _, rows in _groups(blocks(), 0):
-            found, texts = _kinds(rows)
-            sums: list[tuple[np.ndarray, ...]] = []
-            b = None
-            for r in texts:
-                if r[1] != TEXTS:
-                    continue
-                if b is None:
-                    b = Bucket(found, m)
-                    probability = np.log10(b.probability())
-                    base, known = _base(b.word_customers, m), b.word_customers > 0
-                    keys = b.of << 32 | b.a
-                u, length, w, th = _ints(r[3]), _ints(r[4], "<i4"), _ints(r[5], "<u8"), _ints(r[7])
-                t = _ints(r[6], "<u2" if len(th) <= 1 << 16 else "<u4").astype(np.int64)
-                # every pair of a text was counted, if only with nothing
-                at, a = np.searchsorted(b.context, np.repeat(u, length)), np.searchsorted(b.asked, w)
-                k = np.searchsorted(keys, at << 32 | a)
-                sums.append((th, np.bincount(t, known[a], len(th)), np.bincount(t, base[a], len(th)), np.bincount(t, probability[k], len(th))))
-            if sums:
-                th, at = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
-                n, x, y = (np.bincount(at, np.concatenate([s[c] for s in sums]), len(th)) for c in (1, 2, 3))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(th), of_id[0]), pa.array(th), pa.nulls(len(th), pa.int64()), pa.array(n.astype(np.int64)), pa.array(x), pa.array(y), pa.nulls(len(th), pa.bool_())], names=[*own])
+        ready, ids = [], []
+        for _, rows in _groups(whole_rows(batches, ready, ids), 0):
+            found, asking = _kinds(rows)
+            b, out = None, []
+            for r in asking:
+                if r[1] == HASHES:
+                    out.append(_block(r[2], HASHES, 0, _ints(r[3])))
+                elif r[1] == TEXTS:
+                    if b is None:
+                        b = Bucket(found, m)
+                        probability = np.log10(b.probability())
+                        base, known = _base(b.word_customers, m), b.word_customers > 0
+                        keys = b.of << 32 | b.a
+                    u, length, w = _ints(r[3]), _ints(r[4], "<i4"), _ints(r[5], "<u8")
+                    t = _ints(r[6], "<u2" if r[8] <= 1 << 16 else "<u4")
+                    # every pair of a text was counted, if only with nothing
+                    at, a = np.searchsorted(b.context, u), np.searchsorted(b.asked, w)
+                    k = np.searchsorted(keys, np.repeat(at, length) << 32 | a)
+                    of, t = np.unique(t, return_inverse=True)
+                    sums = [np.bincount(t, x, len(of)) for x in (known[a], base[a], probability[k])]
+                    out.append(_block(r[2], TEXTS, 0, of.astype(np.uint32), sums[0].astype(np.uint32), *sums[1:]))
+            if out:
+                yield beside(ids[0], out)
             yield from ready
             ready.clear()
         yield from ready
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready, ids = [], []
+        for _, rows in _groups(whole_rows(batches, ready, ids), 0):
+            th, *sums = [np.zeros(0)] * 4
+            for r in rows:
+                if r[1] == HASHES:
+                    th = _ints(r[3])
+                    sums = [np.zeros(len(th)) for _ in range(3)]
+                elif r[1] == TEXTS:
+                    for x, c, kind in zip(sums, (4, 5, 6), ("<u4", "<f8", "<f8"), strict=True):
+                        x[_ints(r[3], "<u4")] += _ints(r[c], kind)
+            if len(th):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(th), ids[0]), pa.array(th), pa.nulls(len(th), pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=[*own])
+            yield from (x.select([*own]) for x in ready)
+            ready.clear()
+        yield from (x.select([*own]) for x in ready)
+
     plain = docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text")
     of_buckets = _of_buckets(tables)
-    found, tails = [], []
+    found = []
     for part in range(PASSES):
         sent = plain.mapInArrow(K.task(send(part)), f"{own_schema}, {BLOCK}")
         mine = of_buckets.where(F.pmod("bucket", F.lit(PASSES)) == part).select(*(F.lit(None).cast(t).alias(c) for c, t in own.items()), *_NAMES)
-        both = stash(_by(sent.unionByName(mine), "bucket").mapInArrow(K.task(look), own_schema), "scores")
-        found.append(both)
-        sums = both.where("n_tokens is null").groupBy("th").agg(F.sum("n_known").alias("k"), F.sum("base_score").alias("b"), F.sum("score").alias("s"))
-        # a text that several tasks have met was summed in each
-        times = both.where("fresh").groupBy("th").agg(F.count("*").alias("m"))
-        tails.append(sums.join(times, "th").select("th", (F.col("k") / F.col("m")).cast("long").alias("k"), (F.col("b") / F.col("m")).alias("b"), (F.col("s") / F.col("m")).alias("s")))
+        looked = _by(sent.unionByName(mine), "bucket").mapInArrow(K.task(look), f"{own_schema}, {BLOCK}")
+        found.append(stash(_by(looked, "bucket").mapInArrow(K.task(add), own_schema), "scores"))
         release_shuffles(spark)
-    rows = found[0].where("n_tokens >= 0")
+    rows = found[0].where("n_tokens is not null")
+    # a text that several tasks have met was summed in each
+    mean = lambda c: F.sum(c) / F.count("*")
+    tails = [x.where("n_tokens is null").groupBy("th").agg(mean("n_known").cast("long").alias("k"), mean("base_score").alias("b"), mean("score").alias("s")) for x in found]
     tail = functools.reduce(DataFrame.unionByName, tails).groupBy("th").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
     zero = F.lit(0.0)
     out = rows.join(tail, "th", "left").select(
