@@ -49,7 +49,7 @@ from cinderlog.llm.common import drop_stash, release_shuffles, remainder, stash,
 #: Most pairs whose probabilities are broadcast.
 HEAD = 1 << 20
 #: Bytes of text for each bucket, tokens that a task counts before it sends, and parts of the buckets when texts are scored.
-BUCKET, GATHER, PASSES = 8 << 20, 3_000_000, 3
+BUCKET, GATHER, PASSES = 8 << 20, 3_000_000, 2
 #: A context of more than a share of 1 / (SPLIT * buckets) of the tokens is split; one text in SAMPLE shows which.
 SPLIT, SAMPLE = 4, 64
 #: Customers of a dish up to which its tables are drawn from rows of Stirling numbers; beyond, from their ratios.
@@ -293,7 +293,7 @@ class Model:
 
 BLOCK = "bucket long, kind int, part long, a binary, b binary, c binary, d binary, e binary, x double, y double, z double"
 _NAMES = [c.split()[0] for c in BLOCK.split(", ")]
-PAIRS, MANY, SEATED, FIGURES, HASHES, TEXTS, WORDS, FEW, ASKED, SHARED, SUMS = range(11)
+PAIRS, MANY, SEATED, FIGURES, ASKED, HASHES, TEXTS, WORDS, FEW, SHARED, SUMS = range(11)
 
 
 def _block(bucket: int, kind: int, part: int = 0, *arrays: np.ndarray, sums: tuple[float, ...] = ()) -> tuple:
@@ -325,6 +325,16 @@ def _ints(blob: bytes, kind: str = "<i8") -> np.ndarray:
     return np.frombuffer(blob, kind)
 
 
+def _narrow(numbers: np.ndarray) -> np.ndarray:
+    """Whole numbers below 2 ** 31 in four bytes, others as floats in eight."""
+    whole = numbers.astype(np.int32)
+    return whole if (whole == numbers).all() else numbers.astype(float)
+
+
+def _widened(blob: bytes, n: int) -> np.ndarray:
+    return _ints(blob, "<i4" if len(blob) == 4 * n else "<f8").astype(float)
+
+
 def _cut_runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different values of a sorted array, and the border of each one's run."""
     new = np.ones(len(sorted_), bool)
@@ -418,7 +428,7 @@ def _counted(docs: DataFrame, layout: Layout) -> DataFrame:
             a, n = a[order], n[order]
             run = np.bincount(c, minlength=len(u))
             customers, one, more = (np.add.reduceat(x, _starts(run)) for x in (n, (n == 1).astype(np.int64), (n > 1).astype(np.int64)))
-            out = [_block(bucket, PAIRS, 0, u, run.astype(np.int32), a.astype(np.int32), n, asked, sums=((n == 1).sum(), (n == 2).sum(), len(n)))]
+            out = [_block(bucket, PAIRS, 0, u, run.astype(np.int32), a.astype(np.int32), n, sums=((n == 1).sum(), (n == 2).sum(), len(n)))]
             # pairs of several customers, with what their contexts have besides
             k, some = np.flatnonzero(n > 1), np.flatnonzero(more)
             few, place = np.unique(a[k], return_inverse=True)
@@ -442,7 +452,7 @@ def _questions(layout: Layout, bucket: int, kind: int, asked: np.ndarray, tables
         return []
     part, border = _cut_runs(layout.of_word(asked))
     cut = [(int(p), int(border[k]), int(border[k + 1])) for k, p in enumerate(part.tolist())]
-    return [_block(bucket, kind, p, asked[a:b], tables[a:b].astype(float), *(() if customers is None else (customers[a:b].astype(np.int64),))) for p, a, b in cut]
+    return [_block(bucket, kind, p, asked[a:b], _narrow(tables[a:b]), *(() if customers is None else (_narrow(customers[a:b]),))) for p, a, b in cut]
 
 
 def _split_totals(layout: Layout, bucket: int, u: np.ndarray, *totals: np.ndarray) -> list[tuple]:
@@ -479,13 +489,12 @@ def _words(blocks: list[DataFrame], model: Model | None, salt: int = 0, samples:
         for part, rows in _groups(batches, 2):
             found, _ = _kinds(rows, SUMS)
             out = []
-            few = [(r[0], _ints(r[3], "<u8"), _ints(r[4], "<f8")) for r in found.get(FEW, ())]
-            asked = [(r[0], _ints(r[3], "<u8")) for r in found.get(ASKED, ())]
+            few, asked = ([(r[0], _ints(r[3], "<u8"), _widened(r[4], len(r[3]) // 8), r[5]) for r in found.get(kind, ())] for kind in (FEW, ASKED))
             join = lambda x, c, t: np.concatenate([y[c] for y in x] or [np.zeros(0, t)])
             if m is None:
                 word, at = np.unique(join(asked, 1, np.uint64), return_inverse=True)
-                tables = np.bincount(at, np.concatenate([_ints(r[4], "<f8") for r in found[ASKED]]), len(word))
-                customers = np.bincount(at, np.concatenate([_ints(r[5]) for r in found[ASKED]]), len(word)).astype(np.int64)
+                tables = np.bincount(at, join(asked, 2, float), len(word))
+                customers = np.bincount(at, np.concatenate([_widened(x[3], len(x[1])) for x in asked]), len(word)).astype(np.int64)
                 own = (tables > 0).astype(float)
                 more = np.bincount(np.searchsorted(word, join(few, 1, np.uint64)), join(few, 2, float), len(word))
                 out.append(_block(-1, WORDS, part, word, tables - more, customers))
@@ -499,7 +508,7 @@ def _words(blocks: list[DataFrame], model: Model | None, salt: int = 0, samples:
                 own = sum(draw_tables(whole, weight, m.d0, stirling, _uniform(word, salt + k)).astype(float) for k in range(samples)) / samples
             for number, w, *_ in asked or few:
                 at = np.searchsorted(word, w)
-                out.append(_block(number, FIGURES, part, tables[at], own[at], customers[at]))
+                out.append(_block(number, FIGURES, part, tables[at], own[at], _narrow(customers[at])))
             out.append(_block(-1, SUMS, 0, sums=(tables.sum(), own.sum(), customers.sum())))
             out.append(_block(-1, SUMS, 1, sums=((customers > 0).sum(), (tables == 1).sum(), (tables == 2).sum())))
             yield _batch(out)
@@ -518,14 +527,15 @@ class Bucket:
     def __init__(self, rows: dict[int, list[tuple]], model: Model) -> None:
         self.model = model
         (pairs,) = rows[PAIRS] if PAIRS in rows else rows[MANY]
-        self.context, self.a, self.n, self.asked = _ints(pairs[3]), _ints(pairs[5], "<i4").astype(np.int64), _ints(pairs[6]), _ints(pairs[7], "<u8")
+        self.context, self.a, self.n, self.asked = _ints(pairs[3]), _ints(pairs[5], "<i4").astype(np.int64), _ints(pairs[6]), _ints(pairs[7] or b"", "<u8")
         if PAIRS in rows:
+            self.asked = np.concatenate([_ints(r[3], "<u8") for r in rows[ASKED]])
             self.run = _ints(pairs[4], "<i4").astype(np.int64)
             self.customers, self.one = np.add.reduceat(self.n, _starts(self.run)).astype(float), np.zeros(len(self.run))
         else:
             self.run, customers, one = _ints(pairs[4]).reshape(3, -1)
             self.customers, self.one = customers.astype(float), one.astype(float)
-        told = [np.concatenate([_ints(r[c], kind) for r in rows.get(FIGURES, ())] or [np.zeros(0)]) for c, kind in ((3, "<f8"), (4, "<f8"), (5, "<i8"))]
+        told = [np.concatenate([_widened(r[c], len(r[3]) // 8) for r in rows.get(FIGURES, ())] or [np.zeros(0)]) for c in (3, 4, 5)]
         self.p0, self.word_customers = model.parent(*told[:2]), told[2]
         self.of = np.repeat(np.arange(len(self.run)), self.run)
         self.many = np.flatnonzero(self.n > 1)
@@ -625,8 +635,8 @@ def train(docs: DataFrame) -> tuple[Model, dict[str, DataFrame]]:
 
 
 def _of_buckets(tables: dict[str, DataFrame]) -> DataFrame:
-    kinds = {"counts": PAIRS, "seated": SEATED, "figures": FIGURES}
-    return functools.reduce(DataFrame.unionByName, [tables[t].where(F.col("kind") == k) for t, k in kinds.items()])
+    kinds = {"counts": (PAIRS, ASKED), "seated": (SEATED,), "figures": (FIGURES,)}
+    return functools.reduce(DataFrame.unionByName, [tables[t].where(F.col("kind").isin(*k)) for t, k in kinds.items()])
 
 
 def _base(customers: np.ndarray, model: Model) -> np.ndarray:
