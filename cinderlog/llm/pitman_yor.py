@@ -49,7 +49,7 @@ from cinderlog.llm.common import drop_stash, release_shuffles, remainder, stash,
 #: Most pairs whose probabilities are broadcast.
 HEAD = 1 << 20
 #: Bytes of text for each bucket, tokens that a task counts before it sends, and parts of the buckets when texts are scored.
-BUCKET, GATHER, PASSES = 8 << 20, 3_000_000, 2
+BUCKET, GATHER, PASSES = 8 << 20, 3_000_000, 3
 #: A context of more than a share of 1 / (SPLIT * buckets) of the tokens is split; one text in SAMPLE shows which.
 SPLIT, SAMPLE = 4, 64
 #: Customers of a dish up to which its tables are drawn from rows of Stirling numbers; beyond, from their ratios.
@@ -293,7 +293,7 @@ class Model:
 
 BLOCK = "bucket long, kind int, part long, a binary, b binary, c binary, d binary, e binary, x double, y double, z double"
 _NAMES = [c.split()[0] for c in BLOCK.split(", ")]
-PAIRS, MANY, SEATED, FIGURES, ASKED, HASHES, TEXTS, WORDS, FEW, SHARED, SUMS = range(11)
+PAIRS, MANY, SEATED, FIGURES, ASKED, HASHES, TEXTS, WORDS, FEW, OF_FEW, SHARED, SUMS = range(12)
 
 
 def _block(bucket: int, kind: int, part: int = 0, *arrays: np.ndarray, sums: tuple[float, ...] = ()) -> tuple:
@@ -480,7 +480,7 @@ def _words(blocks: list[DataFrame], model: Model | None, salt: int = 0, samples:
     """Stored blocks: for each question the words' tables of all contexts, their own tables in the parent and customers; and sums.
 
     Without a model, at first, there are no draws: a word has one table of its own, and the words are kept with the tables
-    of their pairs of one customer. Questions of all words are answered where they are among the blocks, else those of FEW.
+    of their pairs of one customer. Questions of all words are answered where they are among the blocks, beside those of FEW.
     """
     shared = blocks[0].sparkSession.sparkContext.broadcast((model, _log_stirling(model.d0) if model else None))
 
@@ -506,9 +506,11 @@ def _words(blocks: list[DataFrame], model: Model | None, salt: int = 0, samples:
                 weight = np.full(len(word), (CONCENTRATION + m.d0 * m.own_0) * m.base)
                 whole = np.rint(tables).astype(np.int64)
                 own = sum(draw_tables(whole, weight, m.d0, stirling, _uniform(word, salt + k)).astype(float) for k in range(samples)) / samples
-            for number, w, *_ in asked or few:
-                at = np.searchsorted(word, w)
-                out.append(_block(number, FIGURES, part, tables[at], own[at], _narrow(customers[at])))
+            # at the end all are told, those of FEW apart
+            for kind, questions in ((FIGURES, asked), (OF_FEW, few)) if asked else ((FIGURES, few),):
+                for number, w, *_ in questions:
+                    at = np.searchsorted(word, w)
+                    out.append(_block(number, kind, part, tables[at], own[at], _narrow(customers[at])))
             out.append(_block(-1, SUMS, 0, sums=(tables.sum(), own.sum(), customers.sum())))
             out.append(_block(-1, SUMS, 1, sums=((customers > 0).sum(), (tables == 1).sum(), (tables == 2).sum())))
             yield _batch(out)
@@ -643,8 +645,10 @@ def _base(customers: np.ndarray, model: Model) -> np.ndarray:
     return np.log10((customers + 0.1) / (model.tokens + 0.1 * (model.words + 1)))
 
 
-def predictive(model: Model, tables: dict[str, DataFrame], least: int = 1) -> DataFrame:
-    """word, context, n, and the logarithms to 10 of the probability and of the base, of pairs met at least so often."""
+def predictive(model: Model, tables: dict[str, DataFrame], least: int = 2) -> DataFrame:
+    """word, context, n, and the logarithms to 10 of the probability and of the base, of pairs met at least so often (twice or more)."""
+    told = tables["figures"].where(F.col("kind") == OF_FEW).withColumn("kind", F.lit(FIGURES))
+    blocks = tables["counts"].where(F.col("kind") == MANY).unionByName(tables["seated"].where(F.col("kind") == SEATED)).unionByName(told)
     shared = tables["counts"].sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -656,7 +660,7 @@ def predictive(model: Model, tables: dict[str, DataFrame], least: int = 1) -> Da
             columns = [b.asked[b.a[k]].view(np.int64), b.context[b.of[k]], b.n[k], np.log10(b.probability()[k]), base[b.a[k]]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "context", "n", "p", "base"])
 
-    return _by(_of_buckets(tables), "bucket").mapInArrow(K.task(run), "word long, context long, n long, p double, base double")
+    return _by(blocks, "bucket").mapInArrow(K.task(run), "word long, context long, n long, p double, base double")
 
 
 def _least(counts: DataFrame, most: int) -> int:
@@ -691,6 +695,7 @@ def score(docs: DataFrame) -> DataFrame:
     head = predictive(model, tables, _least(tables["counts"], HEAD)).select("word", "context", "p", "base").toArrow().combine_chunks()
     pair = _pair(*(np.asarray(head[c].combine_chunks()) if head.num_rows else np.zeros(0, np.int64) for c in ("word", "context")))
     order = np.argsort(pair)
+    release_shuffles(spark)
     log_p, log_base = (np.asarray(head[c].combine_chunks())[order] if head.num_rows else np.zeros(0) for c in ("p", "base"))
     shared = spark.sparkContext.broadcast((model, Index(pair[order]), log_p, log_base))
     own = {"doc_id": docs.schema["doc_id"].dataType.simpleString()} | dict.fromkeys(("th", "n_tokens", "n_known"), "long") | dict.fromkeys(("base_score", "score"), "double")
