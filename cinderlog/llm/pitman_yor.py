@@ -220,17 +220,26 @@ def _find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Finds 64-bit hashes among sorted ones by their first bits, and then by a short walk."""
+    """Finds 64-bit hashes among sorted ones by their first bits, and then by a short walk; only the hashes travel."""
 
     def __init__(self, known: np.ndarray) -> None:
-        bits = max(1, min(24, int(np.log2(len(known) + 1)) + 2))
-        self.known, self.shift = known, np.uint64(64 - bits)
-        self.first = np.searchsorted(known >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.known = known
+
+    def __reduce__(self):
+        return Index, (self.known,)
+
+    @functools.cached_property
+    def _places(self) -> tuple[np.uint64, np.ndarray]:
+        """By how much a hash is shifted, and where its first bits begin."""
+        bits = max(1, min(24, int(np.log2(len(self.known) + 1)) + 2))
+        shift = np.uint64(64 - bits)
+        return shift, np.searchsorted(self.known >> shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, met = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        prefix = (keys >> self.shift).astype(np.int64)
-        low, high = self.first[prefix], self.first[prefix + 1]
+        shift, first = self._places
+        prefix = (keys >> shift).astype(np.int64)
+        low, high = first[prefix], first[prefix + 1]
         left = np.flatnonzero(low < high)
         low, high, wanted = low[left], high[left], keys[left]
         while len(left):
@@ -646,7 +655,7 @@ def _base(customers: np.ndarray, model: Model) -> np.ndarray:
 
 
 def predictive(model: Model, tables: dict[str, DataFrame], least: int = 2) -> DataFrame:
-    """word, context, n, and the logarithms to 10 of the probability and of the base, of pairs met at least so often (twice or more)."""
+    """word, context, n, the logarithm to 10 of the probability, and the word's customers, of pairs met at least so often (twice or more)."""
     told = tables["figures"].where(F.col("kind") == OF_FEW).withColumn("kind", F.lit(FIGURES))
     blocks = tables["counts"].where(F.col("kind") == MANY).unionByName(tables["seated"].where(F.col("kind") == SEATED)).unionByName(told)
     shared = tables["counts"].sparkSession.sparkContext.broadcast(model)
@@ -655,12 +664,11 @@ def predictive(model: Model, tables: dict[str, DataFrame], least: int = 2) -> Da
         for _, rows in _groups(batches, 0):
             found, _ = _kinds(rows)
             b = Bucket(found, shared.value)
-            base = _base(b.word_customers, shared.value)
             k = np.flatnonzero(b.n >= least)
-            columns = [b.asked[b.a[k]].view(np.int64), b.context[b.of[k]], b.n[k], np.log10(b.probability()[k]), base[b.a[k]]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "context", "n", "p", "base"])
+            columns = [b.asked[b.a[k]].view(np.int64), b.context[b.of[k]], b.n[k], np.log10(b.probability()[k]), b.word_customers[b.a[k]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "context", "n", "p", "customers"])
 
-    return _by(blocks, "bucket").mapInArrow(K.task(run), "word long, context long, n long, p double, base double")
+    return _by(blocks, "bucket").mapInArrow(K.task(run), "word long, context long, n long, p double, customers double")
 
 
 def _least(counts: DataFrame, most: int) -> int:
@@ -692,12 +700,12 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", "learn")
     model, tables = train(docs)
-    head = predictive(model, tables, _least(tables["counts"], HEAD)).select("word", "context", "p", "base").toArrow().combine_chunks()
+    head = predictive(model, tables, _least(tables["counts"], HEAD)).select("word", "context", "p", "customers").toArrow().combine_chunks()
     pair = _pair(*(np.asarray(head[c].combine_chunks()) if head.num_rows else np.zeros(0, np.int64) for c in ("word", "context")))
     order = np.argsort(pair)
     release_shuffles(spark)
-    log_p, log_base = (np.asarray(head[c].combine_chunks())[order] if head.num_rows else np.zeros(0) for c in ("p", "base"))
-    shared = spark.sparkContext.broadcast((model, Index(pair[order]), log_p, log_base))
+    log_p, customers = (np.asarray(head[c].combine_chunks())[order] if head.num_rows else np.zeros(0) for c in ("p", "customers"))
+    shared = spark.sparkContext.broadcast((model, Index(pair[order]), log_p, _narrow(customers)))
     own = {"doc_id": docs.schema["doc_id"].dataType.simpleString()} | dict.fromkeys(("th", "n_tokens", "n_known"), "long") | dict.fromkeys(("base_score", "score"), "double")
     own_schema = ", ".join(f"{c} {t}" for c, t in own.items())
     names = [*own, *_NAMES]
@@ -708,7 +716,8 @@ def score(docs: DataFrame) -> DataFrame:
 
     def send(part: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, keys, p, base = shared.value
+            m, keys, p, customers = shared.value
+            base = _base(customers, m)
             held: list[tuple[np.ndarray, ...]] = []
             seen: dict[int, int] = {}
             sources = itertools.count(TaskContext.get().partitionId() << 32)
@@ -830,6 +839,7 @@ def score(docs: DataFrame) -> DataFrame:
     out = stash(out, "scored")
     for gone in (*tables.values(), *found):
         drop_stash(gone)
+    shared.destroy()
     return out
 
 
