@@ -503,17 +503,21 @@ def _verified(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFra
                     ok[k + r] = _link(x[xb[r] : xb[r + 1]], y[yb[r] : yb[r + 1]], num, den)
             yield batch.select(["u", "v"]).filter(pa.array(ok))
 
+    # pairs and hubs are named by small rows: sets are shuffled only where a pair's two meet
+    n = pairs.count()
+    hubs = small(pairs.select(F.col("v").alias("sig")).distinct(), n, 16)
     first = known.select(F.col("sig").alias("u"), F.col("set").alias("a"))
-    second = known.select(F.col("sig").alias("v"), F.col("set").alias("b"))
-    return pairs.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(K.task(linked), "u long, v long")
+    second = known.join(hubs, "sig", "left_semi").select(F.col("sig").alias("v"), F.col("set").alias("b"))
+    return first.join(small(pairs, n, 24), "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(K.task(linked), "u long, v long")
 
 
 def _known(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """Stored: sig, n, point and set (sorted hashes) of the classes, from one text of each."""
-    chosen = stash(sets.where("n > 0").join(classes, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("sig", "r.*"), "chosen")
+    one = sets.where("n > 0").join(classes, "sig", "left_semi").groupBy("sig", "doc_id", "th").agg(F.count("*").alias("times"))
+    chosen = stash(one.groupBy("sig").agg(F.min(F.struct("doc_id", "th", "times")).alias("r")).select("sig", "r.*"), "chosen")
     row = small(chosen, chosen.count(), 48)
     plain = docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text")
-    texts = plain.join(row, plain["doc_id"].eqNullSafe(row["doc_id"]) & (plain["th"] == row["th"])).select("sig", "text")
+    texts = plain.join(row, plain["doc_id"].eqNullSafe(row["doc_id"]) & (plain["th"] == row["th"])).select("sig", "times", "text")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -522,11 +526,15 @@ def _known(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int) -> D
                 found = shingles(*K.cut(data, off, a, b), size)
                 size_of = pa.array([len(x) for x in found], pa.int64())
                 point = pa.array([packed(points(x, np.array([0, len(x)]))[0]) for x in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("sig")[a:b], size_of, point, pa.array([x.tobytes() for x in found], pa.binary())], names=["sig", "n", "point", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column("sig")[a:b], batch.column("times")[a:b], size_of, point, pa.array([x.tobytes() for x in found], pa.binary())], names=["sig", "times", "n", "point", "set"])
 
-    known = stash(texts.mapInArrow(K.task(made), "sig long, n long, point binary, set binary").dropDuplicates(["sig"]), "classes")
+    known = stash(texts.mapInArrow(K.task(made), "sig long, times long, n long, point binary, set binary"), "classes")
     drop_stash(chosen)
-    return known
+    # only a row that is repeated in docs gives its class more than once
+    again = known.where("times > 1")
+    if not again.isEmpty():
+        known = known.where("times = 1").unionByName(again.dropDuplicates(["sig"]))
+    return known.drop("times")
 
 
 def _mixed(labelled: DataFrame) -> DataFrame:
@@ -566,20 +574,23 @@ def link(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = WORDS) ->
 
     hubs = members.groupBy("key").agg(F.max(F.struct("cells", "sig")).alias("hub"))
     stars = members.join(hubs, "key").where("sig <> hub.sig").groupBy("sig").agg(F.max("hub").alias("hub"))
-    stars = stars.select(F.col("sig").alias("u"), F.col("hub.sig").alias("v"))
+    stars = stash(stars.select(F.col("sig").alias("u"), F.col("hub.sig").alias("v")), "stars")
+    release_shuffles(spark)
     first = stash(_verified(stars, known, num, den), "links")
     label = stash(components(first), "labels")
+    release_shuffles(spark)
 
     labelled = members.join(label, F.col("sig") == F.col("node"), "left").select("key", "sig", F.coalesce("label", "sig").alias("label"))
     near = stash(_candidates(_tiles(_mixed(labelled), known, "n", "point"), num, den).distinct(), "near")
     drop_stash(members)
+    release_shuffles(spark)
     # sets come once to the component of links and candidates, and only where it still holds several labels
     around = components(first.unionByName(near))
     labelled = around.select(F.col("label").alias("key"), F.col("node").alias("sig")).join(label, F.col("sig") == F.col("node"), "left").select("key", "sig", F.coalesce("label", "sig").alias("label"))
     second = stash(_trees(_tiles(_mixed(labelled), known, "set"), num, den), "links")
     every = components(first.unionByName(second))
     release_shuffles(spark)
-    for gone in (known, label, first, near, second):
+    for gone in (known, label, stars, first, near, second):
         drop_stash(gone)
     return sets, stash(every, "components")
 
