@@ -36,7 +36,7 @@ from cinderlog.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text whose words are replayed together.
-BLOCK = 32 << 20
+BLOCK = 8 << 20
 #: Characters from which a text is cut match by match, without a list of all its matches.
 LONG = 4 << 20
 #: Bytes of a word beyond which it is merged by a heap of its own.

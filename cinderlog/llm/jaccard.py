@@ -54,7 +54,7 @@ SEEDS = 3
 #: Largest over least size in a window.
 WINDOW = 1.5
 #: Keys that a task gathers before it looks for shared ones.
-GATHERED = 1 << 20
+GATHERED = 1 << 19
 
 
 def shingles(data: np.ndarray, off: np.ndarray, size: int = WORDS) -> list[np.ndarray]:
@@ -242,6 +242,7 @@ def _sets(docs: DataFrame, num: int, den: int, size: int) -> DataFrame:
                 if held >= GATHERED:
                     yield from leave(ids)
                     key, sig, held, seen = [], [], 0, set()
+                    K.release()
         if key:
             yield from leave(ids)
 
