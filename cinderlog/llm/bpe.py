@@ -19,7 +19,7 @@ columns are kept by encode() and not read by the query.
 from __future__ import annotations
 
 import base64
-import functools
+import bisect
 import hashlib
 import heapq
 from collections import defaultdict
@@ -81,10 +81,11 @@ class Ranks:
             bool((inner < np.array(merged, np.int64)).all()) if keys else True,
         )
 
-    @functools.cached_property
-    def table(self) -> dict[int, int]:
-        """Merged ids by key."""
-        return dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist(), strict=True))
+    def one(self, left: int, right: int) -> int | None:
+        """The merged id of one pair, by bisection of what all pairs share: a table of its own would stay with every worker."""
+        key = left << 32 | right
+        at = bisect.bisect_left(self.pair_keys, key)
+        return int(self.pair_ranks[at]) if at < len(self.pair_keys) and self.pair_keys[at] == key else None
 
     @classmethod
     def read(cls, path: str) -> Ranks:
@@ -102,13 +103,12 @@ class Ranks:
 
 def _merged(ranks: Ranks, word: bytes) -> list[int]:
     """Ids of one word: places wait in a heap by rank, the leftmost first, and only touched neighbours enter anew."""
-    table = ranks.table
-    symbol = ranks.single[np.frombuffer(word, np.uint8)].tolist()
-    n = len(symbol)
-    if n and min(symbol) < 0:
+    single = ranks.single[np.frombuffer(word, np.uint8)]
+    if len(single) and single.min() < 0:
         raise ValueError("a byte has no rank of its own")
+    symbol, n = single.tolist(), len(single)
     after, before = [*range(1, n), -1], list(range(-1, n - 1))
-    rank = [table.get(a << 32 | b) for a, b in zip(symbol, symbol[1:], strict=False)] + [None]
+    rank = [None if r == NONE else r for r in ranks.rank(single[:-1], single[1:]).tolist()] + [None]
     queue = [r << 32 | i for i, r in enumerate(rank) if r is not None]
     heapq.heapify(queue)
     while queue:
@@ -125,7 +125,7 @@ def _merged(ranks: Ranks, word: bytes) -> list[int]:
             if a < 0:
                 continue
             b = after[a]
-            rank[a] = x = table.get(symbol[a] << 32 | symbol[b]) if b >= 0 else None
+            rank[a] = x = ranks.one(symbol[a], symbol[b]) if b >= 0 else None
             if x is not None:
                 heapq.heappush(queue, x << 32 | a)
     return [x for x in symbol if x >= 0]
