@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlog.llm import kernels as K
-from cinderlog.llm.common import drop_stash, release_shuffles, small, stash, table, text_hash
+from cinderlog.llm.common import arrow_rows, drop_stash, release_shuffles, small, stash, table, text_hash
 from cinderlog.llm.components import components
 
 WORDS = 4
@@ -53,6 +53,8 @@ LEAF, CHUNK = 16, 1 << 19
 SEEDS = 3
 #: Largest over least size in a window.
 WINDOW = 1.5
+#: Rows of texts or sets that a task gets at once.
+SENT = 1000
 #: Keys that a task gathers before it looks for shared ones.
 GATHERED = 1 << 19
 
@@ -560,6 +562,11 @@ def _tiles(rows: DataFrame, known: DataFrame, *columns: str) -> DataFrame:
 
 def link(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """The stored sets of all rows, and (node, label) of every class that links with a different one."""
+    with arrow_rows(docs.sparkSession, SENT):
+        return _joined(docs, num, den, size)
+
+
+def _joined(docs: DataFrame, num: int, den: int, size: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     found = _sets(docs, num, den, size)
     release_shuffles(spark)
