@@ -67,9 +67,15 @@ def drop_stash(df: DataFrame) -> None:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files that no plan refers to any more, instead of when the driver happens to collect its garbage."""
+    """Lets Spark delete the shuffle files that no plan refers to any more, instead of when the driver happens to collect its garbage.
+
+    The driver's JVM and Python also give back what they have freed.
+    """
+    from cinderlog.llm import kernels
+
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    kernels.release()
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

@@ -13,7 +13,8 @@ hash, as many as it may lack and one more). So no set is keyed by an empty block
 
 Keys travel to their bucket in one shuffle; those that several sets of a batch share are found before it, and a hot key
 comes once from each batch. Equal sets are one class. In each cell the class that shares most cells is the hub; each
-class is first compared with its best hub, by the bound and then by the exact sets, which joins groups of near copies by a star. Cells that still
+class is first compared with its best hub, by the bound and then by the exact sets, which joins groups of near copies by a star.
+Sets are larger than their texts, so points are stored for all classes but sets only for those that the bound leaves. Cells that still
 hold several components are indexed by an R-tree of their points (beyond CHUNK shingles, by pairs of parts; up to LEAF
 points are a leaf of their own), whose nodes are cut by the bound; of the pairs that survive the task returns a forest,
 less than one a member. A component of links and these candidates holds whatever its members may link with. Where it is
@@ -55,6 +56,8 @@ SEEDS = 3
 WINDOW = 1.5
 #: Keys that a task gathers before it looks for shared ones.
 GATHERED = 1 << 19
+#: Bytes of the pairs whose sets are compared in a round; below what may be broadcast.
+ROUND_BYTES = 40 << 20
 
 
 def shingles(data: np.ndarray, off: np.ndarray, size: int = WORDS) -> list[np.ndarray]:
@@ -487,8 +490,30 @@ def _trees(tiles: DataFrame, num: int, den: int) -> DataFrame:
     return tiles.mapInArrow(K.task(joined), "u long, v long")
 
 
-def _verified(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) of classes that link: those within the bound by summed coordinate minima, by their exact sets."""
+def _within(pairs: DataFrame, bounds: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) of classes whose summed coordinate minima reach what a link needs."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.zeros(batch.num_rows, bool)
+            for k in range(0, batch.num_rows, 4096):
+                part = batch[k : k + 4096]
+                a, b = (unpacked(part.column(c).to_pylist()) for c in ("a", "b"))
+                n, m = _flat(part, "n", "m")
+                ok[k : k + 4096] = np.minimum(a, b).sum(1, dtype=np.int64) >= needed(n, m, num, den)
+            yield batch.select(["u", "v"]).filter(pa.array(ok))
+
+    first = bounds.select(F.col("sig").alias("u"), "n", F.col("point").alias("a"))
+    second = bounds.select(F.col("sig").alias("v"), F.col("n").alias("m"), F.col("point").alias("b"))
+    return pairs.join(first, "u").join(second, "v").select("u", "v", "n", "m", "a", "b").mapInArrow(K.task(kept), "u long, v long")
+
+
+def _verified(pairs: DataFrame, exact: DataFrame, num: int, den: int) -> DataFrame:
+    """Stored: the pairs (u, v) of classes that link by their exact sets.
+
+    Goes in as many rounds as it takes for a round's pairs to be small enough to be broadcast: so sets are shuffled only
+    where a pair's two meet, at most once each, and a round's shuffles go before the next.
+    """
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -499,23 +524,32 @@ def _verified(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFra
                     data, off = K.buffers(batch.column(c)[k : k + 256])
                     flat.append((np.frombuffer(data[off[0] : off[-1]].tobytes(), np.uint64), (off - off[0]) // 8))
                 (x, xb), (y, yb) = flat
-                bound = np.minimum(points(x, xb), points(y, yb)).sum(1) >= needed(np.diff(xb), np.diff(yb), num, den)
-                for r in np.flatnonzero(bound).tolist():
+                for r in range(len(xb) - 1):
                     ok[k + r] = _link(x[xb[r] : xb[r + 1]], y[yb[r] : yb[r + 1]], num, den)
             yield batch.select(["u", "v"]).filter(pa.array(ok))
 
-    # pairs and hubs are named by small rows: sets are shuffled only where a pair's two meet
-    n = pairs.count()
-    hubs = small(pairs.select(F.col("v").alias("sig")).distinct(), n, 16)
-    first = known.select(F.col("sig").alias("u"), F.col("set").alias("a"))
-    second = known.join(hubs, "sig", "left_semi").select(F.col("sig").alias("v"), F.col("set").alias("b"))
-    return first.join(small(pairs, n, 24), "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(K.task(linked), "u long, v long")
+    first = exact.select(F.col("sig").alias("u"), F.col("set").alias("a"))
+    rounds, out = max(1, -(-pairs.count() * 24 // max(1, ROUND_BYTES))), None
+    for k in range(rounds):
+        some = stash(pairs.where(F.pmod(F.xxhash64("v"), F.lit(rounds)) == k), "pairs") if rounds > 1 else pairs
+        n = some.count()
+        second = exact.join(small(some.select(F.col("v").alias("sig")).distinct(), n, 16), "sig", "left_semi").select(F.col("sig").alias("v"), F.col("set").alias("b"))
+        found = stash(first.join(small(some, n, 24), "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(K.task(linked), "u long, v long"), "links")
+        out = found if out is None else out.unionByName(found)
+        if rounds > 1:
+            drop_stash(some)
+        release_shuffles(pairs.sparkSession)
+    return out
 
 
-def _known(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """Stored: sig, n, point and set (sorted hashes) of the classes, from one text of each."""
+def _chosen(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Stored: one text (doc_id, th) of each class (sig), and the times that docs has it."""
     one = sets.where("n > 0").join(classes, "sig", "left_semi").groupBy("sig", "doc_id", "th").agg(F.count("*").alias("times"))
-    chosen = stash(one.groupBy("sig").agg(F.min(F.struct("doc_id", "th", "times")).alias("r")).select("sig", "r.*"), "chosen")
+    return stash(one.groupBy("sig").agg(F.min(F.struct("doc_id", "th", "times")).alias("r")).select("sig", "r.*"), "chosen")
+
+
+def _read(docs: DataFrame, chosen: DataFrame, size: int, exact: bool) -> DataFrame:
+    """Stored, from the chosen texts: sig, n and point of each class, or if exact its sig and set (sorted hashes)."""
     row = small(chosen, chosen.count(), 48)
     plain = docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text")
     texts = plain.join(row, plain["doc_id"].eqNullSafe(row["doc_id"]) & (plain["th"] == row["th"])).select("sig", "times", "text")
@@ -525,12 +559,14 @@ def _known(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int) -> D
             data, off = K.buffers(batch.column("text"))
             for a, b in K.slices(off):
                 found = shingles(*K.cut(data, off, a, b), size)
-                size_of = pa.array([len(x) for x in found], pa.int64())
-                point = pa.array([packed(points(x, np.array([0, len(x)]))[0]) for x in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("sig")[a:b], batch.column("times")[a:b], size_of, point, pa.array([x.tobytes() for x in found], pa.binary())], names=["sig", "times", "n", "point", "set"])
+                ids = [batch.column("sig")[a:b], batch.column("times")[a:b]]
+                if exact:
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array([x.tobytes() for x in found], pa.binary())], names=["sig", "times", "set"])
+                else:
+                    point = pa.array([packed(points(x, np.array([0, len(x)]))[0]) for x in found], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array([len(x) for x in found], pa.int64()), point], names=["sig", "times", "n", "point"])
 
-    known = stash(texts.mapInArrow(K.task(made), "sig long, times long, n long, point binary, set binary"), "classes")
-    drop_stash(chosen)
+    known = stash(texts.mapInArrow(K.task(made), "sig long, times long, " + ("set binary" if exact else "n long, point binary")), "sets-of-classes" if exact else "points")
     # only a row that is repeated in docs gives its class more than once
     again = known.where("times > 1")
     if not again.isEmpty():
@@ -538,18 +574,26 @@ def _known(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int) -> D
     return known.drop("times")
 
 
+def _exact(docs: DataFrame, chosen: DataFrame, sigs: DataFrame, size: int) -> DataFrame:
+    """Stored: sig and set of some classes only, as sets are larger than their texts."""
+    some = stash(chosen.join(sigs, "sig", "left_semi"), "chosen")
+    found = _read(docs, some, size, True)
+    drop_stash(some)
+    return found
+
+
 def _mixed(labelled: DataFrame) -> DataFrame:
     """The rows (key, sig, label) of keys that hold several labels."""
     several = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
     return labelled.join(several, "key")
 
 
-def _tiles(rows: DataFrame, known: DataFrame, *columns: str) -> DataFrame:
-    """Rows (key, sig, label) dealt to tiles (key, i, j), with the side in the tile and columns of the class; sorted by tile.
+def _tiles(rows: DataFrame, bounds: DataFrame, known: DataFrame, *columns: str) -> DataFrame:
+    """Rows (key, sig, label) dealt to tiles (key, i, j), with the side in the tile and columns of the class as known; sorted by tile.
 
     Beyond CHUNK shingles (of at least GROUPS each row) a key is cut into parts, and each pair of those is a tile.
     """
-    left = stash(rows.join(known.select("sig", "n"), "sig"), "mixed")
+    left = stash(rows.join(bounds.select("sig", "n"), "sig"), "mixed")
     parts = left.groupBy("key").agg(F.ceil(F.sum(F.greatest(F.col("n"), F.lit(GROUPS))) / CHUNK).cast("int").alias("parts"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     dealt = left.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("sig", "key"), F.col("parts")).cast("int")).select("key", "sig", "label", "part", other)
@@ -570,28 +614,42 @@ def link(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = WORDS) ->
     # cells of the same classes are one
     kept = per_cell.groupBy("size", "s", "x").agg(F.min("key").alias("key")).select("key")
     members = stash(raw.join(kept, "key").join(popular, "sig").select("key", "sig", "cells"), "members")
-    known = _known(docs, sets, members.select("sig").distinct(), size)
+    chosen = _chosen(sets, members.select("sig").distinct())
     drop_stash(raw)
+    release_shuffles(spark)
+    bounds = _read(docs, chosen, size, False)
+    release_shuffles(spark)
 
     hubs = members.groupBy("key").agg(F.max(F.struct("cells", "sig")).alias("hub"))
     stars = members.join(hubs, "key").where("sig <> hub.sig").groupBy("sig").agg(F.max("hub").alias("hub"))
-    stars = stash(stars.select(F.col("sig").alias("u"), F.col("hub.sig").alias("v")), "stars")
+    # only pairs within the bound need their sets
+    stars = stash(_within(stars.select(F.col("sig").alias("u"), F.col("hub.sig").alias("v")), bounds, num, den), "stars")
+    release_shuffles(spark)
+    exact = _exact(docs, chosen, stars.select(F.col("u").alias("sig")).union(stars.select("v")).distinct(), size)
     release_shuffles(spark)
-    first = stash(_verified(stars, known, num, den), "links")
+    first = _verified(stars, exact, num, den)
+    drop_stash(exact)
+    drop_stash(stars)
     label = stash(components(first), "labels")
     release_shuffles(spark)
 
     labelled = members.join(label, F.col("sig") == F.col("node"), "left").select("key", "sig", F.coalesce("label", "sig").alias("label"))
-    near = stash(_candidates(_tiles(_mixed(labelled), known, "n", "point"), num, den).distinct(), "near")
+    near = stash(_candidates(_tiles(_mixed(labelled), bounds, bounds, "n", "point"), num, den).distinct(), "near")
     drop_stash(members)
     release_shuffles(spark)
     # sets come once to the component of links and candidates, and only where it still holds several labels
     around = components(first.unionByName(near))
     labelled = around.select(F.col("label").alias("key"), F.col("node").alias("sig")).join(label, F.col("sig") == F.col("node"), "left").select("key", "sig", F.coalesce("label", "sig").alias("label"))
-    second = stash(_trees(_tiles(_mixed(labelled), known, "set"), num, den), "links")
+    several = stash(_mixed(labelled), "several")
+    release_shuffles(spark)
+    exact = _exact(docs, chosen, several.select("sig").distinct(), size)
+    release_shuffles(spark)
+    second = stash(_trees(_tiles(several, bounds, exact, "set"), num, den), "links")
+    drop_stash(exact)
+    release_shuffles(spark)
     every = components(first.unionByName(second))
     release_shuffles(spark)
-    for gone in (known, label, stars, first, near, second):
+    for gone in (chosen, bounds, label, first, near, several, second):
         drop_stash(gone)
     return sets, stash(every, "components")
 

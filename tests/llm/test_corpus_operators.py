@@ -191,6 +191,32 @@ def test_join_without_broadcasts_by_text_ids_and_other_thresholds(spark, monkeyp
     assert [r["component_id"] for r in J.join(docs_frame(spark, texts), 80, 100, 5).orderBy("doc_id").collect()] == root
 
 
+def test_sets_are_stored_only_for_classes_within_the_bound(spark, monkeypatch):
+    words = [f"w{i}" for i in range(100)]
+    # half alike, so they share cells but can't link; the last two link
+    texts = [" ".join(words[:70] + [f"x{k}_{i}" for i in range(30)]) for k in range(8)] + [" ".join([f"y{i}" for i in range(120)] + [e]) for e in "ab"]
+    stored, stash = {"set": 0, "point": 0}, J.stash
+
+    def counted(df, name, *rest):
+        out = stash(df, name, *rest)
+        for c in stored:
+            stored[c] += out.count() if c in out.columns else 0
+        return out
+
+    monkeypatch.setattr(J, "stash", counted)
+    rows = J.join(docs_frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in rows] == [*range(8), 8, 8]
+    assert stored["point"] > 2 and stored["set"] == 2
+
+
+def test_exact_sets_are_compared_in_rounds(spark, monkeypatch):
+    texts = corpus(6)
+    plain = {r["doc_id"]: r["component_id"] for r in J.join(docs_frame(spark, texts)).collect()}
+    monkeypatch.setattr(J, "ROUND_BYTES", 200)
+    assert {r["doc_id"]: r["component_id"] for r in J.join(docs_frame(spark, texts)).collect()} == plain
+    assert len(set(plain.values())) < len(plain)
+
+
 def test_rtree_finds_all_pairs_of_the_bound():
     r = np.random.default_rng(4)
     base = r.integers(0, 4, (30, J.GROUPS))
