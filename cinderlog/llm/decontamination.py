@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinderlog.llm.common import let, lower_ascii, small, stash, table, text_hash
+from cinderlog.llm.common import let, lower_ascii, release_shuffles, small, stash, table, text_hash
 
 WINDOW = 13
 #: How many of a window's rarest terms are intersected before all of its words are.
@@ -84,6 +84,7 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     terms = stash(places.select("word").distinct().select("word", F.monotonically_increasing_id().alias("term")), "terms")
     n_terms, n_windows = terms.count(), windows.count()
     index = index_of(docs, terms, n_terms)
+    release_shuffles(docs.sparkSession)
     often = index.groupBy("term").agg(F.count("*").alias("n"))
     order = Window.partitionBy("win").orderBy(F.coalesce("n", F.lit(0)), "off")
     ranked = places.join(terms, "word").join(often, "term", "left").withColumn("rank", F.row_number().over(order)).select("win", "len", "off", "term", "rank")
@@ -98,6 +99,7 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
         short = found.where(F.col("len") < k)
         found = _at(found.where(F.col("len") >= k), few, term_k, n_windows).select("doc_id", "th", "win", "start", "len").unionByName(short.select("doc_id", "th", "win", "start", "len"))
     found = stash(found.distinct(), "candidates")
+    release_shuffles(docs.sparkSession)
     hot = stash(found.select(*KEY).distinct(), "candidate-documents")
     n_hot = hot.count()
     of_hot = small(hot, n_hot, 40)
@@ -140,6 +142,7 @@ def _marks(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     """Stored: hit words and items of the documents that have any."""
     places, windows = phrase_matches(docs.select("doc_id", "text"), benchmark, size)
     places = stash(places, "matches")
+    release_shuffles(docs.sparkSession)
     hit = places.select(*KEY, "pos").distinct().groupBy(*KEY).agg(F.count("*").alias("n_hit"))
     items = places.select(*KEY, "win").distinct().join(windows.select("win", "items"), "win").select(*KEY, F.explode("items").alias("item"))
     items = items.groupBy(*KEY).agg(F.sort_array(F.collect_set("item")).alias("items"))
@@ -154,6 +157,7 @@ def _verdict(n_hit: Column, n_words: Column) -> Column:
 def contaminated_keys(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """Stored: (doc_id, th) of the contaminated documents."""
     marks = _marks(docs, benchmark, size).select("doc_id", "th", "n_hit")
+    release_shuffles(docs.sparkSession)
     marks = small(marks, marks.count(), 40)
     base = docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text")
     hit = base.join(marks, _same_document(base, marks)).select(base["doc_id"], base["th"], "n_hit", word_count(F.col("text")).alias("n_words"))

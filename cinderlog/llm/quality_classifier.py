@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlog.llm import kernels as K
-from cinderlog.llm.common import labelled_sample, remainder, table
+from cinderlog.llm.common import labelled_sample, release_shuffles, remainder, table
 
 BITS = 18
 SAMPLE = 6_000
@@ -90,7 +90,15 @@ def train(border: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE, bits: int = BITS) -> tuple[np.ndarray, float]:
-    """Learns quality from a bounded sample; executors hash the texts, the driver gets feature numbers and values."""
+    """Learns quality from a bounded sample; the driver's memory for it is given back afterwards."""
+    try:
+        return _fit(docs, labels, learn, rows, bits)
+    finally:
+        release_shuffles(docs.sparkSession)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int, bits: int) -> tuple[np.ndarray, float]:
+    """Executors hash the texts, the driver gets feature numbers and values."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
