@@ -38,9 +38,11 @@ MORE_FAULTS: Faults = {
     12: ("attribute 'k' must be a string, number, or boolean", lambda e: e | {"attributes": '{"k": {"a": 1}}'}),
 }
 PER_REQUEST = 50
+#: Entries of a request that has a file of its own: some 200 kB, whatever the number of events is.
+PER_FILE = 1000
 
 
-def request_bodies(spark: SparkSession, sf_dir: str, faults: Faults = FAULTS, modulus: int = 10) -> DataFrame:
+def request_bodies(spark: SparkSession, sf_dir: str, faults: Faults = FAULTS, modulus: int = 10, per_request: int = PER_REQUEST) -> DataFrame:
     """Requests (request_id, body) made of the events, with their faults."""
     logs = events.logs(spark, sf_dir)
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
@@ -64,7 +66,12 @@ def request_bodies(spark: SparkSession, sf_dir: str, faults: Faults = FAULTS, mo
         entry = F.when(F.col("id") % modulus == k, text(fault(dict(whole)))).otherwise(entry)
     order = F.sort_array(F.collect_list(F.struct("id", entry.alias("entry"))))
     body = F.concat(F.lit('{"logs": ['), F.array_join(F.transform(order, lambda e: e["entry"]), ", "), F.lit("]}"))
-    return logs.groupBy(F.floor(F.col("id") / PER_REQUEST).cast("long").alias("request_id")).agg(body.alias("body"))
+    return logs.groupBy(F.floor(F.col("id") / per_request).cast("long").alias("request_id")).agg(body.alias("body"))
+
+
+def body_files(spark: SparkSession, sf_dir: str, to: str) -> None:
+    """Writes requests made of the events, each as a file of its own."""
+    request_bodies(spark, sf_dir, per_request=PER_FILE).select("body").write.option("maxRecordsPerFile", 1).text(to)
 
 
 def one_body_a_file(spark: SparkSession, lines: str, to: str) -> None:

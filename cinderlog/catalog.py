@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlog import catalog_service  # noqa: F401  registers its queries
-from cinderlog.bodies import FAULTS, PER_REQUEST, one_body_a_file, request_bodies
+from cinderlog.bodies import FAULTS, PER_REQUEST, body_files, request_bodies
 from cinderlog.functions.buckets import day_of
 from cinderlog.functions.percentiles import nearest_ranks
 from cinderlog.model import Filters, Position
@@ -389,10 +389,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_rollup", LOGS + "SELECT date_trunc('minute', date_trunc('millisecond', timestamp)) AS bucket, service, level, count(*) AS count FROM logs WHERE id % 10 >= 8 GROUP BY ALL")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch(spark, "stream")
-    request_bodies(spark, sf_dir).select("body").repartition(8).write.option("lineSep", "\n").text(f"{base}/lines")
-    # a body a file: here each file holds several, cut apart again by line
     store = Store(spark, f"{base}/store")
-    one_body_a_file(spark, f"{base}/lines", f"{base}/in")
+    body_files(spark, sf_dir, f"{base}/in")
     ingest(spark, f"{base}/in", store, f"{base}/checkpoint", lambda: micros_of(MONTH[1])).awaitTermination()
     return rollup.merge(store.counters("rollup_1m"))
 

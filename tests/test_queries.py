@@ -48,6 +48,17 @@ def test_query(spark, duck, name):
         assert got
 
 
+@pytest.mark.parametrize("name", ["stream_rollup"])
+def test_streams_of_more_than_a_few_bodies_hold(spark, duck, monkeypatch, name):
+    from cinderlog import bodies
+    from cinderlog.operators import validate
+
+    # eight bodies of all events would be beyond this limit
+    monkeypatch.setattr(validate, "MAX_BODY_BYTES", 15_000)
+    monkeypatch.setattr(bodies, "PER_FILE", 50, raising=False)
+    test_query(spark, duck, name)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.QUERIES) <= set(entry.queries())
