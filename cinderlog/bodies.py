@@ -74,8 +74,7 @@ def body_files(spark: SparkSession, sf_dir: str, to: str) -> None:
     request_bodies(spark, sf_dir, per_request=PER_FILE).select("body").write.option("maxRecordsPerFile", 1).text(to)
 
 
-def one_body_a_file(spark: SparkSession, lines: str, to: str) -> None:
-    """Merges the requests of each file into one body, as a file is one request."""
-    bodies = spark.read.text(lines).select(F.regexp_extract("value", r"^\{\"logs\": \[(.*)\]\}$", 1).alias("inner"), F.pmod(F.xxhash64("value"), F.lit(8)).alias("part"))
-    whole = bodies.groupBy("part").agg(F.concat(F.lit('{"logs": ['), F.array_join(F.sort_array(F.collect_list("inner")), ", "), F.lit("]}")).alias("value"))
-    whole.repartition(8, "part").select("value").write.option("maxRecordsPerFile", 1).text(to)
+def line_files(spark: SparkSession, sf_dir: str, to: str, files: int) -> None:
+    """Writes requests made of the events, one a line, to so many files."""
+    part = F.pmod("request_id", F.lit(files)).alias("part")
+    request_bodies(spark, sf_dir).select(part, "body").repartition("part").write.partitionBy("part").text(to)

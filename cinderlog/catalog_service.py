@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinderlog.bodies import MORE_FAULTS, one_body_a_file, request_bodies
+from cinderlog.bodies import MORE_FAULTS, line_files, request_bodies
 from cinderlog.model import MAX_BODY_BYTES, BadRequest, Filters
 from cinderlog.operators import aggregate, metrics, rollup, search, validate
 from cinderlog.operators.cursor import decode
@@ -325,10 +325,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_limited", LOGS + "SELECT CAST(4 AS BIGINT) AS triggers, CAST(2 AS BIGINT) AS most, count(*) FILTER (id % 10 >= 8) AS accepted FROM logs")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight requests, two a trigger: the others wait in their folder."""
+    """Eight files of requests, two a trigger: the others wait in their folder."""
     base = scratch(spark, "stream")
-    request_bodies(spark, sf_dir).select("body").repartition(8).write.option("lineSep", "\n").text(f"{base}/lines")
-    one_body_a_file(spark, f"{base}/lines", f"{base}/in")
-    ingest(spark, f"{base}/in", Store(spark, f"{base}/store"), f"{base}/checkpoint", lambda: micros_of(MONTH[1]), f"{base}/answers", 2).awaitTermination()
-    answers = spark.read.option("basePath", f"{base}/answers").json(f"{base}/answers").groupBy("batch").agg(F.count("*").alias("n"), F.sum("accepted").alias("accepted"))
+    line_files(spark, sf_dir, f"{base}/in", 8)
+    ingest(spark, f"{base}/in", Store(spark, f"{base}/store"), f"{base}/checkpoint", lambda: micros_of(MONTH[1]), f"{base}/answers", 2, lines=True).awaitTermination()
+    answers = spark.read.option("basePath", f"{base}/answers").json(f"{base}/answers")
+    answers = answers.groupBy("batch").agg(F.count_distinct(F.substring_index("request_id", "#", 1)).alias("n"), F.sum("accepted").alias("accepted"))
     return answers.agg(F.count("*").alias("triggers"), F.max("n").alias("most"), F.sum("accepted").alias("accepted"))

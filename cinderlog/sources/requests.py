@@ -14,12 +14,16 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("request_id"), F.col("value").alias("body"))
 
 
-def stream_bodies(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.format("text").option("wholetext", "true")
+def stream_bodies(spark: SparkSession, path: str, files_per_trigger: int | None = None, lines: bool = False) -> DataFrame:
+    """(request_id, body) of the files, or (file, block, body) of their lines: block is where the part of the file begins that the line was read with."""
+    reader = spark.readStream.format("text").option("wholetext", str(not lines).lower())
     if files_per_trigger:
         # what isn't read yet waits in the folder: this is the limit on work in flight
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(path).select(F.col("_metadata.file_path").alias("request_id"), F.col("value").alias("body"))
+    found = reader.load(path)
+    if lines:
+        return found.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("body"))
+    return found.select(F.col("_metadata.file_path").alias("request_id"), F.col("value").alias("body"))
 
 
 def as_json(table: DataFrame) -> DataFrame:

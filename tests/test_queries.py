@@ -48,7 +48,7 @@ def test_query(spark, duck, name):
         assert got
 
 
-@pytest.mark.parametrize("name", ["stream_rollup"])
+@pytest.mark.parametrize("name", ["stream_rollup", "stream_limited"])
 def test_streams_of_more_than_a_few_bodies_hold(spark, duck, monkeypatch, name):
     from cinderlog import bodies
     from cinderlog.operators import validate

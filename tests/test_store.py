@@ -177,6 +177,18 @@ def test_stream(spark, tmp_path):
     assert sum(r["accepted"] for r in spark.read.json(str(tmp_path / "answers")).collect()) == 12
 
 
+def test_stream_of_lines(spark, tmp_path):
+    source, store = tmp_path / "in", Store(spark, str(tmp_path / "store"))
+    source.mkdir()
+    for name, requests in (("a", [body(1), "{", body(1), body(2)]), ("b", [body(3)])):
+        (source / name).write_text("\n".join(requests))
+    ingest(spark, str(source), store, str(tmp_path / "checkpoint"), lambda: NOW, str(tmp_path / "answers"), lines=True).awaitTermination()
+    rows = store.logs().orderBy("id").collect()
+    assert [r["message"] for r in rows] == ["m1", "m1"] * 2 + ["m2"] * 2 + ["m3"] * 2 and len({r["id"] for r in rows}) == 8
+    answers = {r["request_id"].rpartition("/")[2]: r["accepted"] for r in spark.read.json(str(tmp_path / "answers")).collect()}
+    assert answers == {"a#0": 2, "a#2": 2, "a#3": 2, "b#0": 2}
+
+
 def test_replayed_trigger_commits_once(spark, tmp_path):
     source, store = tmp_path / "in", Store(spark, str(tmp_path / "store"))
     source.mkdir()
