@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -74,6 +75,11 @@ def release_shuffles(spark: SparkSession) -> None:
     from cinderlog.llm import kernels
 
     gc.collect()
+    # Python's references are given up by a thread of their own that looks once a second; until then the JVM's collector finds nothing
+    waiting = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
+    until = time.monotonic() + 3
+    while waiting and time.monotonic() < until:
+        time.sleep(0.05)
     spark.sparkContext._jvm.System.gc()
     kernels.release()
 

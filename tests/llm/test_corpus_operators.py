@@ -217,6 +217,16 @@ def test_exact_sets_are_compared_in_rounds(spark, monkeypatch):
     assert len(set(plain.values())) < len(plain)
 
 
+def test_released_references_have_reached_the_jvm(spark):
+    from cinderlog.llm.common import release_shuffles
+
+    waiting = spark.sparkContext._gateway._gateway_client.finalizer_deque
+    frames = [spark.range(3) for _ in range(200)]
+    del frames
+    release_shuffles(spark)
+    assert len(waiting) < 100
+
+
 def test_rtree_finds_all_pairs_of_the_bound():
     r = np.random.default_rng(4)
     base = r.integers(0, 4, (30, J.GROUPS))
