@@ -80,7 +80,9 @@ def release_shuffles(spark: SparkSession) -> None:
     until = time.monotonic() + 3
     while waiting and time.monotonic() < until:
         time.sleep(0.05)
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the listeners of the last query may hold its plan a little longer
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
     kernels.release()
 
 
