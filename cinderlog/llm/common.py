@@ -39,15 +39,18 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/cinderlog-{spark.sparkContext.applicationId}"
 
 
-def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def stash(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut, and lost executors take nothing with them.
 
-    Results may still read these tables, so they stay until drop_stash() or clear_stashes().
+    Results may still read these tables, so they stay until drop_stash() or clear_stashes(). Rows of each value of a column
+    `by` are in files of their own, so that plans of some values read no others.
     """
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", codec)
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    return out.select(df.columns) if by else out
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -62,9 +65,9 @@ def clear_stashes(spark: SparkSession) -> None:
 
 def drop_stash(df: DataFrame) -> None:
     """Deletes the stashes that df reads, once no later plan reads them; other files stay."""
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if f"/cinderlog-{df.sparkSession.sparkContext.applicationId}/" in folder:
-            _delete(df.sparkSession, folder)
+    own = f"/cinderlog-{df.sparkSession.sparkContext.applicationId}/"
+    for above, _, name in {(*f.partition(own)[:2], f.partition(own)[2].partition("/")[0]) for f in df.inputFiles() if own in f}:
+        _delete(df.sparkSession, above + own + name)
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -78,9 +78,9 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return word, context, new_border
 
 
-def _pair(word: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """One hash of word and context."""
-    return K.mix(word.view(np.uint64) + K.mix(context.view(np.uint64)))
+def _pair(word: np.ndarray, context: np.ndarray, mixed: np.ndarray | None = None) -> np.ndarray:
+    """One hash of word and context; mixed: K.mix of context, where it is known."""
+    return K.mix(word.view(np.uint64) + (K.mix(context.view(np.uint64)) if mixed is None else mixed))
 
 
 def _uniform(key: np.ndarray, salt: int) -> np.ndarray:
@@ -107,13 +107,26 @@ def draw_tables(n: np.ndarray, weight: np.ndarray, d: float, stirling: np.ndarra
     u = rng if isinstance(rng, np.ndarray) else rng.random(len(n))
     t = np.ones(len(n), np.int64)
     t[n == 0] = 0
-    log_w = np.log(np.maximum(weight, 1e-300))
-    for k in np.unique(n[(n > 1) & (n <= EXACT)]).tolist():
-        rows = np.flatnonzero(n == k)
-        for part in np.array_split(rows, max(1, len(rows) * k // 2_000_000)):
-            logits = stirling[k, 1 : k + 1] + np.arange(1, k + 1) * log_w[part][:, None]
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p = np.cumsum(p, 1)
+    few = np.flatnonzero((n > 1) & (n <= EXACT))
+    ratio = np.zeros((EXACT + 1, EXACT))  # S(n, t + 1) / S(n, t), for t from 1
+    for k in range(2, EXACT + 1):
+        ratio[k, 1:k] = np.exp(np.diff(stirling[k, 1 : k + 1]))
+    # powers of two are the most that rows of one block have; products of weights up to 1e6 stay finite
+    heavy = weight[few] > 1e6
+    kind = np.where(heavy, 99, np.ceil(np.log2(np.arange(EXACT + 1).clip(1))).astype(np.uint8)[n[few]]).astype(np.uint8)
+    few = few[np.argsort(kind, kind="stable")]
+    border = np.cumsum(np.bincount(kind, minlength=100))
+    for k in np.flatnonzero(np.diff(border, prepend=0)).tolist():
+        wide = EXACT if k == 99 else min(1 << k, EXACT)
+        rows = few[border[k - 1] : border[k]]
+        for part in np.array_split(rows, max(1, len(rows) * wide // 100_000)):
+            if k == 99:
+                logits = stirling[n[part], 1:] + np.arange(1, EXACT + 1) * np.log(weight[part])[:, None]
+                p = np.cumsum(np.exp(logits - logits.max(1, keepdims=True)), 1)
+            else:
+                p = np.ones((len(part), wide))
+                np.multiply(ratio[n[part], 1:wide], weight[part][:, None], out=p[:, 1:])
+                np.cumsum(np.cumprod(p, 1, out=p), 1, out=p)
             t[part] = 1 + (u[part][:, None] * p[:, -1:] > p).sum(1)
     big = np.flatnonzero(n > EXACT)
     if len(big):
@@ -133,15 +146,23 @@ def _ratios(d: float) -> tuple[np.ndarray, np.ndarray]:
     known = np.array([*range(1, WHOLE), *steps])
     rows = np.zeros((len(known), WIDE - 1))
     t = np.arange(2, WIDE + 1)
+    of_t, of_below = d * t, d * (t - 1)
     r = np.zeros(WIDE - 1)  # S(n, t) / S(n, t - 1), from n = 1
+    below, upper = np.zeros(WIDE - 1), np.zeros(WIDE - 1)  # 1 / the ratio one t below, as S(n, 0) = 0; the new numerator
     at = 1
     for n in range(1, FAR):
         m = min(n, WIDE - 1)  # t = 2 .. m + 1 exist for n + 1
-        below = np.zeros(m)  # 1 / the ratio one t below; S(n, 0) = 0
-        below[1:] = 1 / r[: m - 1]
-        r[:m] = (1 + (n - d * t[:m]) * r[:m]) / (below + n - d * (t[:m] - 1))
+        b, x, y = below[:m], upper[:m], r[:m]
+        np.divide(1.0, y[: m - 1], out=b[1:])
+        b[0] = 0.0
+        np.subtract(n, of_t[:m], out=x)
+        x *= y
+        x += 1
+        b += n
+        b -= of_below[:m]
+        np.divide(x, b, out=y)
         if n + 1 == known[at]:
-            rows[at] = r * (t - 1) * d
+            rows[at] = r * of_below
             at += 1
     return known, rows
 
@@ -156,10 +177,10 @@ def _draw_big(n: np.ndarray, w: np.ndarray, d: float, u: np.ndarray) -> np.ndarr
     """
     nf = n.astype(float)
     # 1 - x, where w x (1 - x)^(d - 1) = n, by bisection of its logarithm
-    lo, hi = np.full(len(n), -700.0), np.full(len(n), -1e-12)
+    lo, hi, wanted = np.full(len(n), -700.0), np.full(len(n), -1e-12), np.log(nf) - np.log(w)
     for _ in range(60):
         mid = (lo + hi) / 2
-        more = np.log(w) + np.log(-np.expm1(mid)) + (d - 1) * mid > np.log(nf)
+        more = np.log(-np.expm1(mid)) + (d - 1) * mid > wanted
         lo, hi = np.where(more, mid, lo), np.where(more, hi, mid)
     y = np.exp(lo)
     mean = w / d * -np.expm1(d * lo)
@@ -229,26 +250,24 @@ class Index:
         return Index, (self.known,)
 
     @functools.cached_property
-    def _places(self) -> tuple[np.uint64, np.ndarray]:
-        """By how much a hash is shifted, and where its first bits begin."""
+    def _places(self) -> tuple[np.uint64, np.ndarray, np.ndarray]:
+        """By how much a hash is shifted, where its first bits begin, and the known ones with one more that ends every walk."""
         bits = max(1, min(24, int(np.log2(len(self.known) + 1)) + 2))
         shift = np.uint64(64 - bits)
-        return shift, np.searchsorted(self.known >> shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        first = np.zeros(1 << bits, np.int32)
+        np.cumsum(np.bincount((self.known >> shift).view(np.int64), minlength=1 << bits)[:-1], out=first[1:])
+        return shift, first, np.append(self.known, np.uint64(2**64 - 1))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, met = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        shift, first = self._places
-        prefix = (keys >> shift).astype(np.int64)
-        low, high = first[prefix], first[prefix + 1]
-        left = np.flatnonzero(low < high)
-        low, high, wanted = low[left], high[left], keys[left]
+        shift, first, known = self._places
+        at = first[(keys >> shift).view(np.int64)]
+        there = known[at]
+        left = np.flatnonzero(there < keys)
         while len(left):
-            hit = self.known[low] == wanted
-            at[left[hit]], met[left[hit]] = low[hit], True
-            low = low + 1
-            go = ~hit & (low < high)
-            left, low, high, wanted = left[go], low[go], high[go], wanted[go]
-        return at, met
+            at[left] += 1
+            there[left] = known[at[left]]
+            left = left[there[left] < keys[left]]
+        return at, (there == keys) & (at < len(self.known))
 
 
 @dataclass(frozen=True)
@@ -259,8 +278,9 @@ class Layout:
     split: np.ndarray
     parts: np.ndarray
 
-    def bucket(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
-        h = K.mix(context.view(np.uint64))
+    def bucket(self, word: np.ndarray, context: np.ndarray, mixed: np.ndarray | None = None) -> np.ndarray:
+        """mixed: K.mix of context, where it is known."""
+        h = K.mix(context.view(np.uint64)) if mixed is None else mixed.copy() if len(self.split) else mixed
         at, met = _find(self.split, context)
         rows = np.flatnonzero(met)
         if len(rows):
@@ -335,13 +355,15 @@ def _ints(blob: bytes, kind: str = "<i8") -> np.ndarray:
 
 
 def _narrow(numbers: np.ndarray) -> np.ndarray:
-    """Whole numbers below 2 ** 31 in four bytes, others as floats in eight."""
-    whole = numbers.astype(np.int32)
-    return whole if (whole == numbers).all() else numbers.astype(float)
+    """Numbers of which SAMPLES times are whole and below 2 ** 31, as means of samples are, in four bytes; others as floats in eight."""
+    times = numbers * float(SAMPLES)
+    with np.errstate(invalid="ignore"):
+        whole = times.astype(np.int32)
+    return whole if (whole == times).all() and (whole / SAMPLES == numbers).all() else numbers.astype(float)
 
 
 def _widened(blob: bytes, n: int) -> np.ndarray:
-    return _ints(blob, "<i4" if len(blob) == 4 * n else "<f8").astype(float)
+    return _ints(blob, "<i4") / SAMPLES if len(blob) == 4 * n else _ints(blob, "<f8").astype(float)
 
 
 def _cut_runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -385,10 +407,15 @@ def _token_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 def _sent(bucket: np.ndarray, context: np.ndarray, *more: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
     """For each bucket its contexts with the lengths of their runs, and the other columns in that order."""
-    order = np.argsort(context)
-    if len(bucket) and bucket.max() < 1 << 16:
-        bucket = bucket.astype(np.uint16)  # sorted by its digits
-    order = order[np.argsort(bucket[order], kind="stable")]
+    # by bucket, and in it by the first bits of the context: a context of two runs would be as good
+    bits, last = int(bucket.max(initial=0)).bit_length(), (len(bucket) - 1).bit_length()
+    key = (context.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(bits)
+    if bits:
+        key |= bucket.astype(np.uint64) << np.uint64(64 - bits)
+    key &= ~np.uint64((1 << last) - 1)
+    key |= np.arange(len(bucket), dtype=np.uint64)
+    key.sort()
+    order = (key & np.uint64((1 << last) - 1)).view(np.int64)
     bucket, context, more = bucket[order], context[order], [x[order] for x in more]
     numbers, border = _cut_runs(bucket)
     for k, number in enumerate(numbers.tolist()):
@@ -403,12 +430,12 @@ def _counted(docs: DataFrame, layout: Layout) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        holds = 0
 
         def leave() -> pa.RecordBatch:
             word, context, learned = (np.concatenate(c) for c in zip(*held, strict=True))
-            key = _pair(word, context)
-            order = np.argsort(key)
-            _, border = _cut_runs(key[order])
+            order, key = K.order(_pair(word, context))
+            _, border = _cut_runs(key)
             n = np.add.reduceat(learned[order], border[:-1], dtype=np.int32)
             word, context = word[order[border[:-1]]], context[order[border[:-1]]]
             return _batch([_block(k, PAIRS, 0, u, run, w, c) for k, (u, run, w, c) in _sent(shared.value.bucket(word, context), context, word, n)])
@@ -416,9 +443,11 @@ def _counted(docs: DataFrame, layout: Layout) -> DataFrame:
         for batch, a, b, word, context, border in _token_arrays(batches):
             learn = np.asarray(batch.column("learn").fill_null(False))[a:b]
             held.append((word, context, np.repeat(learn, np.diff(border))))
-            if sum(len(x[0]) for x in held) >= GATHER:
+            holds += len(word)
+            if holds >= GATHER:
                 yield leave()
                 held.clear()
+                holds = 0
         if held:
             yield leave()
 
@@ -426,14 +455,16 @@ def _counted(docs: DataFrame, layout: Layout) -> DataFrame:
         for bucket, rows in _groups(batches, 0):
             parts = [(np.repeat(_ints(r[3]), _ints(r[4], "<i4")), _ints(r[5]), _ints(r[6], "<i4")) for r in rows]
             context, word, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-            key = _pair(word, context)
-            order = np.argsort(key)
-            _, border = _cut_runs(key[order])
+            order, key = K.order(_pair(word, context))
+            _, border = _cut_runs(key)
             n = np.add.reduceat(n[order].astype(np.int64), border[:-1])
             word, context = word[order[border[:-1]]], context[order[border[:-1]]]
-            asked, a = np.unique(word.view(np.uint64), return_inverse=True)
-            u, c = np.unique(context, return_inverse=True)
-            order = np.argsort(c << 32 | a)
+            asked, a = K.distinct(word)
+            sign = np.uint64(1 << 63)
+            u, c = K.distinct(context.view(np.uint64) ^ sign)
+            u = (u ^ sign).view(np.int64)
+            bits = len(asked).bit_length()
+            order, _ = K.order((c << bits | a) << (63 - bits - len(u).bit_length()))
             a, n = a[order], n[order]
             run = np.bincount(c, minlength=len(u))
             customers, one, more = (np.add.reduceat(x, _starts(run)) for x in (n, (n == 1).astype(np.int64), (n > 1).astype(np.int64)))
@@ -448,7 +479,7 @@ def _counted(docs: DataFrame, layout: Layout) -> DataFrame:
             yield _batch(out)
 
     sent = docs.select("text", "learn").mapInArrow(K.task(count), BLOCK)
-    return stash(_by(sent, "bucket").mapInArrow(K.task(settle), BLOCK), "counts")
+    return stash(_by(sent, "bucket").mapInArrow(K.task(settle), BLOCK), "counts", by="kind")
 
 
 def _starts(run: np.ndarray) -> np.ndarray:
@@ -519,7 +550,7 @@ def _words(blocks: list[DataFrame], model: Model | None, salt: int = 0, samples:
             for kind, questions in ((FIGURES, asked), (OF_FEW, few)) if asked else ((FIGURES, few),):
                 for number, w, *_ in questions:
                     at = np.searchsorted(word, w)
-                    out.append(_block(number, kind, part, tables[at], own[at], _narrow(customers[at])))
+                    out.append(_block(number, kind, part, _narrow(tables[at]), _narrow(own[at]), _narrow(customers[at]), sums=(len(at),)))
             out.append(_block(-1, SUMS, 0, sums=(tables.sum(), own.sum(), customers.sum())))
             out.append(_block(-1, SUMS, 1, sums=((customers > 0).sum(), (tables == 1).sum(), (tables == 2).sum())))
             yield _batch(out)
@@ -546,13 +577,13 @@ class Bucket:
         else:
             self.run, customers, one = _ints(pairs[4]).reshape(3, -1)
             self.customers, self.one = customers.astype(float), one.astype(float)
-        told = [np.concatenate([_widened(r[c], len(r[3]) // 8) for r in rows.get(FIGURES, ())] or [np.zeros(0)]) for c in (3, 4, 5)]
+        told = [np.concatenate([_widened(r[c], int(r[8])) for r in rows.get(FIGURES, ())] or [np.zeros(0)]) for c in (3, 4, 5)]
         self.p0, self.word_customers = model.parent(*told[:2]), told[2]
         self.of = np.repeat(np.arange(len(self.run)), self.run)
         self.many = np.flatnonzero(self.n > 1)
         self.t = np.minimum(self.n, 1).astype(float)
         if SEATED in rows:
-            self.t[self.many] = _ints(rows[SEATED][0][3], "<f8")
+            self.t[self.many] = _widened(rows[SEATED][0][3], len(self.many))
         self.split, met = _find(model.layout.split, self.context)
         self.shared = np.flatnonzero(met)
         self.split = self.split[self.shared]
@@ -607,7 +638,7 @@ def _seat(counts: DataFrame, seated: DataFrame | None, words: DataFrame, model:
                     mean += b.t[b.many] / samples
             if samples:
                 b.t[b.many] = mean
-            out = [_block(number, SEATED, 0, b.t), *_questions(m.layout, number, FEW, b.asked, np.bincount(b.a, b.t, len(b.asked)))]
+            out = [_block(number, SEATED, 0, _narrow(b.t)), *_questions(m.layout, number, FEW, b.asked, np.bincount(b.a, b.t, len(b.asked)))]
             yield _batch(out + _split_totals(m.layout, number, b.context, b._own_totals() - b.one))
 
     blocks = [counts.where(F.col("kind") == MANY), words.where(F.col("kind") == FIGURES)] + ([] if seated is None else [seated.where(F.col("kind") == SEATED)])
@@ -647,13 +678,29 @@ def train(docs: DataFrame) -> tuple[Model, dict[str, DataFrame]]:
 
 def _of_buckets(tables: dict[str, DataFrame]) -> DataFrame:
     kinds = {"counts": (PAIRS, ASKED), "seated": (SEATED,), "figures": (FIGURES,)}
-    return functools.reduce(DataFrame.unionByName, [tables[t].where(F.col("kind").isin(*k)) for t, k in kinds.items()])
+    # of what was asked only the words
+    told = {c: F.when(F.col("kind") != ASKED, F.col(c)).alias(c) for c in ("b", "c")}
+    return functools.reduce(DataFrame.unionByName, [tables[t].where(F.col("kind").isin(*k)).select(*(told.get(c, c) if t == "counts" else c for c in _NAMES)) for t, k in kinds.items()])
 
 
 def _base(customers: np.ndarray, model: Model) -> np.ndarray:
     return np.log10((customers + 0.1) / (model.tokens + 0.1 * (model.words + 1)))
 
 
+@dataclass
+class Head:
+    """The model with its most frequent pairs: their hashes, the logarithms of their probabilities, and their words' customers."""
+
+    model: Model
+    keys: Index
+    log_p: np.ndarray
+    customers: np.ndarray
+
+    @functools.cached_property
+    def base(self) -> np.ndarray:
+        return _base(self.customers, self.model)
+
+
 def predictive(model: Model, tables: dict[str, DataFrame], least: int = 2) -> DataFrame:
     """word, context, n, the logarithm to 10 of the probability, and the word's customers, of pairs met at least so often (twice or more)."""
     told = tables["figures"].where(F.col("kind") == OF_FEW).withColumn("kind", F.lit(FIGURES))
@@ -705,7 +752,7 @@ def score(docs: DataFrame) -> DataFrame:
     order = np.argsort(pair)
     release_shuffles(spark)
     log_p, customers = (np.asarray(head[c].combine_chunks())[order] if head.num_rows else np.zeros(0) for c in ("p", "customers"))
-    shared = spark.sparkContext.broadcast((model, Index(pair[order]), log_p, _narrow(customers)))
+    shared = spark.sparkContext.broadcast(Head(model, Index(pair[order]), log_p, customers.astype(np.int32 if customers.max(initial=0) < 1 << 31 else np.int64)))
     own = {"doc_id": docs.schema["doc_id"].dataType.simpleString()} | dict.fromkeys(("th", "n_tokens", "n_known"), "long") | dict.fromkeys(("base_score", "score"), "double")
     own_schema = ", ".join(f"{c} {t}" for c, t in own.items())
     names = [*own, *_NAMES]
@@ -716,10 +763,10 @@ def score(docs: DataFrame) -> DataFrame:
 
     def send(part: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, keys, p, customers = shared.value
-            base = _base(customers, m)
+            m, keys, p, base = (head := shared.value).model, head.keys, head.log_p, head.base
             held: list[tuple[np.ndarray, ...]] = []
             seen: dict[int, int] = {}
+            holds = 0
             sources = itertools.count(TaskContext.get().partitionId() << 32)
 
             def leave() -> Iterator[pa.RecordBatch]:
@@ -735,24 +782,29 @@ def score(docs: DataFrame) -> DataFrame:
             for batch, a, b, word, context, border in _token_arrays(batches):
                 ids = batch.column("doc_id").type
                 n, doc = b - a, K.owner(border)
-                near, met = keys.find(_pair(word, context))
+                mixed = K.mix(context.view(np.uint64))
+                bucket = m.layout.bucket(word, context, mixed)
                 fresh, number = np.zeros(n, bool), np.zeros(n, np.int64)
                 for i, h in enumerate(batch.column("th")[a:b].to_pylist()):
                     fresh[i] = h not in seen
                     number[i] = seen.setdefault(h, len(seen))
+                # frequent pairs count in the first part, in which all tokens are looked up
+                left = np.flatnonzero((bucket % PASSES == part) & fresh[doc])
                 if part == 0:
+                    near, met = keys.find(_pair(word, context, mixed))
                     hit = np.flatnonzero(met)
                     sums = [np.bincount(doc[hit], x, n).astype(float) for x in (base[near[hit]], p[near[hit]])] if len(keys.known) else [np.zeros(n)] * 2
                     columns = [batch.column("doc_id")[a:b], batch.column("th")[a:b], pa.array(np.diff(border)), pa.array(np.bincount(doc[hit], minlength=n)), *map(pa.array, sums)]
                     none = _batch([_block(i % m.layout.buckets, SUMS) for i in range(a, b)])
                     yield pa.RecordBatch.from_arrays([*columns, *none.columns], names=names)
-                left = np.flatnonzero(~met & fresh[doc])
-                bucket = m.layout.bucket(word[left], context[left])
-                mine = bucket % PASSES == part
-                left = left[mine]
-                held.append((word[left], context[left], bucket[mine], number[doc[left]]))
-                if sum(len(x[0]) for x in held) >= GATHER:
+                    left = left[~met[left]]
+                else:
+                    left = left[~keys.find(_pair(word[left], context[left], mixed[left]))[1]]
+                held.append((word[left], context[left], bucket[left], number[doc[left]]))
+                holds += len(left)
+                if holds >= GATHER:
                     yield from leave()
+                    holds = 0
             if held:
                 yield from leave()
 
@@ -768,7 +820,7 @@ def score(docs: DataFrame) -> DataFrame:
             yield batch.filter(batch.column("th").is_null()).select(_NAMES)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value[0]
+        m = shared.value.model
         ready, ids = [], []
         for _, rows in _groups(whole_rows(batches, ready, ids), 0):
             found, asking = _kinds(rows)
@@ -781,14 +833,18 @@ def score(docs: DataFrame) -> DataFrame:
                         b = Bucket(found, m)
                         probability = np.log10(b.probability())
                         base, known = _base(b.word_customers, m), b.word_customers > 0
-                        keys = b.of << 32 | b.a
+                        keys, words = b.of << 32 | b.a, Index(b.asked)
                     u, length, w = _ints(r[3]), _ints(r[4], "<i4"), _ints(r[5], "<u8")
                     t = _ints(r[6], "<u2" if r[8] <= 1 << 16 else "<u4")
                     # every pair of a text was counted, if only with nothing
-                    at, a = np.searchsorted(b.context, u), np.searchsorted(b.asked, w)
+                    at, (a, _) = np.searchsorted(b.context, u), words.find(w)
                     k = np.searchsorted(keys, np.repeat(at, length) << 32 | a)
-                    of, t = np.unique(t, return_inverse=True)
-                    sums = [np.bincount(t, x, len(of)) for x in (known[a], base[a], probability[k])]
+                    if r[8] <= 4 * len(t):
+                        of = np.flatnonzero(np.bincount(t))
+                        sums = [np.bincount(t, x)[of] for x in (known[a], base[a], probability[k])]
+                    else:
+                        of, t = np.unique(t, return_inverse=True)
+                        sums = [np.bincount(t, x, len(of)) for x in (known[a], base[a], probability[k])]
                     out.append(_block(r[2], TEXTS, 0, of.astype(np.uint32), sums[0].astype(np.uint32), *sums[1:]))
             if out:
                 yield beside(ids[0], out)

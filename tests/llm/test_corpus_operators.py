@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from cinderlog.llm import components as C
 from cinderlog.llm import decontamination as D
 from cinderlog.llm import jaccard as J
+from cinderlog.llm import kernels as K
 from cinderlog.llm import pitman_yor as P
 from cinderlog.llm import suffix_dedup as S
-from cinderlog.llm.common import remainder
+from cinderlog.llm.common import drop_stash, remainder, stash
 from tests.llm.helpers import ODD_TEXTS, SPACE_WORD, clashing, crc, docs_frame, lower_ascii, sentence, sha, vocabulary
 
 # n-gram Jaccard join
@@ -515,6 +517,34 @@ def test_index_finds_what_is_known():
         assert met.tolist() == np.isin(asked, known).tolist() and (known[at[met]] == asked[met]).all()
 
 
+def test_hashes_are_ordered_by_a_sort_of_values():
+    r = np.random.default_rng(3)
+    close = np.uint64(5 << 60) + r.integers(0, 40, 300).astype(np.uint64)  # equal first bits
+    for keys in (np.zeros(0, np.uint64), close[:1], close, np.concatenate([r.integers(0, 2**64 - 1, 5000, np.uint64)] * 2 + [close[:60]]), r.integers(-50, 50, 4000)):
+        want = np.argsort(keys.view(np.uint64), kind="stable")
+        places, out = K.order(keys)
+        assert places.tolist() == want.tolist() and (out == keys.view(np.uint64)[want]).all()
+        known, which = K.distinct(keys)
+        assert known.tolist() == sorted(set(keys.view(np.uint64).tolist())) and (known[which] == keys.view(np.uint64)).all()
+
+
+def test_figures_that_travel_are_narrow():
+    means = np.array([0.0, 1.25, 7.5, 2.0**29 - 0.25])
+    assert P._narrow(means).nbytes == 16 and (P._widened(P._narrow(means).tobytes(), 4) == means).all()
+    for other in (means / 3, means + 2.0**31):
+        assert P._narrow(other).nbytes == 32 and (P._widened(P._narrow(other).tobytes(), 4) == other).all()
+
+
+def test_stored_kinds_are_read_apart(spark):
+    kept = stash(spark.range(40, numPartitions=2).select((F.col("id") % 4).cast("int").alias("kind"), "id"), "apart", by="kind")
+    one = kept.where(F.col("kind") == 3)
+    assert one.columns == ["kind", "id"] and sorted(r["id"] for r in one.collect()) == list(range(3, 40, 4))
+    assert "PartitionFilters: [isnotnull(kind" in one._jdf.queryExecution().toString()
+    files = kept.inputFiles()
+    drop_stash(kept)
+    assert len(files) == 8 and not any(os.path.exists(f.removeprefix("file:").rpartition("/kind=")[0]) for f in files)
+
+
 def test_scores_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(P, "BUCKET", 3000)
     r, words = random.Random(9), vocabulary(7, 90)
